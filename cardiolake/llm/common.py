@@ -132,3 +132,34 @@ def strided_counts(lengths: np.ndarray) -> np.ndarray:
     """0, 1, .. n-1 for each length n, end to end."""
     total = int(lengths.sum())
     return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def per_text(docs: DataFrame, text: str, make, added: str, keep: list[str] | None = None, most_bytes: int = 4_000_000) -> DataFrame:
+    """docs with columns computed from whole texts in Arrow batches.
+
+    make() runs once in each task and returns a function from a text column to a list of arrays, one for each column
+    of the DDL string `added`. keep names the columns of docs to hand on (all, if None); those that `added` names
+    are replaced.
+    """
+    spark = docs.sparkSession
+    new = spark.createDataFrame([], added).schema
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
+    sent = docs.select(*kept, *([] if text in kept else [F.col(text).alias("__text")]))
+    at = kept.index(text) if text in kept else len(kept)
+    names = [*kept, *new.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in blocks(batches, sent_name, most_bytes):
+            out = f(batch.column(at))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + out, names=names)
+
+    sent_name = sent.columns[at]
+    schema = type(new)([f for f in sent.schema if f.name in kept] + list(new))
+    return sent.mapInArrow(run, schema)
+
+
+def sums_by_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of values between neighbouring offsets."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    return total[at[1:]] - total[at[:-1]]

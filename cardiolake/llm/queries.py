@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cardiolake.llm import mixing, sharding, token_files
-from cardiolake.llm.common import scratch_dir
+from cardiolake.llm import decontamination, language, mixing, quality, sharding, token_files, toxicity
+from cardiolake.llm.common import remainder, scratch_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,16 +27,48 @@ def op1_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, shards=8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"), window=10, keep=["doc_id"])
+    return decontamination.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs, share=1.5, most=2.0, weights=(5, 2, 1)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = quality.judge(docs, lambda: tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "evenness")
+
+
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return token_files.read_tokens(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_kk_shards, op6_source_mix, op8_orc_tokens)}
+def toxic_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicModel:
+    """The model of docs, from labels of ids whose remainder modulo 5 is not 0."""
+    labels = _table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0)
+    return toxicity.train(docs.select("doc_id", "text"), labels)
+
+
+def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, toxic_model(spark, docs, sf_dir), keep=["doc_id"])
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+def op10_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = remainder(F.col("doc_id"), 4) == 2
+    network = language.train(docs.where(~held))
+    found = language.identify(docs, network, keep=["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_kk_shards, op3_decontaminate, op6_source_mix, op7_tokenizer_fertility, op8_orc_tokens, op9_toxic_segments, op10_byte_network)}
 ORACLE_SQL = {"op6_source_mix": mixing.ORACLE_SQL}
