@@ -163,3 +163,21 @@ def sums_by_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of values between neighbouring offsets."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return total[at[1:]] - total[at[:-1]]
+
+
+def shingle_hashes(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of every run of `width` words of each text, and their offsets; a shorter text, but not an empty one, is one shingle.
+
+    words: hashes of the words; at: n+1 offsets of the texts.
+    """
+    n = np.diff(at)
+    counts = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    first = np.repeat(at[:-1] - ends[:-1], counts) + np.arange(int(ends[-1]))
+    length = np.repeat(np.minimum(n, width), counts)
+    h = length.astype(np.uint64)
+    padded = np.concatenate([words, np.zeros(width, np.uint64)])
+    for k in range(width):
+        step = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + padded[first + k]
+        h = np.where(k < length, step, h)
+    return mixed(h), ends

@@ -20,7 +20,7 @@ ROWS = 128
 #: First code points of scripts told apart by the bands, in order.
 SCRIPTS = (("Latin", 0x0000), ("Greek", 0x0370), ("Cyrillic", 0x0400), ("Armenian", 0x0530), ("Hebrew", 0x0590), ("Arabic", 0x0600), ("Indic", 0x0900), ("Southeast Asian", 0x0E00), ("Georgian", 0x10A0), ("Hangul", 0x1100), ("Ethiopic", 0x1200), ("Other", 0x1380), ("Latin", 0x1E00), ("Greek", 0x1F00), ("Other", 0x2000), ("CJK", 0x2E80), ("Hangul", 0xAC00), ("Other", 0xD7B0), ("CJK", 0xF900), ("Other", 0xFB00), ("CJK", 0x20000))
 #: Bands, as parts of the group's median: characters per token and entropy from .. to, byte share above the median by at most.
-CHARS_BAND, ENTROPY_BAND, BYTES_OVER = (0.55, 1.8), (0.5, 1.5), 0.10
+CHARS_BAND, ENTROPY_BAND, BYTES_OVER = (0.7, 1.5), (0.6, 1.45), 0.10
 #: Texts of fewer tokens than this are not held against the bands: their ratios say little.
 LEAST_TOKENS = 20
 

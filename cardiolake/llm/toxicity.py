@@ -10,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardiolake.llm.common import FOLD, per_text, raw_bytes, stored, word_codes
+from cardiolake.llm.common import FOLD, hashed, mixed, per_text, raw_bytes, shingle_hashes, stored, word_codes
 from cardiolake.llm.decontamination import OUTSIDE
 
 #: Labelled texts that training takes at most, of each label.
 SAMPLE = 8_000
-#: Bytes of a word's head that its stem keeps; pseudo-tokens of the two Dirichlet priors.
-STEM, PRIOR, STEM_PRIOR = 4, 50.0, 50.0
+#: Bytes of a word's head that its stem keeps; pseudo-tokens of the two Dirichlet priors, and what every type has besides.
+STEM, PRIOR, STEM_PRIOR, LEAST = 4, 50.0, 50.0, 0.5
+#: Log-odds that a stem or word needs at least.
+LEAST_ODDS = 3.0
 #: Standard errors that a stem's or word's log-odds must exceed to score; what every other token costs.
-SURE, DRIFT = 4.0, -0.15
+SURE, DRIFT = 3.0, -0.15
 #: Segments below this E-value are significant.
 SIGNIFICANT = 0.05
 
@@ -54,12 +56,14 @@ class ToxicModel:
         return np.diff(at), found
 
     def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> float:
-        """Sum of -ln p over a text's segments, where p is the chance of such a segment in n tokens of harmless text."""
-        total = 0.0
+        """-ln p of a text's best segment and of its other significant ones, where p is the chance of such a segment in n tokens of harmless text."""
+        total, best = 0.0, 0.0
         for _, _, s in segments:
             e = self.k * max(n, 1) * math.exp(-min(self.rate * s, 700.0))
-            total += -math.log(max(-math.expm1(-e), 1e-300))
-        return total
+            own = -math.log(max(-math.expm1(-e), 1e-300))
+            best = max(best, own)
+            total += own if e < SIGNIFICANT else 0.0
+        return max(total, best)
 
     def probability(self, evidence: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.base + self.slope * math.log1p(evidence)))))
@@ -93,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Log-odds, calibration and score of labelled texts.
 
     At most `sample` labelled ids of each label are taken, those of lowest hash (ids with both labels count as
-    toxic; null ids and labels are left out). Counts of stems and words in the two classes have Dirichlet priors: a
+    toxic; null ids and labels are left out). Counts of stems and words (once a text) in the two classes have Dirichlet priors: a
     stem's is its share of all text, a word's that of its stem. Only log-odds over SURE standard errors and above
     zero are kept; other tokens cost a little. The harmless texts give the background of the extreme-value law: its
     rate solves sum p exp(rate s) = 1 over token scores; its factor is the share of texts that reach a score.
@@ -105,13 +109,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     some = known.where("__y = 0").orderBy(ranked, "__k").limit(sample).unionByName(known.where("__y = 1").orderBy(ranked, "__k").limit(sample))
     some = stored(some, "toxic-labels")  # at most 2 * sample rows of two numbers: a proven bound for the broadcast
     rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("text")).join(F.broadcast(some), "__k").select("text", "__y")
-    rows = stored(rows, "toxic-sample")
+    rows = stored(_unlike(rows), "toxic-sample")
 
     def counted(batches):
         for batch in batches:
             data, offsets = raw_bytes(batch.column(0))
             codes, distinct, at, _ = word_codes(FOLD[data], offsets, OUTSIDE)
-            toxic = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), np.diff(at)) == 1
+            # a word counts once in a text, however often the text repeats it
+            pairs = np.unique(np.repeat(np.arange(len(at) - 1), np.diff(at)) * max(len(distinct), 1) + codes)
+            codes = pairs % max(len(distinct), 1)
+            toxic = batch.column(1).to_numpy(zero_copy_only=False)[pairs // max(len(distinct), 1)] == 1
             n = [np.bincount(codes[pick], minlength=len(distinct)).astype(np.int64) for pick in (toxic, ~toxic)]
             yield pa.RecordBatch.from_arrays([distinct.cast(pa.binary()), pa.array(n[0]), pa.array(n[1])], names=["word", "t", "c"])
 
@@ -123,21 +130,21 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         return model
 
     def log_odds(t, c, prior_t, prior_c, weight: float):
-        t, c = t + weight * prior_t, c + weight * prior_c
-        odds = F.log(t / (F.lit(nt + weight) - t)) - F.log(c / (F.lit(nc + weight) - c))
+        t, c = t + weight * prior_t + LEAST, c + weight * prior_c + LEAST
+        odds = F.log(t / (F.lit(nt + weight + 1.0) - t)) - F.log(c / (F.lit(nc + weight + 1.0) - c))
         return odds, odds / F.sqrt(1 / t + 1 / c)
 
     stems = words.groupBy("stem").agg(F.sum("t").alias("st"), F.sum("c").alias("sc"))
     share = (F.col("st") + F.col("sc")) / F.lit(float(nt + nc))
     odds, z = log_odds(F.col("st"), F.col("sc"), share, share, STEM_PRIOR)
     stems = stems.withColumns({"odds": odds, "z": z})
-    sure_stems = stems.where((F.col("z") > SURE) & (F.col("odds") > 1)).select("stem", "odds")
+    sure_stems = stems.where((F.col("z") > SURE) & (F.col("odds") > LEAST_ODDS)).select("stem", "odds")
     # a word's prior follows its stem's rates, scaled so that both classes lend the same mass to the stem
     rates = stems.select("stem", ((F.col("st") + STEM_PRIOR * share) / (nt + STEM_PRIOR)).alias("pt"), ((F.col("sc") + STEM_PRIOR * share) / (nc + STEM_PRIOR)).alias("pc"))
     odds, z = log_odds(F.col("t"), F.col("c"), F.col("pt"), F.col("pc"), PRIOR)
     rated = words.join(rates, "stem").withColumns({"odds": odds, "z": z})
     # words of a sure stem that are not toxic themselves are needed, too: they override the stem
-    exact = rated.where((F.col("z") > SURE) & (F.col("odds") > 1) | (F.col("z") < -SURE) & (F.col("odds") < -1)).select("word", "odds")
+    exact = rated.where((F.col("z") > SURE) & (F.col("odds") > LEAST_ODDS) | (F.col("z") < -SURE) & (F.col("odds") < -1)).select("word", "odds")
     model.stems = {bytes(r["stem"]): float(r["odds"]) for r in sure_stems.collect()}
     model.words = {bytes(r["word"]): float(r["odds"]) for r in exact.collect()}
     model.words = {w: (s if s > 0 else DRIFT) for w, s in model.words.items() if s > 0 or w[:STEM] in model.stems}
@@ -169,6 +176,36 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     return model
 
 
+def _unlike(rows: DataFrame, hashes: int = 4) -> DataFrame:
+    """One text of those that share the least hash of their 5-word shingles under any of `hashes` functions.
+
+    Copies and near copies of a text would lend its harmless words false weight.
+    """
+
+    def make():
+        def least(column: pa.Array) -> list[pa.Array]:
+            data, offsets = raw_bytes(column)
+            codes, distinct, at, _ = word_codes(FOLD[data], offsets, OUTSIDE)
+            shingles, ends = shingle_hashes(hashed(distinct)[codes] if len(codes) else np.zeros(0, np.uint64), at, 5)
+            out = []
+            for k in range(hashes):
+                h = mixed(shingles + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                full = np.flatnonzero(np.diff(ends))
+                low = np.zeros(len(ends) - 1, dtype=np.int64)
+                if len(full):
+                    low[full] = np.minimum.reduceat(h, ends[:-1][full])
+                out.append(pa.array(low))
+            return out
+
+        return least
+
+    names = [f"m{k}" for k in range(hashes)]
+    found = per_text(rows, "text", make, ", ".join(f"{m} long" for m in names))
+    for m in names:
+        found = found.groupBy(m).agg(F.min(F.struct("__y", "text", *[x for x in names if x != m])).alias("r")).select(m, "r.*")
+    return found.select("text", "__y")
+
+
 def _rate(scores: np.ndarray, others: float, drift: float) -> float:
     """The positive root of the mean of exp(rate * score) = 1."""
     n = len(scores) + others
