@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +16,7 @@ from cardiolake.llm.common import per_text, raw_bytes, stored, sums_by_text, wor
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 #: Distinct words whose ids a worker keeps; beyond that it starts anew.
-MEMO = 400_000
+MEMO = 1_000_000
 #: Texts whose token counts are laid out at once.
 ROWS = 128
 #: First code points of scripts told apart by the bands, in order.
@@ -82,26 +84,35 @@ class Fertility:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) or self.model.is_unknown(i) for i in range(self.model.vocab_size())])
-        self.memo: dict[bytes, np.ndarray] = {}
+        self._forget()
 
-    def ids(self, distinct: pa.Array) -> list[np.ndarray]:
+    def _forget(self) -> None:
+        self.memo: dict[bytes, int] = {}
+        self.begins, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and length of each word's ids, and all ids that the memo holds."""
         words = distinct.to_pylist()
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [w for w in words if w not in self.memo]
-        for w, ids in zip(new, self.model.encode([w.decode("utf-8") for w in new], num_threads=1), strict=True):
-            self.memo[w] = np.array(ids, dtype=np.int32)
-        return [self.memo[w] for w in words]
+            self._forget()
+        memo = self.memo
+        new = [w for w in words if w not in memo]
+        if new:
+            lists = self.model.encode([w.decode("utf-8") for w in new], num_threads=1)
+            lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+            flat = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int32, count=int(lengths.sum()))
+            self.begins = np.concatenate([self.begins, np.cumsum(lengths) - lengths + len(self.flat)])
+            self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
+            memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
+        at = np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.begins[at], self.lengths[at], self.flat
 
     def measure(self, codes: np.ndarray, distinct: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, byte-fallback tokens and entropy in bits of each text's tokens."""
-        ids = self.ids(distinct)
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        begin = np.cumsum(lengths) - lengths
+        begin, lengths, flat = self.ids(distinct)
         run = lengths[codes] if len(codes) else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(run)])
-        tokens = flat[np.repeat(begin[codes] - total[:-1], run) + np.arange(int(total[-1]))] if len(codes) else flat
+        tokens = flat[np.repeat(begin[codes] - total[:-1], run) + np.arange(int(total[-1]))] if len(codes) else np.zeros(0, np.int32)
         ends = total[at]
         size = len(self.is_byte)
         entropy = np.zeros(len(at) - 1)
@@ -117,6 +128,12 @@ class Fertility:
         return np.diff(ends), sums_by_text(self.is_byte[tokens], ends), np.maximum(entropy, 0)
 
 
+@functools.lru_cache(maxsize=2)
+def fertility_of(path: str) -> Fertility:
+    """A worker's vocabulary: its memo outlives a task, as workers are used again."""
+    return Fertility(path)
+
+
 def script(text: Column) -> Column:
     """The script of most letters, of those told apart in SCRIPTS; 'none' without a letter. For texts without a language."""
     letters = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]+", "")
@@ -130,7 +147,7 @@ def measured(docs: DataFrame, model_path: Callable[[], str], text: str = "text",
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_tokens, n_byte_tokens and entropy."""
 
     def make():
-        fertility = Fertility(model_path())
+        fertility = fertility_of(model_path())
 
         def measure(column: pa.Array) -> list[pa.Array]:
             data, offsets = raw_bytes(column)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -13,22 +15,27 @@ from pyspark.sql import functions as F
 
 from cardiolake.llm.common import blocks, raw_bytes
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 8_000_000
+#: ASCII letters; ASCII signs, digits included in neither.
+LETTER, VISIBLE = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
+VISIBLE[0x21:0x7F] = True
+VISIBLE[0x30:0x3A] = VISIBLE[LETTER] = False
 #: Distinct pieces whose ids a worker keeps; beyond that it starts anew.
-MEMO = 400_000
+MEMO = 1_000_000
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Texts cut before every blank that follows a visible ASCII or Latin-1 letter: codes, distinct pieces, n+1 offsets.
+    """Texts cut where a blank or ASCII sign follows an ASCII or Latin-1 letter, or a blank an ASCII sign: codes, distinct pieces, n+1 offsets.
 
     A byte-level BPE pattern never matches across such a place, and what it sees behind a blank run lies in the same
     piece, so the ids of a text are those of its pieces end to end. (Behind other bytes, which may end a wider
     space, no cut is made.)
     """
     starts = np.zeros(len(data), dtype=bool)
-    sure = (data > 0x20) & (data < 0x7F)
-    sure[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80)
-    starts[1:] = (data[1:] == 0x20) & sure[:-1]
+    letter = LETTER[data]
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    starts[1:] = (data[1:] == 0x20) & (letter | VISIBLE[data])[:-1] | VISIBLE[data[1:]] & letter[:-1]
     starts[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     at = np.flatnonzero(starts)
     bounds = np.append(at, len(data)).astype(np.int64)
@@ -46,22 +53,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[bytes, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[bytes, int] = {}
+        self.begins, self.lengths, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+
+    def _known(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and length of each piece's ids, and all ids that the memo holds."""
+        memo = self.memo
+        if len(memo) > MEMO:
+            self._forget()
+            memo = self.memo
+        new = [t for t in texts if t not in memo]
+        if new:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in new], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+            behind = sum(map(len, self.ids))
+            self.begins.append(np.cumsum(lengths) - lengths + behind)
+            self.lengths.append(lengths)
+            self.ids.append(np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int32, count=int(lengths.sum())))
+            memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
+            self.begins, self.lengths, self.ids = ([np.concatenate(x)] for x in (self.begins, self.lengths, self.ids))
+        at = np.fromiter(map(memo.__getitem__, texts), dtype=np.int64, count=len(texts))
+        return self.begins[0][at], self.lengths[0][at], self.ids[0]
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end with end_id behind each text, and n+1 offsets."""
         data, offsets = raw_bytes(column)
         codes, distinct, at = pieces(data, offsets)
-        texts = distinct.to_pylist()
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [t for t in texts if t not in self.memo]
-        for t, e in zip(new, self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in new], add_special_tokens=False), strict=True):
-            self.memo[t] = np.array(e.ids, dtype=np.int32)
-        ids = [self.memo[t] for t in texts]
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        begin = np.cumsum(lengths) - lengths
+        begin, lengths, flat = self._known(distinct.to_pylist())
         # every occurrence takes its piece's run of ids; one place behind each text is left for the end
         run = lengths[codes]
         total = np.concatenate([[0], np.cumsum(run)])
@@ -74,6 +95,12 @@ class Encoder:
         return out, doc_ends
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder: its memo outlives a task, as workers are used again."""
+    return Encoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, files: int | None = None, text: str = "text", key: str = "doc_id") -> None:
     """Encode every whole text (null: empty), append end_id and write ORC files in ascending order of `key`.
 
@@ -87,7 +114,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, fi
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in blocks(batches, "text", BLOCK_BYTES):
             ids, at = encoder.encode(batch.column(1), end_id)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
