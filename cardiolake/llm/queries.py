@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardiolake.llm import decontamination, language, mixing, quality, sharding, token_files, toxicity
+from cardiolake.llm import decontamination, language, mixing, near_duplicates, quality, sharding, token_files, toxicity
 from cardiolake.llm.common import remainder, scratch_dir
 
 
@@ -27,6 +27,11 @@ def op1_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, shards=8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates.near_duplicates(docs, width=5, similarity=0.8).select("doc_id", "class_id", "n_links")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"), window=10, keep=["doc_id"])
@@ -70,5 +75,5 @@ def op10_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_kk_shards, op3_decontaminate, op6_source_mix, op7_tokenizer_fertility, op8_orc_tokens, op9_toxic_segments, op10_byte_network)}
+QUERIES = {f.__name__: f for f in (op1_kk_shards, op2_ngram_jaccard, op3_decontaminate, op6_source_mix, op7_tokenizer_fertility, op8_orc_tokens, op9_toxic_segments, op10_byte_network)}
 ORACLE_SQL = {"op6_source_mix": mixing.ORACLE_SQL}
