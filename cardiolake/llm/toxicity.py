@@ -189,7 +189,7 @@ def _unlike(rows: DataFrame, hashes: int = 4) -> DataFrame:
             shingles, ends = shingle_hashes(hashed(distinct)[codes] if len(codes) else np.zeros(0, np.uint64), at, 5)
             out = []
             for k in range(hashes):
-                h = mixed(shingles + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                h = mixed(shingles + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))).view(np.int64)
                 full = np.flatnonzero(np.diff(ends))
                 low = np.zeros(len(ends) - 1, dtype=np.int64)
                 if len(full):
