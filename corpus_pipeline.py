@@ -19,12 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word n-grams, Jaccard 0.8): that of least id.
 
-    Wholly equal rows (same id, same text) stay or go together; documents without words stay.
+    Rows of the same id and text are one document; documents without words stay.
     """
     found = near_duplicates.near_duplicates(docs, width=5, similarity=0.8)
     first = found.where("is_first").select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__tid")).distinct()
     marked = docs.withColumn("__text", text_id(F.col("text")))
-    return marked.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__tid")), "left_semi").select(*docs.columns)
+    return marked.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__tid")), "left_semi").dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
