@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardiolake.llm.common import per_text, raw_bytes, stored, sums_by_text, word_codes
+from cardiolake.llm.common import SPACE, per_text, raw_bytes, stored, sums_by_text, word_codes
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -52,8 +52,6 @@ def repeated_words(codes: np.ndarray, at: np.ndarray, width: int = 5) -> np.ndar
 
 def duplicate_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Lines of each text that hold a word and equal an earlier line of it."""
-    from cardiolake.llm.common import SPACE
-
     feed = data == 0x0A
     heads = np.zeros(len(data) + 1, dtype=bool)
     heads[1:][feed] = True
@@ -152,8 +150,6 @@ def measured(docs: DataFrame, model_path: Callable[[], str], text: str = "text",
         def measure(column: pa.Array) -> list[pa.Array]:
             data, offsets = raw_bytes(column)
             codes, distinct, at, _ = word_codes(data, offsets)
-            from cardiolake.llm.common import SPACE
-
             points = sums_by_text(((data & 0xC0) != 0x80) & ~SPACE[data], offsets)
             tokens, in_bytes, entropy = fertility.measure(codes, distinct, at)
             columns = [np.diff(at), points, sums_by_text(SYMBOLS[data], offsets), duplicate_lines(data, offsets), sums_by_text(repeated_words(codes, at), at), tokens, in_bytes]

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardiolake.llm import decontamination, language, mixing, near_duplicates, quality, sharding, substrings, token_files, toxicity
+from cardiolake.llm import decontamination, language, mixing, near_duplicates, quality, recurrent_lm, sharding, substrings, token_files, toxicity
 from cardiolake.llm.common import remainder, scratch_dir
 
 
@@ -38,6 +38,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = remainder(F.col("doc_id"), 7) == 2
+    scored = recurrent_lm.score_documents(docs, docs.where(~held), keep=["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs, length=200, keep=["doc_id"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -80,5 +87,5 @@ def op10_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_kk_shards, op2_ngram_jaccard, op3_decontaminate, op5_suffix_dedup, op6_source_mix, op7_tokenizer_fertility, op8_orc_tokens, op9_toxic_segments, op10_byte_network)}
+QUERIES = {f.__name__: f for f in (op1_kk_shards, op2_ngram_jaccard, op3_decontaminate, op4_recurrent_lm, op5_suffix_dedup, op6_source_mix, op7_tokenizer_fertility, op8_orc_tokens, op9_toxic_segments, op10_byte_network)}
 ORACLE_SQL = {"op6_source_mix": mixing.ORACLE_SQL}
