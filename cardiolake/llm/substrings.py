@@ -18,12 +18,12 @@ GRAM, PLACES = 24, 128
 #: Period of the difference cover.
 PERIOD = 32
 #: Bytes of contexts sorted at once.
-BLOCK_BYTES = 1_500_000
+BLOCK_BYTES = 400_000
 #: Contexts of one anchor that a task sorts; beyond that their windows are grouped by Spark.
-HOT = 20_000
+HOT = 4_000
 #: Slots of the filter that spares clean texts a shuffle: the most rows that its broadcast can have.
 SLOTS = 1 << 20
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 400_000
 
 
 @lru_cache(maxsize=1)
