@@ -30,7 +30,8 @@ def choose_segments(index: DataFrame, most: int = 10, nsr: int = 5, patient: str
     in_pool = Window.partitionBy(patient, "pool").orderBy(F.when(F.col("pool") == "abnormal", F.col("rank")).otherwise(F.col(segment)))
     rows = rows.where("pool is not null").withColumn("nth", F.row_number().over(in_pool))
     n_ab = F.least(F.count_if(F.col("pool") == "abnormal").over(Window.partitionBy(patient)), F.lit(most))
-    quota = F.least(F.greatest(n_ab, F.lit(1)), F.lit(nsr), F.lit(most) - n_ab)
+    rows = rows.withColumn("n_ab", n_ab)
+    quota = F.least(F.greatest("n_ab", F.lit(1)), F.lit(nsr), F.lit(most) - F.col("n_ab"))
     kept = F.when(F.col("pool") == "abnormal", F.col("nth") <= most).otherwise(F.col("nth") <= quota)
     return rows.where(kept).select(patient, segment, "pool", "nth")
 

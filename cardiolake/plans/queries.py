@@ -182,7 +182,7 @@ def select_patients(spark, sf):
 @query(f"""WITH {SQL_A}, {SQL_SPANS}, {SQL_INDEX}, r AS (SELECT *, afib_samp + afl_samp AS ab FROM ix), q AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY (ab > 0) DESC, ab DESC, segment) AS rank, CASE WHEN ab > 0 THEN 'abnormal' WHEN nsr_samp > 0 THEN 'nsr' END AS pool FROM r),
 n AS (SELECT q.*, row_number() OVER (PARTITION BY patient_id, pool ORDER BY CASE WHEN pool = 'abnormal' THEN rank ELSE segment END) AS nth FROM q WHERE pool IS NOT NULL),
 c AS (SELECT patient_id, least(sum(CASE WHEN pool = 'abnormal' THEN 1 ELSE 0 END), 10) AS n_ab FROM q GROUP BY patient_id)
-SELECT patient_id, segment, pool, nth FROM n JOIN c USING (patient_id) WHERE CASE WHEN pool = 'abnormal' THEN nth <= 10 ELSE nth <= least(greatest(n_ab, 1), 5, 10 - n_ab) END""")
+SELECT patient_id, segment, pool, nth FROM n JOIN c USING (patient_id) WHERE nth <= (CASE WHEN pool = 'abnormal' THEN 10 ELSE least(greatest(n_ab, 1), 5, 10 - n_ab) END)""")
 def choose_segments(spark, sf):
     return cohort.choose_segments(_index(spark, sf))
 
