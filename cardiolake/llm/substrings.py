@@ -296,13 +296,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep:
     digest = F.md5("__body")
     twice = source.where(F.octet_length("__body") >= length).groupBy("__rid", digest.alias("__md5")).agg(F.count("*").alias("c")).where("c > 1")
     twice = stored(twice.select(F.col("__rid").alias("rid"), "__md5"), "copies")
-    known = found.join(twice, "rid", "full_outer")
-    slots = repeated.select("rid").unionByName(twice.select("rid")).select(F.pmod("rid", F.lit(SLOTS)).alias("slot")).distinct()
-    marked = source.join(F.broadcast(slots), F.pmod("__rid", F.lit(SLOTS)) == F.col("slot"), "left")
+    known = found.join(twice, "rid", "full_outer").select(F.col("rid").alias("__known"), F.col("runs").alias("__runs"), "__md5")
+    slots = repeated.select("rid").unionByName(twice.select("rid")).select(F.pmod("rid", F.lit(SLOTS)).alias("__slot")).distinct()
+    marked = source.join(F.broadcast(slots), F.pmod("__rid", F.lit(SLOTS)) == F.col("__slot"), "left")
     nothing = F.lit(0).cast("long")
-    clean = marked.where("slot is null").select(*columns, F.octet_length("__body").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.array().cast("array<long>").alias("spans"), F.sha2("__body", 256).alias("kept_sha256"))
-    suspects = marked.where("slot is not null").join(known, F.col("__rid") == F.col("rid"), "left")
-    suspects = suspects.select(*columns, "__body", "runs", F.coalesce(digest == F.col("__md5"), F.lit(False)).alias("__copy"))
+    clean = marked.where("__slot is null").select(*columns, F.octet_length("__body").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.array().cast("array<long>").alias("spans"), F.sha2("__body", 256).alias("kept_sha256"))
+    suspects = marked.where("__slot is not null").join(known, F.col("__rid") == F.col("__known"), "left")
+    suspects = suspects.select(*columns, "__body", "__runs", F.coalesce(digest == F.col("__md5"), F.lit(False)).alias("__copy"))
     width = len(columns)
     added = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]
 
