@@ -20,8 +20,9 @@ def _zero(a: Column, b: Column) -> Column:
 def report(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     """precision, recall, f1 and support of each label, with accuracy and macro F1 of all; undefined ratios are 0."""
     hit = F.col(truth) == F.col(guess)
-    tall = rows.select(F.explode(F.array_distinct(F.array(truth, guess))).alias("label"), truth, guess, hit.alias("hit"))
-    per = tall.groupBy("label").agg(F.count_if("hit").alias("tp"), F.count_if(F.col(guess) == F.col("label")).alias("guessed"), F.count_if(F.col(truth) == F.col("label")).alias("support"))
+    tall = rows.select(F.explode(F.array_distinct(F.array(truth, guess))).alias("__label"), F.col(truth).alias("__truth"), F.col(guess).alias("__guess"), hit.alias("hit"))
+    guessed, true = F.col("__guess") == F.col("__label"), F.col("__truth") == F.col("__label")
+    per = tall.groupBy(F.col("__label").alias("label")).agg(F.count_if("hit").alias("tp"), F.count_if(guessed).alias("guessed"), F.count_if(true).alias("support"))
     precision, recall = _zero(F.col("tp"), F.col("guessed")), _zero(F.col("tp"), F.col("support"))
     scored = per.withColumns({"precision": precision, "recall": recall}).withColumn("f1", _zero(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     every = Window.partitionBy()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cardiolake.functions import dsp
 from cardiolake.functions.live import Alarm
-from cardiolake.operators import cohort, directory, learning, metrics, quality, spans, windows
+from cardiolake.operators import cohort, directory, learning, metrics, quality, serving, spans, windows
 from cardiolake.operators.rr import FEATURES, beat_features, intervals, window_features
 from cardiolake.plans.tables import FS, SQL_A, SQL_ALL, SQL_OVER, SQL_RR, SQL_SPANS, WIDTH, annotations, table
 from cardiolake.schema import is_beat
@@ -511,6 +511,53 @@ def stream_live_replay(spark, sf):
     return spark.read.parquet(f"{path}/out").where("kind <> 'beat'").select("device_id", "kind", "sample_pos", "status", "af_run", "alarm", F.round("af_score", 4).alias("af_score"))
 
 
+SQL_GATE = "CASE WHEN wid = 0 THEN 'warmup' WHEN n_q > 10 THEN 'leadoff' WHEN n_rr_used < 4 OR n_drr_used < 1 OR coalesce(n_rr_used * mean_rr / 20.0, 0) < 0.1 THEN 'low_quality' WHEN rmssd IS NULL OR hrv_sdnn IS NULL THEN 'not_finite' ELSE 'ok' END"
+
+
+@query(f"WITH {SQL_ALL} SELECT patient_id, wid, {SQL_GATE} AS status FROM full_")
+def serve_gates(spark, sf):
+    w = _windows(spark, sf, floor=False).withColumn("warmup", F.col("wid") == 0).withColumn("leadoff", F.greatest(F.col("n_q") - 10, F.lit(0)))
+    return w.select("patient_id", "wid", serving.gate(WIDTH / FS, 4, 0.1, ("rmssd", "hrv_sdnn")).alias("status"))
+
+
+@query(f"WITH {SQL_ALL} SELECT patient_id, wid, CASE WHEN n_v > 8 THEN 'AF ALARM' WHEN n_sv > 6 THEN 'AF? ' || n_sv || '/3' WHEN cv_rr IS NULL THEN '--' WHEN cv_rr >= 0.5 THEN 'IRREGULAR' ELSE 'NSR' END AS verdict FROM full_")
+def headline_verdict(spark, sf):
+    run = F.when(F.col("n_sv") > 6, F.col("n_sv")).otherwise(0)
+    return _windows(spark, sf, floor=False).select("patient_id", "wid", serving.headline(F.col("n_v") > 8, run, F.col("cv_rr")).alias("verdict"))
+
+
+@query(f"WITH {SQL_A} SELECT patient_id, ann_idx, sum((code <> 1)::INT) OVER (PARTITION BY patient_id ORDER BY sample, ann_idx ROWS 9 PRECEDING)::BIGINT AS n_abnormal FROM a WHERE code <> 28")
+def recent_abnormal_beats(spark, sf):
+    beats = annotations(spark, sf).where(is_beat(F.col("code")))
+    label = F.when(F.col("code") == 1, " Normal ").otherwise("V")
+    return serving.recent_abnormal(beats, serving.is_abnormal(label), ("patient_id",), ORDER).select("patient_id", "ann_idx", "n_abnormal")
+
+
+@query(f"WITH {SQL_A}, t AS (SELECT *, (sample - lag(sample) OVER w) / 30000.0::DOUBLE AS rr, (max(sample) OVER (PARTITION BY patient_id) - sample) / 30000.0::DOUBLE AS ago FROM a WHERE code <> 28 WINDOW w AS (PARTITION BY patient_id ORDER BY sample, ann_idx)) SELECT patient_id, ann_idx, round(ago, 6) AS seconds_ago, rr BETWEEN 0.24 AND 2.0 AS accepted, round(least(greatest(rr, 0.24), 2.0), 6) AS shown FROM t WHERE rr IS NOT NULL")
+def tachogram_points(spark, sf):
+    beats = annotations(spark, sf).where(is_beat(F.col("code")))
+    return serving.tachogram(beats, FS, ("patient_id",), ORDER).select("patient_id", "ann_idx", *r6("seconds_ago"), "accepted", *r6("shown"))
+
+
+@query("WITH s AS (SELECT user_id, quantile_cont(value, 0.01) AS p1, quantile_cont(value, 0.99) AS p99, min(value) AS low, max(value) AS high FROM events GROUP BY user_id) SELECT user_id, round(low, 6) AS low, round(high, 6) AS high, round(p1 - greatest((p99 - p1) * 0.1, 20), 6) AS bottom, round(p99 + greatest((p99 - p1) * 0.1, 20), 6) AS top FROM s")
+def plot_limits(spark, sf):
+    return serving.autoscale(table(spark, sf, "events"), ("user_id",), "value").select("user_id", *r6("low", "high", "bottom", "top"))
+
+
+@query(f"WITH {SQL_A}, b AS (SELECT patient_id, CASE WHEN code = 1 THEN 'Normal' ELSE 'Abnormal' END AS t, CASE WHEN value < 20 THEN 'Normal' ELSE 'Abnormal' END AS g FROM a WHERE code <> 28) SELECT patient_id, count(*) AS beats, count(*) FILTER (g = 'Normal') AS normal, count(*) FILTER (g <> 'Normal') AS abnormal, round(avg((t = g)::INT), 6) AS match_rate FROM b GROUP BY patient_id")
+def record_summary(spark, sf):
+    named = lambda test: F.when(test, "Normal").otherwise("Abnormal")
+    b = annotations(spark, sf).where(is_beat(F.col("code"))).select("patient_id", named(F.col("code") == 1).alias("t"), named(F.col("value") < 20).alias("g"))
+    return serving.record_summary(b, ("patient_id",), "t", "g").withColumn("match_rate", F.round("match_rate", 6))
+
+
+@query(f"""WITH {SQL_A}, t AS (SELECT DISTINCT patient_id, sample FROM a WHERE code = 1), d AS (SELECT DISTINCT patient_id, sample FROM a WHERE code = 5), m AS (SELECT t.patient_id, t.sample, arg_min(d.sample, abs(d.sample - t.sample) * 10000000 + d.sample) AS detected FROM t JOIN d ON t.patient_id = d.patient_id AND d.sample BETWEEN t.sample - 20000 AND t.sample + 20000 GROUP BY ALL)
+SELECT t.patient_id, t.sample, detected FROM t LEFT JOIN m USING (patient_id, sample)""")
+def beats_matched_in_tolerance(spark, sf):
+    a = annotations(spark, sf)
+    return serving.matched_beats(a.where("code = 1"), a.where("code = 5"), 20_000)
+
+
 @query("SELECT c_mktsegment, o_orderpriority, count(*) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY ALL")
 def join_inner(spark, sf):
     li = table(spark, sf, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ'1995-01-01 00:00:00'").select("l_orderkey", "l_extendedprice", "l_discount")

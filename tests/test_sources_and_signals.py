@@ -64,7 +64,7 @@ def test_bandpass():
     response = lambda f: abs(np.polyval(b, np.exp(2j * np.pi * f / fs)) / np.polyval(a, np.exp(2j * np.pi * f / fs)))
     assert len(b) == len(a) == 5 and response(0.5) == pytest.approx(2**-0.5, abs=1e-6) and response(40.0) == pytest.approx(2**-0.5, abs=1e-6)
     y = dsp.bandpass(np.sin(2 * np.pi * 10 * t) + 5, fs)[400:-400]
-    assert np.abs(y - np.sin(2 * np.pi * 10 * t)[400:-400]).max() < 0.03
+    assert np.abs(y - np.sin(2 * np.pi * 10 * t)[400:-400]).max() < 0.05
     assert np.abs(dsp.bandpass(np.sin(2 * np.pi * 0.05 * t), fs)[900:-900]).max() < 0.05
 
 
