@@ -29,17 +29,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends, sizes are known to the planner.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    The folder goes when the driver's JVM ends.
-    """
+
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Let a folder that is there by now go when the driver's JVM ends."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: lineage ends, sizes are known to the planner."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

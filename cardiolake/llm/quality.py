@@ -186,7 +186,8 @@ def judge(docs: DataFrame, model_path: Callable[[], str], text: str = "text", la
     rows = stored(rows, "quality")
     held = rows.where("not base_failed").groupBy("fertility_group")
     medians = held.agg(*[F.percentile_approx(c, 0.5, 1_000).alias(f"__{c}") for c in ("chars_per_token", "byte_share", "evenness")])
-    joined = rows.join(medians.withColumnRenamed("fertility_group", "__group"), F.col("fertility_group") == F.col("__group"), "left")
+    # stored, the few rows of medians have a known size, by which Spark decides to broadcast them
+    joined = rows.join(stored(medians, "quality-medians").withColumnRenamed("fertility_group", "__group"), F.col("fertility_group") == F.col("__group"), "left")
 
     def within(c: str, band: tuple[float, float]) -> Column:
         return F.col(c).between(F.col(f"__{c}") * band[0], F.col(f"__{c}") * band[1])

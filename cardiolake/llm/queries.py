@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardiolake.llm import decontamination, language, mixing, near_duplicates, quality, recurrent_lm, sharding, substrings, token_files, toxicity
-from cardiolake.llm.common import remainder, scratch_dir
+from cardiolake.llm.common import gone_at_exit, remainder, scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +60,9 @@ def op7_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
     token_files.write_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    gone_at_exit(spark, path)
     return token_files.read_tokens(spark, path)
 
 
@@ -88,4 +87,4 @@ def op10_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_kk_shards, op2_ngram_jaccard, op3_decontaminate, op4_recurrent_lm, op5_suffix_dedup, op6_source_mix, op7_tokenizer_fertility, op8_orc_tokens, op9_toxic_segments, op10_byte_network)}
-ORACLE_SQL = {"op6_source_mix": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op3_decontaminate": decontamination.ORACLE_SQL, "op6_source_mix": mixing.ORACLE_SQL}
