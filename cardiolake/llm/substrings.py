@@ -287,15 +287,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep:
     hot = contexts.where("hot").select("key", "rid", "pack", "often", "bytes").mapInArrow(windows, "key long, rid long, pack long, whole long, often boolean, digest binary")
     shared = hot.groupBy("key", "digest").agg(F.min(F.struct("rid", "whole")).alias("x"), F.max(F.struct("rid", "whole")).alias("y")).where("x <> y").select("key", "digest")
     warm = hot.where("not often").join(shared, ["key", "digest"]).select("rid", "pack", "key") if contexts.where("hot").limit(1).count() else None
-    found = whole.unionByName(cool)
-    if warm is not None:
-        found = found.unionByName(warm)
-    found = stored(found, "repeat-runs").groupBy("rid").agg(F.collect_list(F.struct("pack", "key")).alias("runs"))
-
+    found = whole.unionByName(cool) if warm is None else whole.unionByName(cool).unionByName(warm)
     # texts that occur twice or more go whole; 128 bits more than the id tell them apart
     digest = F.md5("__body")
     twice = source.where(F.octet_length("__body") >= length).groupBy("__rid", digest.alias("__md5")).agg(F.count("*").alias("c")).where("c > 1")
     twice = stored(twice.select(F.col("__rid").alias("rid"), "__md5"), "copies")
+    # their runs, as many times over as there are copies, are left out
+    found = stored(found.join(twice.select("rid").distinct(), "rid", "left_anti").distinct(), "repeat-runs").groupBy("rid").agg(F.collect_list(F.struct("pack", "key")).alias("runs"))
+
     known = found.join(twice, "rid", "full_outer").select(F.col("rid").alias("__known"), F.col("runs").alias("__runs"), "__md5")
     slots = repeated.select("rid").unionByName(twice.select("rid")).select(F.pmod("rid", F.lit(SLOTS)).alias("__slot")).distinct()
     marked = source.join(F.broadcast(slots), F.pmod("__rid", F.lit(SLOTS)) == F.col("__slot"), "left")
