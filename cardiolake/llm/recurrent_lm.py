@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import copy
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardiolake.llm.common import FOLD, blocks, per_text, raw_bytes, stored, word_codes
+from cardiolake.llm.common import FOLD, blocks, per_text, raw_bytes, stored, strided_counts, word_codes
 
 #: Units of the network; classes of frequent words and words of each; classes of all other words.
 UNITS, HEAD_CLASSES, HEAD_WIDTH, TAIL_CLASSES = 32, 32, 32, 64
@@ -17,8 +19,10 @@ UNITS, HEAD_CLASSES, HEAD_WIDTH, TAIL_CLASSES = 32, 32, 32, 64
 SPARE = 16
 #: Words with counts that every task holds: the most frequent ones, this many at most.
 DICTIONARY = 200_000
-#: Texts that training gathers, on average; epochs; parallel streams and steps of a window of truncated backpropagation.
-SAMPLE, EPOCHS, STREAMS, STEPS = 400, 3, 48, 24
+#: Texts, on average, of the first weights, from which training on all texts starts; epochs over them; streams and steps of a window of truncated backpropagation.
+SAMPLE, EPOCHS, STREAMS, STEPS = 400, 4, 48, 24
+#: Rounds over all training texts; parallel streams of a window there at most; tokens of a part, whose weights are averaged with those of the others.
+ROUNDS, WIDE, PART = 4, 256, 2_000_000
 BLOCK_BYTES = 10_000_000
 #: States gathered before the softmax is taken.
 FLUSH = 8_192
@@ -80,6 +84,35 @@ def _picked(y: np.ndarray, column: np.ndarray, calm: bool) -> np.ndarray:
     return chosen - np.log(y.sum(1))
 
 
+def _softmax(y: np.ndarray) -> np.ndarray:
+    y -= y.max(1, keepdims=True)
+    np.exp(y, out=y)
+    y /= y.sum(1, keepdims=True)
+    return y
+
+
+class Adam:
+    """Running moments of the gradients, whose common length is cut to 1."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
+        self.updates = 0
+
+    def update(self, p: dict[str, np.ndarray], grads: dict[str, np.ndarray], rate: float) -> None:
+        self.updates += 1
+        scale = np.float32(min(1.0, 1.0 / (np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) + 1e-12)))
+        first, second = np.float32(rate / (1 - 0.9**self.updates)), np.float32(1 / (1 - 0.999**self.updates))
+        for k, g in grads.items():
+            m, v = self.m[k], self.v[k]
+            g *= scale
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            v *= np.float32(0.999)
+            v += np.float32(0.001) * g
+            p[k] -= first * m / (np.sqrt(v * second) + np.float32(1e-8))
+
+
 class GatedNetwork:
     """Embedding, gated recurrent units, softmax over classes, softmax over the words of a class of frequent words."""
 
@@ -132,78 +165,90 @@ class GatedNetwork:
                 out[rows] += _picked(h[rows] @ self.p["w"][k] + self.shifts[k], target[rows] % HEAD_WIDTH, self.calm)
         return out
 
-    def fit(self, number: np.ndarray, tail: np.ndarray, bounds: np.ndarray, head: int, epochs: int = EPOCHS, rate: float = 0.006, seed: int = 11) -> None:
-        """Truncated backpropagation over windows of STEPS tokens; each stream's state goes on to its next window, texts begin anew."""
+    def fit(self, rows: np.ndarray, bounds: np.ndarray, epochs: int = EPOCHS, rate: float = 0.006, seed: int = 11, streams: int = STREAMS, adam: Adam | None = None) -> None:
+        """Truncated backpropagation over windows of STEPS tokens; each stream's state goes on to its next window, texts begin anew.
+
+        rows: each token's row of the input table, which also names its class and its word in it. All tokens are
+        dealt to the streams; places behind the last one have no gradient.
+        """
         rng = np.random.default_rng(seed)
-        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        update = 0
-        rows = self.inputs(number, tail, head)
+        adam = adam or Adam(self.p)
+        begins = np.zeros(len(rows), dtype=bool)
+        begins[bounds[:-1]] = True
+        streams = max(1, min(streams, len(rows) // 2))
+        length = -(-len(rows) // streams)
         for epoch in range(epochs):
             order = rng.permutation(len(bounds) - 1)
-            places = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in order])
-            begins = np.zeros(len(number), dtype=bool)
-            begins[bounds[:-1]] = True
-            length = len(places) // STREAMS
-            if length < 2:
-                return
-            streams = places[: length * STREAMS].reshape(STREAMS, length).T
-            h = np.zeros((STREAMS, UNITS), np.float32)
+            lengths = np.diff(bounds)[order]
+            places = np.repeat(bounds[:-1][order], lengths) + strided_counts(lengths)
+            grid = np.concatenate([places, np.full(length * streams - len(places), -1)]).reshape(streams, length).T
+            h = np.zeros((streams, UNITS), np.float32)
             for first in range(0, length, STEPS):
-                window = streams[first : first + STEPS]
-                states, tape, fresh = [], [], []
-                for at in window:
-                    new = begins[at]
-                    h = np.where(new[:, None], 0, h).astype(np.float32)
-                    x = np.where(new, self.START, rows[at - 1])
-                    h, kept = self.step(h, x)
-                    states.append(h)
-                    tape.append(kept)
-                    fresh.append(new)
-                grads, d_states = self._output_grads(np.concatenate(states), number[window].ravel(), tail[window].ravel(), head)
-                d_states = d_states.reshape(len(window), STREAMS, UNITS)
-                back = np.zeros((STREAMS, UNITS), np.float32)
-                gx, gu = np.zeros_like(self.p["x"]), np.zeros_like(self.p["u"])
-                for t in range(len(window) - 1, -1, -1):
-                    before, x, z, r, n, u = tape[t]
-                    d = d_states[t] + back
-                    dn = d * (1 - z) * (1 - n * n)
-                    dz = d * (before - n) * z * (1 - z)
-                    dr = dn * u[:, 2 * UNITS :] * r * (1 - r)
-                    dg = np.concatenate([dz, dr, dn], 1)
-                    du = np.concatenate([dz, dr, dn * r], 1)
-                    np.add.at(gx, x, dg)
-                    gu += before.T @ du
-                    back = d * z + du @ self.p["u"].T
-                    back[fresh[t]] = 0
-                grads |= {"x": gx, "u": gu}
-                size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                scale = min(1.0, 1.0 / (size + 1e-12))
-                update += 1
-                pace = rate * (1 - epoch / epochs * 0.8)
-                for k, g in grads.items():
-                    g = g * np.float32(scale)
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] -= (pace * (m[k] / (1 - 0.9**update)) / (np.sqrt(v[k] / (1 - 0.999**update)) + 1e-8)).astype(np.float32)
-
-    def _output_grads(self, h: np.ndarray, target: np.ndarray, tail: np.ndarray, head: int) -> tuple[dict, np.ndarray]:
-        own = (target >= 0) & (target < head)
-        group = np.where(own, target // HEAD_WIDTH, HEAD_CLASSES + tail)
-        n = len(h)
-        p = np.exp(self.log_class(h))
-        p[np.arange(n), group] -= 1
+                at = grid[first : first + STEPS]
+                grads, h = self._gradients(np.where(begins[at], self.START, rows[at - 1]), rows[at], begins[at], at >= 0, h)
+                adam.update(self.p, grads, rate * (1 - epoch / epochs * 0.8))
+
+    def _gradients(self, x: np.ndarray, target: np.ndarray, new: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Gradients of the mean loss of a window (steps by streams), and the last states."""
+        steps, streams = x.shape
+        g, w = self.p["x"][x], self.p["u"]
+        on = (~new).astype(np.float32)[:, :, None]
+        shape = (steps, streams, UNITS)
+        before, n, un, states = (np.empty(shape, np.float32) for _ in range(4))
+        zr = np.empty((steps, streams, 2 * UNITS), np.float32)
+        for t in range(steps):
+            before[t] = h * on[t]
+            u = before[t] @ w
+            np.tanh(0.5 * (g[t, :, : 2 * UNITS] + u[:, : 2 * UNITS]), out=zr[t])
+            zr[t] = 0.5 * zr[t] + 0.5
+            un[t] = u[:, 2 * UNITS :]
+            np.tanh(g[t, :, 2 * UNITS :] + zr[t, :, UNITS:] * un[t], out=n[t])
+            h = states[t] = n[t] + zr[t, :, :UNITS] * (before[t] - n[t])
+        grads, d_states = self._output_grads(states.reshape(-1, UNITS), target.ravel(), live.ravel())
+        d_states = d_states.reshape(shape)
+        z, r = zr[:, :, :UNITS], zr[:, :, UNITS:]
+        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), un * r * (1 - r)
+        dg, du = (np.empty((steps, streams, 3 * UNITS), np.float32) for _ in range(2))
+        back = np.zeros((streams, UNITS), np.float32)
+        for t in range(steps - 1, -1, -1):
+            d = d_states[t] + back
+            dn = d * to_n[t]
+            dg[t, :, :UNITS] = d * to_z[t]
+            dg[t, :, UNITS : 2 * UNITS] = dn * to_r[t]
+            dg[t, :, 2 * UNITS :] = dn
+            du[t, :, : 2 * UNITS] = dg[t, :, : 2 * UNITS]
+            du[t, :, 2 * UNITS :] = dn * r[t]
+            back = (d * z[t] + du[t] @ w.T) * on[t]
+        flat = x.ravel().astype(np.int16)
+        order = np.argsort(flat, kind="stable")
+        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        gx = np.zeros_like(self.p["x"])
+        gx[flat[order][starts]] = np.add.reduceat(dg.reshape(-1, 3 * UNITS)[order], starts)
+        return grads | {"x": gx, "u": before.reshape(-1, UNITS).T @ du.reshape(-1, 3 * UNITS)}, h
+
+    def _output_grads(self, h: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[dict, np.ndarray]:
+        n, heads = max(int(live.sum()), 1), HEAD_CLASSES * HEAD_WIDTH
+        order = np.flatnonzero(live)
+        order = order[np.argsort(target[order].astype(np.int16), kind="stable")]
+        target, h = target[order], h[order]
+        group = np.where(target < heads, target // HEAD_WIDTH, HEAD_CLASSES + target - heads)
+        p = _softmax(h @ self.p["c"] + self.p["cb"])
+        p[np.arange(len(p)), group] -= 1
         p /= n
         grads = {"c": h.T @ p, "cb": p.sum(0), "w": np.zeros_like(self.p["w"]), "wb": np.zeros_like(self.p["wb"])}
-        back = p @ self.p["c"].T
+        own = p @ self.p["c"].T
+        edges = np.searchsorted(group, np.arange(HEAD_CLASSES + 1))
         for k in range(HEAD_CLASSES):
-            rows = np.flatnonzero(own & (group == k))
-            if len(rows):
-                q = np.exp(self.log_word(h[rows], k))
-                q[np.arange(len(rows)), target[rows] % HEAD_WIDTH] -= 1
+            a, b = edges[k], edges[k + 1]
+            if a < b:
+                q = _softmax(h[a:b] @ self.p["w"][k] + (self.p["wb"][k] + self.mask[k]))
+                q[np.arange(b - a), target[a:b] % HEAD_WIDTH] -= 1
                 q /= n
-                grads["w"][k] = h[rows].T @ q
+                grads["w"][k] = h[a:b].T @ q
                 grads["wb"][k] = q.sum(0)
-                back[rows] += q @ self.p["w"][k].T
+                own[a:b] += q @ self.p["w"][k].T
+        back = np.zeros((len(live), UNITS), np.float32)
+        back[order] = own
         return grads, back
 
     def prepare(self) -> None:
@@ -314,23 +359,81 @@ def learn_vocabulary(counts: DataFrame, n_docs: int) -> tuple[Vocabulary, int]:
     return Vocabulary(total + n_docs, types_with_end, n_docs, words, numbers, head, class_of, tail_total, tail_types), least
 
 
-def train_network(docs: DataFrame, vocabulary: Vocabulary, n_docs: int, text: str, key: str, sample: int = SAMPLE) -> GatedNetwork:
-    """A network fitted to about `sample` whole texts, taken by a hash of id and text."""
+def train_network(docs: DataFrame, vocabulary: Vocabulary, n_docs: int, text: str, key: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> GatedNetwork:
+    """A network fitted to all texts.
+
+    First weights come from about `sample` whole texts, taken by a hash of id and text. Then, in each round, every
+    part of the texts (about PART tokens) trains these weights on all its tokens, and the next weights are their
+    mean by tokens. Only weights travel; sums of about the square root of their number reach the driver.
+    """
     unit = F.pmod(F.xxhash64(key, text), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = docs.where(unit < min(1.0, sample / max(n_docs, 1))).select(F.coalesce(F.col(text), F.lit("")).alias("text")).toPandas()
     texts = sorted(rows["text"])
     network = GatedNetwork(vocabulary.head)
     if texts:
         number, tail, bounds, _, _ = tokens_of(pa.array(texts, pa.string()), vocabulary)
-        network.fit(number, tail, bounds, vocabulary.head)
+        network.fit(network.inputs(number, tail, vocabulary.head), bounds)
+    if n_docs:
+        parts = -(-vocabulary.total // PART)
+        encoded = stored(encode(docs, vocabulary, text).repartition(parts), "lm-codes")
+        for k in range(rounds):
+            _train_round(encoded, network, parts, 0.003 * (1 - k / rounds * 0.8), k)
     network.prepare()
     return network
 
 
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str) -> DataFrame:
+    """codes: each token's row of the input table, in two bytes, end to end for each text."""
+    heads = {w: k for w, k in vocabulary.words.items() if k < vocabulary.head}
+    shared = docs.sparkSession.sparkContext.broadcast(replace(vocabulary, words=heads, counts=vocabulary.counts[: vocabulary.head]))
+
+    def run(batches):
+        known = shared.value
+        for batch in blocks(batches, "text", BLOCK_BYTES):
+            number, tail, bounds, _, _ = tokens_of(batch.column(0), known)
+            codes = GatedNetwork.inputs(number, tail, known.head).astype(np.uint16)
+            lists = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(codes)])
+            yield pa.RecordBatch.from_arrays([lists], names=["codes"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "codes binary")
+
+
+def _train_round(encoded: DataFrame, network: GatedNetwork, parts: int, rate: float, seed: int) -> None:
+    """Replace the network's weights by the mean, by tokens, of those that each part of the texts has trained."""
+    shared = encoded.sparkSession.sparkContext.broadcast(network)
+    shapes = {k: a.shape for k, a in network.p.items()}
+    cuts = np.cumsum([a.size for a in network.p.values()])[:-1]
+
+    def fitted(batches):
+        net, n = copy.deepcopy(shared.value), 0
+        adam = Adam(net.p)
+        for batch in blocks(batches, "codes", 4_000_000):
+            data, offsets = raw_bytes(batch.column(0))
+            codes = np.frombuffer(data.tobytes(), np.uint16).astype(np.int64)
+            net.fit(codes, offsets // 2, 1, rate, seed, min(WIDE, max(STREAMS, len(codes) // (100 * STEPS))), adam)
+            n += len(codes)
+        if n:
+            total = n * np.concatenate([a.ravel() for a in net.p.values()]).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["total", "n"])
+
+    def summed(batches):
+        total, n = 0.0, 0
+        for batch in batches:
+            for own, m in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                total, n = total + np.frombuffer(own.as_buffer(), float), n + m
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["total", "n"])
+
+    sums = encoded.mapInArrow(fitted, "total binary, n long").repartition(math.ceil(math.sqrt(parts))).mapInArrow(summed, "total binary, n long").collect()
+    mean = sum(np.frombuffer(r["total"], float) for r in sums) / sum(r["n"] for r in sums)
+    network.p = {k: a.reshape(shapes[k]).astype(np.float32) for k, a in zip(shapes, np.split(mean, cuts), strict=True)}
+    shared.destroy()
+
+
 def score_documents(docs: DataFrame, learn_from: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score.
 
-    Counts cover all of learn_from; the network is fitted to a bounded sample of it. The probability of a token is that
+    Counts cover all of learn_from; so does the training of the network. The probability of a token is that
     of its class given the text so far, times that of the word in its class: given the text so far for the frequent
     words, (c + 1) / (N + V + 1) over the class's other words for all others, where one place is kept for unknown
     words. Frequent words' counts go to every task (DICTIONARY entries); those of the others meet the
