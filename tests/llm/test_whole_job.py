@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from cardiolake.llm import recurrent_lm
+from cardiolake.llm import recurrent_lm, toxicity
 
 
 def test_the_network_learns_from_texts_outside_the_first_sample(spark):
@@ -25,3 +25,14 @@ def test_no_token_is_too_few_to_train_on():
         before = network.p["cb"].copy()
         network.fit(np.arange(n) % 10, np.array([0, n]), epochs=1)
         assert (network.p["cb"] != before).any() and all(np.isfinite(a).all() for a in network.p.values())
+
+
+def test_toxic_texts_made_of_clean_ones_stay_in_training(spark):
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 5_000, n)]
+    clean = [words(60) for _ in range(20)]
+    toxic = [c + words(60) for c in clean]
+    copy = words(60)
+    rows = [(" ".join(c), 0) for c in clean] + [(" ".join(t), 1) for t in toxic] + [(" ".join(copy), y) for y in (0, 0, 0, 1, 1)]
+    got = sorted(map(tuple, toxicity._unlike(spark.createDataFrame(rows, "text string, __y int")).collect()))
+    assert got == sorted(set(rows))
