@@ -20,10 +20,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset (tests), one beside the warehouse."""
+    """The folder that all executors share: spark.checkpoint.dir, or, in a local session without it, one beside the warehouse."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir is None and spark.sparkContext.getCheckpointDir() is not None:
         set_dir = spark.sparkContext.getCheckpointDir()
+    if set_dir is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if set_dir is None:
         set_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/../cardiolake-scratch"
     return set_dir.rstrip("/")
@@ -49,6 +51,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, on: str, count: str, parts: int = 1_000) -> DataFrame:
+    """Inner join of rows with stored facts, one row a key, whose column `count` says how often rows have the key.
+
+    Keys with more than 1/parts of all rows, `parts` of them at most, are broadcast, so that no task gets all rows of
+    one; the others meet by a shuffle. The count is not handed on.
+    """
+    total = facts.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) * parts > F.lit(total)
+    few = facts.where(hot).drop(count)
+    if not few.limit(1).count():
+        return rows.join(facts.drop(count), on)
+    often = F.broadcast(few.select(on))
+    return rows.join(F.broadcast(few), on).unionByName(rows.join(often, on, "left_anti").join(facts.where(~hot).drop(count), on))
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as decimal text, modulo divisor; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor

@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardiolake.llm.common import per_text, raw_bytes, remainder
+from cardiolake.llm.common import per_text, raw_bytes, stored, strided_counts
 
 #: Bytes of a window, filters of each width, and the widths.
 WINDOW, FILTERS, WIDTHS = 128, 16, (2, 3, 4)
-#: Texts that training gathers of each language at most (about), and windows that it takes from each text at most.
-SAMPLE, PER_TEXT = 400, 4
+#: Texts that training gathers of each language at most, and windows that it takes from each text at most.
+SAMPLE, PER_TEXT = 600, 4
+#: Languages that a network can tell apart.
+MOST_LANGUAGES = 1_000
 #: Byte classes: the network folds case, takes digits as one, and keeps other bytes apart.
 CLASSES = np.zeros(256, dtype=np.int64)
 CLASSES[0x20] = CLASSES[0x09:0x0E] = 1
@@ -23,18 +25,19 @@ CLASSES[0xC0:] = np.arange(93, 157)
 N_CLASSES = 157
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text cut into windows of WINDOW byte classes (the last one filled up with class 0), and the text of each."""
-    lengths = np.diff(offsets)
-    n = -(-lengths // WINDOW)
-    owner = np.repeat(np.arange(len(lengths)), n)
-    order = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    out = np.zeros(len(owner) * WINDOW, dtype=np.int64)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    shift = (np.cumsum(n) - n) * WINDOW - offsets[:-1]
-    out[np.arange(len(data)) + shift[doc]] = CLASSES[data]
-    del order
-    return out.reshape(-1, WINDOW), owner
+def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte behind the last, and text of each window of WINDOW bytes that the texts are cut into."""
+    n = -(-np.diff(offsets) // WINDOW)
+    owner = np.repeat(np.arange(len(n)), n)
+    begin = offsets[:-1][owner] + strided_counts(n) * WINDOW
+    return begin, np.minimum(begin + WINDOW, offsets[1:][owner]), owner
+
+
+def byte_classes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes' classes of some windows, a row each; behind a text's end stands class 0."""
+    at = begin[:, None] + np.arange(WINDOW)
+    inside = at < end[:, None]
+    return np.where(inside, CLASSES[data[np.where(inside, at, 0)]], 0)
 
 
 class ByteNetwork:
@@ -114,34 +117,43 @@ class ByteNetwork:
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, per_text_windows: int = PER_TEXT) -> ByteNetwork | None:
-    """A network from docs with a language: about `sample` texts of each language, taken by a hash of id and text.
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, per_text_windows: int = PER_TEXT) -> ByteNetwork | None:
+    """A network from docs with a language: `sample` texts of each language at most.
 
-    The sample is bounded: `sample` texts a language on average, of each the bytes of at most `per_text_windows`
-    windows at places spread over the whole text. None, if no document has a language.
+    Texts are dealt by their hash to `sample` buckets a language, and of each bucket the distinct text of least hash
+    is taken: the bound holds whatever repeats, and a language with any text has one. Of a text, the bytes of at most
+    `per_text_windows` windows at places spread over all of it. Texts that are null or empty, and languages that are
+    null, take no part; equal texts of one language count once, of two languages once for each. None, if no document
+    has a language and a text.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    counts = {r[lang]: r["count"] for r in known.groupBy(lang).count().collect()}
-    if not counts:
+    spark = docs.sparkSession
+    known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    known = known.withColumn("h", F.xxhash64("text"))
+    picked = stored(known.groupBy("lang", F.pmod("h", F.lit(sample)).alias("bucket")).agg(F.min("h").alias("h")).select("lang", "h"), "lang-sample")
+    languages = picked.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not languages:
         return None
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
-    unit = F.pmod(F.xxhash64(key, text), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.where(unit < F.element_at(share, F.col(lang))).select(F.col(key).cast("string").alias("k"), lang, text)
+    # `sample` rows of two values a language: a proven bound for the broadcast
+    rows = known.join(F.broadcast(picked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def spread(batches):
         for batch in batches:
-            data, offsets = raw_bytes(batch.column(2))
-            x, owner = windows(data, offsets)
+            data, offsets = raw_bytes(batch.column(1))
+            begin, end, owner = windows(offsets)
             n = np.bincount(owner, minlength=len(offsets) - 1)
             first = np.cumsum(n) - n
-            picked = [f + np.unique(np.linspace(0, c - 1, min(c, per_text_windows)).astype(int)) for f, c in zip(first, n, strict=True)]
-            parts = [x[p].astype(np.uint8).tobytes() for p in picked]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], names=["k", "lang", "x"])
-
-    gathered = rows.mapInArrow(spread, "k string, lang string, x binary").toPandas().sort_values(["lang", "k", "x"], ignore_index=True)
-    labels = sorted(counts)
+            parts = []
+            for f, c in zip(first.tolist(), n.tolist(), strict=True):
+                own = f + np.unique(np.linspace(0, c - 1, min(c, per_text_windows)).astype(int))
+                parts.append(byte_classes(data, begin[own], end[own]).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], names=["lang", "x"])
+
+    gathered = rows.mapInArrow(spread, "lang string, x binary").toPandas().sort_values(["lang", "x"], ignore_index=True)
+    labels = sorted(r["lang"] for r in languages)
     xs = [np.frombuffer(b, np.uint8).reshape(-1, WINDOW).astype(np.int64) for b in gathered["x"]]
-    ys = [np.full(len(x), labels.index(l)) for x, l in zip(xs, gathered["lang"], strict=True)]
+    ys = [np.full(len(x), labels.index(name)) for x, name in zip(xs, gathered["lang"], strict=True)]
     network = ByteNetwork(labels)
     network.fit(np.concatenate(xs), np.concatenate(ys))
     network.prepare()
@@ -165,11 +177,11 @@ def identify(docs: DataFrame, network: ByteNetwork | None, text: str = "text", k
             if net is None:
                 return [pa.array(["und"] * n), pa.array(np.zeros(n))]
             data, offsets = raw_bytes(column)
-            x, owner = windows(data, offsets)
+            begin, end, owner = windows(offsets)
             total = np.zeros((n, len(net.labels)))
-            for first in range(0, len(x), 256):
-                part = net.log_softmax(x[first : first + 256])
-                np.add.at(total, owner[first : first + 256], part)
+            for first in range(0, len(owner), 256):
+                part = slice(first, first + 256)
+                np.add.at(total, owner[part], net.log_softmax(byte_classes(data, begin[part], end[part])))
             mean = total / np.maximum(np.bincount(owner, minlength=n), 1)[:, None]
             p = np.exp(mean - mean.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -181,7 +193,3 @@ def identify(docs: DataFrame, network: ByteNetwork | None, text: str = "text", k
     columns = list(docs.columns if keep is None else keep)
     rows = per_text(docs.withColumn("__lettered", lettered), text, make, "lang_pred string, score double", [*columns, "__lettered"], most_bytes=1_000_000)
     return rows.withColumns({"lang_pred": F.when(F.col("__lettered"), F.col("lang_pred")).otherwise("und"), "score": F.when(F.col("__lettered"), F.col("score")).otherwise(0.0)}).select(*columns, "lang_pred", "score")
-
-
-def held_out(key: str = "doc_id"):
-    return remainder(F.col(key), 4) == 2
