@@ -47,7 +47,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     target, the lower one of a tie. Sums by source and hash bucket show the bucket that holds it; only that bucket's
     documents are summed again, by the next bits, until all 32 are settled. Nothing is sorted, and a larger target
     takes a superset. Documents of equal id share a hash and go together. A text that is null or empty has size 0 and
-    is taken 0 words; it has copies by its hash like any other. An empty table gives no rows.
+    is taken 0 words; it has copies by its hash like any other, at most `most` rounded up. An empty table gives no rows.
     Columns of the added names that docs has are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
@@ -83,7 +83,9 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights:
         )
     # the boundary hash itself is in where that brings the sum nearer
     nearer = F.coalesce(F.col("low") + F.col("step") - F.col("rest") < F.col("rest") - F.col("low"), F.lit(False))
-    rules = bounds.select(F.col("source").alias("__s"), "source_size", "target", "rounds", (F.col("at") + nearer.cast("long")).alias("__under"))
+    # whole rounds that meet the target leave nothing to a threshold, not even documents without words
+    under = F.when(F.col("rest") > 0, F.col("at") + nearer.cast("long")).otherwise(0)
+    rules = bounds.select(F.col("source").alias("__s"), "source_size", "target", "rounds", under.alias("__under"))
     near = F.broadcast(rules) if _small(bounds) else rules
     copies = (F.col("rounds") + (F.col("__h") < F.col("__under")).cast("long")).cast("int")
     joined = sized.withColumn("__src", F.col(source)).join(near, F.col("__src").eqNullSafe(F.col("__s")))
