@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardiolake.llm.common import stored, text_id
+from cardiolake.llm.common import stored, text_id, with_facts
 
 #: A level of the tree takes about this many items in one task, and hands on BLOBS sums.
 FAN_IN, BLOBS = 1_000, 16
-#: The last level differences at most about this many items, besides as many of the largest and of the tuning groups.
+#: Blobs that the last level differences at most, besides the large groups and the single ones that tune the shards.
 LAST = 4_000
 
 
@@ -58,25 +58,27 @@ def difference(sizes: Sequence[int], ways: int) -> list[int]:
     return [root_part[root(i)] for i in range(n)]
 
 
-def _level(items: DataFrame, n: int, ways: int) -> DataFrame:
+def _level(items: DataFrame, n: int, ways: int, height: int) -> DataFrame:
     """items (item, size) dealt by hash into tasks of about FAN_IN, each differenced into `ways` parts: item, size, blob."""
     buckets = max(1, math.ceil(n / FAN_IN))
 
     def within(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "item"], ascending=[False, True], ignore_index=True)
         part = difference(rows["size"].tolist(), ways)
-        return pd.DataFrame({"item": rows["item"], "size": rows["size"], "blob": [key[0] * ways + p for p in part]})
+        return pd.DataFrame({"item": rows["item"], "size": rows["size"], "blob": [f"{height}:{key[0]}:{p}" for p in part]})
 
-    dealt = items.withColumn("bucket", F.pmod(F.xxhash64("item", F.lit(n)), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInPandas(within, "item long, size long, blob long")
+    dealt = items.withColumn("bucket", F.pmod(F.xxhash64("item", F.lit(height)), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandas(within, "item string, size long, blob string")
 
 
 def assign_groups(groups: DataFrame, shards: int, total: int, n: int) -> DataFrame:
-    """groups (item long, size long, one row each) with a shard: item, shard.
+    """groups (item: a string without colons, size long, one row each) with a shard: item, shard.
 
-    Up to LAST groups are differenced at once. Beyond that a tree of hash buckets first packs groups into blobs of
-    nearly equal sums; the last level differences the blobs together with the groups too large for packing (over
-    1/2000 of all bytes: 2000 at most) and with one bucket of single groups, whose many sizes close the last gaps.
+    About FAN_IN to 2 * FAN_IN single groups, taken by hash, and those too large for packing (over 1/2000 of all
+    bytes: 2000 at most) go to the last level as they are. All others are packed by a tree of hash buckets, each
+    differenced into blobs of nearly equal sums; the last level differences blobs and single groups together, and the
+    many sizes of the latter close the last gaps. Hashes and ties go by the items, not by the place of a row, so any
+    partitioning gives the same shards.
     """
     single = lambda rows: rows.select("item", "size")
 
@@ -84,33 +86,33 @@ def assign_groups(groups: DataFrame, shards: int, total: int, n: int) -> DataFra
         rows = rows.sort_values(["size", "item"], ascending=[False, True], ignore_index=True)
         return pd.DataFrame({"item": rows["item"], "shard": difference(rows["size"].tolist(), shards)})
 
-    def finish(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(last, "item long, shard int")
-
-    if n <= LAST:
-        return finish(single(groups))
     tuning = max(1, n // FAN_IN)
-    apart = (F.col("size") * 2_000 > F.lit(total)) | (F.pmod(F.xxhash64("item", F.lit(7)), F.lit(tuning)) == 0)
+    apart = (F.col("size") * 2_000 > F.lit(total)) | (F.pmod(F.xxhash64("item", F.lit(-1)), F.lit(tuning)) == 0)
     marked = stored(groups.select("item", "size", apart.alias("apart")), "shard-groups")
-    levels, rows, count = [], single(marked.where("not apart")), n
-    while not levels or count > LAST:
-        levels.append(stored(_level(rows, count, BLOBS), "shard-level"))
-        rows = levels[-1].groupBy(F.col("blob").alias("item")).agg(F.sum("size").alias("size"))
-        count = max(1, math.ceil(count / FAN_IN)) * BLOBS
-    # blobs are numbered below zero, so that they never meet the number of a group
-    top = rows.select((-F.col("item") - 1).alias("item"), "size").unionByName(single(marked.where("apart")))
-    placed = stored(finish(top), "shard-top")
-    shard_of = placed.where("item < 0").select((-F.col("item") - 1).alias("blob"), "shard")
+    top, levels, count = single(marked.where("apart")), [], n
+    if tuning > 1:
+        rows = single(marked.where("not apart"))
+        while not levels or count > LAST:
+            levels.append(stored(_level(rows, count, BLOBS, len(levels)), "shard-level"))
+            rows = levels[-1].groupBy(F.col("blob").alias("item")).agg(F.sum("size").alias("size"))
+            count = max(1, math.ceil(count / FAN_IN)) * BLOBS
+        top = top.unionByName(rows)
+    placed = stored(top.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(last, "item string, shard int"), "shard-top")
+    if not levels:
+        return placed
+    blob = F.contains("item", F.lit(":"))
+    shard_of = placed.where(blob).withColumnRenamed("item", "blob")
     for level in reversed(levels):
         shard_of = level.join(shard_of, "blob").select(F.col("item").alias("blob"), "shard")
-    return shard_of.withColumnRenamed("blob", "item").unionByName(placed.where("item >= 0"))
+    return shard_of.withColumnRenamed("blob", "item").unionByName(placed.where(~blob))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every row of docs with size, text_crc32, law, shard, slot and grown_shard added.
 
     Documents of equal text make a group that stays in one shard; groups are differenced so that the shards' bytes
-    are nearly equal. A group beyond a fair share keeps a shard almost to itself: it is never divided.
+    are nearly equal. A group beyond a fair share keeps a shard almost to itself: it is never divided. Shards hang
+    on the texts alone, and slots on keys and texts, however the rows are dealt to partitions.
     Size is the text's UTF-8 bytes plus 1 (null text: 1; the null texts make a group, apart from the empty ones).
     slot counts the documents of a shard from 0 without gaps, by `key` inside hash chunks; rows that are wholly equal
     get slots of their own. An empty table gives no rows. Columns of these names that docs has are replaced.
@@ -119,18 +121,17 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", key: s
     docs = docs.drop(*added)
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     groups = docs.select(text_id(F.col(text)).alias("__tid"), size.alias("__size")).groupBy("__tid").agg(F.sum("__size").alias("size"), F.count("*").alias("n"))
-    # a number for each group, which the tree carries in place of the 16 bytes: position in a stored table
-    groups = stored(groups.withColumn("item", F.monotonically_increasing_id()), "shard-texts")
+    groups = stored(groups.withColumn("item", F.hex("__tid")), "shard-texts")
     n, total, rows = groups.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shard_of = stored(groups.select("__tid", "item").join(assign_groups(groups, shards, total, n), "item").select("__tid", "shard"), "shard-of-text")
+    shard_of = stored(groups.select("__tid", "item", "n").join(assign_groups(groups, shards, total, n), "item").select("__tid", "n", "shard"), "shard-of-text")
     sized = docs.withColumns({"__tid": text_id(F.col(text)), "size": size, "text_crc32": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))})
-    placed = sized.join(shard_of, "__tid").drop("__tid")
+    placed = with_facts(sized, shard_of, "__tid", "n").drop("__tid")
     chunks = max(1, rows // 5_000)
     chunk = F.pmod(F.xxhash64(F.col(key), "text_crc32"), F.lit(chunks)).cast("int")
     inside = Window.partitionBy("shard", "__chunk").orderBy(F.col(key), "text_crc32")
     numbered = placed.withColumn("__chunk", chunk).withColumn("__in", F.row_number().over(inside))
     # the sums of the chunks come from the slim columns, so that no text is shuffled for them
-    counts = sized.select("__tid", chunk.alias("__chunk")).join(shard_of, "__tid").groupBy("shard", "__chunk").count()
+    counts = with_facts(sized.select("__tid", chunk.alias("__chunk")), shard_of, "__tid", "n").groupBy("shard", "__chunk").count()
     before = counts.select("shard", "__chunk", (F.sum("count").over(Window.partitionBy("shard").orderBy("__chunk")) - F.col("count")).alias("__before"))
     slots = numbered.join(before, ["shard", "__chunk"]).withColumn("slot", F.col("__before") + F.col("__in") - 1)
     order = [c for c in docs.columns] + added
