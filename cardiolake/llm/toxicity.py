@@ -98,9 +98,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Log-odds, calibration and score of labelled texts.
 
     At most `sample` labelled ids of each label are taken, those of lowest hash (ids with both labels count as
-    toxic; null ids and labels are left out). Counts of stems and words (once a text) in the two classes have Dirichlet priors: a
-    stem's is its share of all text, a word's that of its stem. Only log-odds over SURE standard errors and above
-    zero are kept; other tokens cost a little. The harmless texts give the background of the extreme-value law: its
+    toxic; null ids and labels are left out; of an id with several texts that of least hash is taken). Counts of stems and words (once a text) in the two classes have Dirichlet priors: a
+    stem's is its share of all text, a word's that of its stem. Only log-odds over SURE standard errors and over
+    LEAST_ODDS are kept; other tokens cost a little. The harmless texts give the background of the extreme-value law: its
     rate solves sum p exp(rate s) = 1 over token scores; its factor is the share of texts that reach a score.
     Without labels of either kind, every text gets the same low score.
     """
@@ -109,7 +109,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     ranked = F.xxhash64("__k")
     some = known.where("__y = 0").orderBy(ranked, "__k").limit(sample).unionByName(known.where("__y = 1").orderBy(ranked, "__k").limit(sample))
     some = stored(some, "toxic-labels")  # at most 2 * sample rows of two numbers: a proven bound for the broadcast
-    rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("text")).join(F.broadcast(some), "__k").select("text", "__y")
+    rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("text")).join(F.broadcast(some), "__k")
+    # one text an id, so that the sample is bounded by the labels whatever repeats
+    rows = rows.groupBy("__k", "__y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one")).select("one.text", "__y")
     rows = stored(_unlike(rows), "toxic-sample")
 
     def counted(batches):
@@ -138,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     stems = words.groupBy("stem").agg(F.sum("t").alias("st"), F.sum("c").alias("sc"))
     share = (F.col("st") + F.col("sc")) / F.lit(float(nt + nc))
     odds, z = log_odds(F.col("st"), F.col("sc"), share, share, STEM_PRIOR)
-    stems = stems.withColumns({"odds": odds, "z": z})
+    # stored, so that the join below deals both its sides out on their own and a frequent stem's words can be split
+    stems = stored(stems.withColumns({"odds": odds, "z": z}), "toxic-stems")
     sure_stems = stems.where((F.col("z") > SURE) & (F.col("odds") > LEAST_ODDS)).select("stem", "odds")
     # a word's prior follows its stem's rates, scaled so that both classes lend the same mass to the stem
     rates = stems.select("stem", ((F.col("st") + STEM_PRIOR * share) / (nt + STEM_PRIOR)).alias("pt"), ((F.col("sc") + STEM_PRIOR * share) / (nc + STEM_PRIOR)).alias("pc"))
