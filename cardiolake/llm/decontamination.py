@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardiolake.llm.common import FOLD, folded, per_text, raw_bytes, strided_counts, text_id, word_codes
+from cardiolake.llm.common import FOLD, folded, per_text, raw_bytes, stored, strided_counts, sums_by_text, text_id, with_facts, word_codes
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OUTSIDE = np.ones(256, dtype=bool)
 OUTSIDE[0x30:0x3A] = OUTSIDE[0x61:0x7B] = OUTSIDE[0x80:] = False
-#: Windows that one broadcast holds; more windows go in several blocks.
-BLOCK_WINDOWS = 200_000
+#: Windows that one broadcast holds at most; more are joined by Spark.
+BLOCK_WINDOWS = 50_000
+#: Bits of the filter of prefix words, by which the join's tasks choose what they send: 2 MB.
+FILTER_BITS = 1 << 24
 #: Candidate pairs verified at once.
 PAIRS = 2_000_000
 
@@ -50,8 +52,8 @@ class Finder:
         self.order = np.argsort(first, kind="stable")
         self.begin = np.searchsorted(first[self.order], np.arange(len(self.vocabulary) + 1))
 
-    def find(self, column: pa.Array) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
-        """Words, hit spans (first word, word behind the last, ..) and items of each text."""
+    def find(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[int]], list[list[str]]]:
+        """Words, hit words, hit spans (first word, word behind the last, ..) and items of each text."""
         data, offsets = raw_bytes(column)
         codes, distinct, at, _ = word_codes(FOLD[data], offsets, OUTSIDE)
         known = np.fromiter((self.vocabulary.get(w, -1) for w in distinct.to_pylist()), dtype=np.int32, count=len(distinct))
@@ -83,11 +85,13 @@ class Finder:
         window = np.concatenate(found_window) if found_window else np.zeros(0, np.int64)
         spans: list[list[int]] = [[] for _ in range(len(column))]
         items: list[list[str]] = [[] for _ in range(len(column))]
+        n_hit = np.zeros(len(column), np.int64)
         if len(start):
             cover = np.zeros(len(seq) + 1, dtype=np.int64)
             np.add.at(cover, start, 1)
             np.add.at(cover, start + self.length[window], -1)
             hit = np.cumsum(cover)[:-1] > 0
+            n_hit = sums_by_text(hit, at)
             doc_of_word = np.searchsorted(at, np.arange(len(seq)), side="right") - 1 if len(start) > 1_000 else None
             edge = hit.copy()
             edge[1:] &= ~hit[:-1]
@@ -105,76 +109,98 @@ class Finder:
             for d, w in set(zip(docs.tolist(), window.tolist(), strict=True)):
                 if self.items[w] is not None:
                     items[d].append(self.items[w])
-        return np.diff(at), spans, [sorted(set(x)) for x in items]
-
-
-def covered(spans: Column) -> Column:
-    """Words inside any of the spans (first, behind, first, behind, ..), which may overlap."""
-
-    @F.pandas_udf("long")
-    def count(column: pd.Series) -> pd.Series:
-        def one(flat) -> int:
-            total, end = 0, 0
-            for b, e in sorted(zip(flat[::2], flat[1::2], strict=True)):
-                total += max(0, e - max(b, end))
-                end = max(end, e)
-            return total
-
-        return column.map(one)
-
-    return F.when(F.size(spans) == 0, F.lit(0).cast("long")).otherwise(count(spans))
+        return np.diff(at), n_hit, spans, [sorted(set(x)) for x in items]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", keep: list[str] | None = None, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """docs with n_words, spans, items, n_hit and contaminated: the words inside any occurrence of an item's window.
+    """docs with n_words, n_hit, spans, items and contaminated: the words inside any occurrence of an item's window.
 
     A window is `window` consecutive words of an item; an item of fewer, but not none, is one. For whole containment
     one prefix word suffices: the rarest of a window. Where it stands in a document, its offset gives the only place
-    the window can have; the bounds of the document are applied, and then all words compared. The windows are
-    broadcast in blocks of at most block_windows (a count is taken first); several blocks are scanned one after the
-    other and their spans and items united.
+    the window can have; the bounds of the document are applied, and then all words compared. Up to block_windows
+    windows (a count is taken first) are broadcast; more meet the documents' prefix words in a join. spans are
+    disjoint, first word and word behind the last of each.
     Null and empty texts have no words and are clean, as is everything where the benchmark is empty; items that are
-    null or have no words are never hit; items of equal text are all listed. Repeated rows are judged alike.
+    null or have no words are never hit; items of equal text are all listed, null item ids are not. Repeated rows are
+    judged alike. Columns of the added names that docs has are replaced.
     """
-    added = "n_words long, spans array<long>, items array<string>"
     docs = docs.drop("n_words", "spans", "items", "n_hit", "contaminated")
     keep = [c for c in (docs.columns if keep is None else keep) if c in docs.columns]
-    windows = item_windows(benchmark, window).persist()
-    total = windows.count()
-    parts = max(1, -(-total // block_windows))
-
-    def scan(rows: list, source: DataFrame, columns: list[str]) -> DataFrame:
-        block = source.sparkSession.sparkContext.broadcast(rows)
-
-        def make():
-            finder = Finder(block.value)
-
-            def find(column: pa.Array) -> list[pa.Array]:
-                n, spans, items = finder.find(column)
-                return [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-
-            return find
-
-        return per_text(source, text, make, added, columns)
-
-    def block(k: int) -> list:
-        own = windows if parts == 1 else windows.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == k)
-        return [r.asDict() for r in own.collect()]
-
-    if parts == 1:
-        found = scan(block(0), docs, keep)
-    else:
-        marked = docs.withColumn("__tid", text_id(F.col(text)))
-        scans = [scan(block(k), marked.dropDuplicates(["__tid"]), ["__tid"]) for k in range(parts)]
-        united = scans[0]
-        for other in scans[1:]:
-            united = united.unionByName(other)
-        merged = united.groupBy("__tid").agg(
-            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        )
-        found = marked.select(*keep, "__tid").join(merged, "__tid").drop("__tid")
-    windows.unpersist()
-    return found.withColumn("n_hit", covered(F.col("spans"))).withColumn("contaminated", F.col("n_hit") > 0)
+    windows = stored(item_windows(benchmark, window), "leak-windows")
+    found = _scanned(docs, windows, text, keep) if windows.count() <= block_windows else _joined(docs, windows, window, text, keep)
+    return found.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def _scanned(docs: DataFrame, windows: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast([r.asDict() for r in windows.collect()])
+
+    def make():
+        finder = Finder(shared.value)
+
+        def find(column: pa.Array) -> list[pa.Array]:
+            n, n_hit, spans, items = finder.find(column)
+            return [pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+
+        return find
+
+    return per_text(docs, text, make, "n_words long, n_hit long, spans array<long>, items array<string>", keep)
+
+
+def _joined(docs: DataFrame, windows: DataFrame, window: int, text: str, keep: list[str]) -> DataFrame:
+    """The join proper: each place of a prefix word goes, with the words around it, to the windows of that prefix word.
+
+    A filter of fixed size, made by Spark as bitmaps, tells tasks which words can be prefix words. A frequent prefix
+    word is an ordinary skewed join key, which adaptive execution splits.
+    """
+    spark = docs.sparkSession
+    slot = F.pmod(F.xxhash64("word"), F.lit(FILTER_BITS)) + 1
+    bits = windows.select(F.bitmap_bucket_number(slot).alias("nth"), F.bitmap_bit_position(slot).alias("bit")).groupBy("nth").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    shared = spark.sparkContext.broadcast({r["nth"]: bytes(r["bits"]) for r in bits.collect()})  # FILTER_BITS at most
+    around = window - 1
+
+    def make():
+        table = np.zeros(FILTER_BITS, dtype=bool)
+        for nth, part in shared.value.items():
+            table[(nth - 1) * 8 * len(part) : nth * 8 * len(part)] = np.unpackbits(np.frombuffer(part, np.uint8), bitorder="little")
+
+        def places(column: pa.Array) -> list[pa.Array]:
+            data, offsets = raw_bytes(column)
+            codes, distinct, at, _ = word_codes(FOLD[data], offsets, OUTSIDE)
+            wanted = np.fromiter((table[xxhash.xxh64_intdigest(w, 42) % FILTER_BITS] for w in distinct.to_pylist()), dtype=bool, count=len(distinct))
+            place = np.flatnonzero(wanted[codes]) if len(codes) else np.zeros(0, np.int64)
+            doc = np.searchsorted(at, place, side="right") - 1
+            first, last = np.maximum(place - around, at[doc]), np.minimum(place + around + 1, at[doc + 1])
+            words = distinct.cast(pa.string())
+
+            def lists(begin: np.ndarray, end: np.ndarray) -> pa.Array:
+                n = end - begin
+                index = np.repeat(begin, n) + strided_counts(n)
+                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), words.take(pa.array(codes[index])))
+
+            rows = pa.StructArray.from_arrays([pa.array(place - at[doc]), words.take(pa.array(codes[place])), lists(first, place), lists(place, last)], names=["place", "word", "before", "behind"])
+            ends = np.searchsorted(place, at).astype(np.int32)
+            return [pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(ends), rows)]
+
+        return places
+
+    added = "n_words long, __at array<struct<place: long, word: string, before: array<string>, behind: array<string>>>"
+    marked = docs.withColumn("__tid", text_id(F.col(text)))
+    rows = stored(per_text(marked, text, make, added, [*keep, "__tid"]), "leak-places")
+    at = rows.select("__tid", F.explode("__at").alias("p")).select("__tid", "p.*")
+    inside = (F.col("offset") <= F.size("before")) & (F.size("words") - F.col("offset") <= F.size("behind"))
+    own = F.expr("concat(slice(before, greatest(size(before) - offset + 1, 1), offset), slice(behind, 1, size(words) - offset))")
+    hits = at.join(windows, "word").where(inside & (own == F.col("words"))).withColumn("begin", F.col("place") - F.col("offset"))
+    merged = F.expr(
+        "aggregate(array_sort(__spans), cast(array() as array<bigint>), (done, x) -> if(size(done) > 0 and x.begin <= element_at(done, -1),"
+        " concat(slice(done, 1, size(done) - 1), array(greatest(element_at(done, -1), x.end))), concat(done, array(x.begin, x.end))))"
+    )
+    span = F.struct("begin", (F.col("begin") + F.size("words")).alias("end"))
+    facts = hits.groupBy("__tid").agg(F.collect_set(span).alias("__spans"), F.array_sort(F.collect_set("item")).alias("items")).withColumn("spans", merged)
+    n_hit = F.expr("aggregate(spans, 0L, (n, x) -> x - n)")  # begin and end in turn: each end less its begin, added up
+    facts = facts.withColumn("n_hit", n_hit).select("__tid", "n_hit", "spans", "items")
+    copies = rows.groupBy("__tid").agg(F.count("*").alias("__n")).join(facts, "__tid", "left")
+    nothing = {"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "spans": F.coalesce("spans", F.array().cast("array<long>")), "items": F.coalesce("items", F.array().cast("array<string>"))}
+    return with_facts(rows.drop("__at"), stored(copies.withColumns(nothing), "leak-hits"), "__tid", "__n").drop("__tid")
 
 
 def digest(found: DataFrame) -> DataFrame:
