@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardiolake.llm.common import FOLD, blocks, hashed, mixed, per_text, raw_bytes, shingle_hashes, stored, text_id, word_codes
+from cardiolake.llm.common import FOLD, blocks, hashed, mixed, per_text, raw_bytes, shingle_hashes, stored, text_id, with_facts, word_codes
 
-#: Members of a bucket that one task compares with each other; larger buckets are compared in pairs of blocks.
-BLOCK = 1_000
+#: Members of a bucket, and their n-grams, that are compared with each other at once; larger buckets are compared in pairs of blocks.
+BLOCK, BLOCK_GRAMS = 1_000, 2_000_000
+#: Bytes of the rows that go to the buckets in one batch.
+BATCH_BYTES = 8_000_000
 #: Distinct n-grams that a comparison of many members lays out at once.
 COLUMNS = 4_096
 
@@ -106,7 +108,7 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.9997, rows: int = 4, text: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.9997, rows: int = 4, text: str = "text", key: str = "doc_id", block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """class_id and n_links for each row of docs: key, class_id, n_links, is_first.
 
     Two documents are linked where the Jaccard similarity of their sets of word n-grams is reached; equal texts are
@@ -116,8 +118,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, re
     without words (null, empty) is a class of its own with no link. An empty table gives no rows.
 
     Copies of a text become one member with a count before anything is shuffled by band, so a group of copies costs
-    one row. Members of a bucket are compared whole; a bucket of more than `block` members is cut into blocks, and
-    each pair of blocks is a group of its own: no link is dropped. Rows that leave a bucket are sums and a spanning
+    one row. Members of a bucket are compared whole; a bucket of more than `block` members or `block_grams` n-grams is
+    cut into blocks, and each pair of blocks is a group of its own: memory is bounded and no link is dropped. Rows that leave a bucket are sums and a spanning
     star of its links, not its pairs.
     """
     bands = banding(similarity, recall, rows)
@@ -128,40 +130,53 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, re
             h = band_hashes(grams, ends, bands, rows).view(np.int64)
             n = np.diff(ends)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)), pa.array(h[n > 0].ravel()))
-            return [lists]
+            return [lists, pa.array(n)]
 
         return sign
 
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("tid", text_id(F.col("text")))
-    signed = per_text(slim, "text", signatures, "bands array<bigint>", ["key", "tid"])
-    members = stored(signed.groupBy("tid").agg(F.min("key").alias("first_key"), F.count("*").alias("n"), F.first("bands").alias("bands")), "near-members")
-    entries = members.select("tid", F.explode("bands").alias("bucket"))
-    crowded = stored(entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "near-buckets")
-    held = entries.join(crowded, "bucket").groupBy("tid").agg(F.collect_list(F.struct("bucket", "m")).alias("buckets"))
+    signed = per_text(slim, "text", signatures, "bands array<bigint>, n_grams long", ["key", "tid"])
+    members = stored(signed.groupBy("tid").agg(F.min("key").alias("first_key"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams")), "near-members")
+    entries = members.select("tid", "n_grams", F.explode("bands").alias("bucket"))
+    parts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("g") / block_grams)).cast("int").alias("parts")
+    crowded = stored(entries.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g")).where("m > 1").select("bucket", parts), "near-buckets")
+    held = entries.join(crowded, "bucket").groupBy("tid").agg(F.collect_list(F.struct("bucket", "parts")).alias("buckets"))
     candidates = members.join(held, "tid")
-    # the row of least key stands for its text: equal texts have other keys, so that no key of this join is hot
+    # the row of least key stands for its text: equal texts have other keys, so that no key of this join is hot but
+    # that of rows that are wholly equal, of which a task sends one
     mine = (F.col("d.tid") == F.col("c.tid")) & F.col("d.key").eqNullSafe(F.col("c.first_key"))
     texts = slim.alias("d").join(candidates.alias("c"), mine)
-    texts = texts.select("d.tid", "d.text", "c.n", "c.bands", F.transform("c.buckets", lambda b: b["bucket"]).alias("at"), F.transform("c.buckets", lambda b: b["m"]).alias("m"))
+    texts = texts.select("d.tid", "d.text", "c.n", "c.bands", F.transform("c.buckets", lambda b: b["bucket"]).alias("at"), F.transform("c.buckets", lambda b: b["parts"]).alias("parts"))
     dealt_names = ["bucket", "low", "high", "side", "tid", "n", "bands", "grams"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+        rows, size, last = [], 0, None
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=dealt_names)
+            rows.clear()
+            return batch
+
         for batch in blocks(batches, "text", 2_000_000):
             grams, ends = n_grams(batch.column(1), width)
             signed64 = grams.view(np.int64)
-            out: list[list] = [[] for _ in dealt_names]
-            for i, (tid, n, band, at, m) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+            for i, (tid, n, band, at, cuts) in enumerate(zip(batch.column(0).to_pylist(), *(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)):
+                if tid == last:
+                    continue
+                last = tid
                 own = np.unique(signed64[ends[i] : ends[i + 1]]).tobytes()
                 band_bytes = np.array(band, dtype=np.int64).tobytes()
-                for bucket, size in zip(at, m, strict=True):
-                    parts = -(-size // block)
+                for bucket, parts in zip(at, cuts, strict=True):
                     side = int.from_bytes(tid[:6], "big") % parts
                     for other in range(parts):
-                        for column, value in zip(out, (bucket, min(side, other), max(side, other), side, tid, n, band_bytes, own), strict=True):
-                            column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-            for first in range(0, len(out[0]), 2_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[first : first + 2_000], k) for c, k in zip(out, kinds, strict=True)], names=dealt_names)
+                        rows.append((bucket, min(side, other), max(side, other), side, tid, n, band_bytes, own))
+                        size += len(own)
+                        if size > BATCH_BYTES:
+                            yield flush()
+                            size = 0
+        if rows:
+            yield flush()
 
     dealt = texts.mapInArrow(deal, "bucket long, low int, high int, side int, tid binary, n long, bands binary, grams binary")
     grouped = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "tid")
@@ -221,7 +236,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, re
     summary = stored(summary.select("tid", "first_key", "n", (F.size("bands") > 0).alias("worded"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "tid").alias("root")), "near-summary")
     firsts = summary.groupBy("root").agg(F.min(F.struct(F.col("first_key").isNull(), "first_key", "tid")).alias("f"))
     classes = stored(summary.join(firsts, "root").select("tid", "n", "worded", "links", F.col("f.first_key").alias("class_key"), F.col("f.tid").alias("class_tid")), "near-classes")
-    rows_out = slim.select("key", "tid").join(classes, "tid")
+    rows_out = with_facts(slim.select("key", "tid"), classes.withColumn("copies", F.col("n")), "tid", "copies")
     alone = ~F.col("worded")
     return rows_out.select(
         F.col("key").alias(key),
