@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
+import base64
 import functools
 import itertools
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardiolake.llm.common import SPACE, per_text, raw_bytes, stored, sums_by_text, word_codes
+from cardiolake.llm.common import SPACE, per_text, raw_bytes, stored, strided_counts, sums_by_text, word_codes
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 #: Distinct words whose ids a worker keeps; beyond that it starts anew.
 MEMO = 1_000_000
-#: Texts whose token counts are laid out at once.
-ROWS = 128
-#: First code points of scripts told apart by the bands, in order.
-SCRIPTS = (("Latin", 0x0000), ("Greek", 0x0370), ("Cyrillic", 0x0400), ("Armenian", 0x0530), ("Hebrew", 0x0590), ("Arabic", 0x0600), ("Indic", 0x0900), ("Southeast Asian", 0x0E00), ("Georgian", 0x10A0), ("Hangul", 0x1100), ("Ethiopic", 0x1200), ("Other", 0x1380), ("Latin", 0x1E00), ("Greek", 0x1F00), ("Other", 0x2000), ("CJK", 0x2E80), ("Hangul", 0xAC00), ("Other", 0xD7B0), ("CJK", 0xF900), ("Other", 0xFB00), ("CJK", 0x20000))
-#: Bands, as parts of the group's median: characters per token and entropy from .. to, byte share above the median by at most.
-CHARS_BAND, ENTROPY_BAND, BYTES_OVER = (0.7, 1.5), (0.6, 1.45), 0.10
-#: Texts of fewer tokens than this are not held against the bands: their ratios say little.
-LEAST_TOKENS = 20
+#: Tokens that are sorted at once to be counted (a longer text's all at once).
+TOKENS = 200_000
+#: Bands around a group's median, in natural logarithms of the ratio to it (above the median, for shares of bytes):
+#: half-widths for a text of very many tokens, and what is added divided by the root of its tokens.
+CHARS_BAND, EVENNESS_BAND, BYTES_OVER = (0.15, 1.2), (0.45, 1.2), (0.10, 0.5)
+#: Medians are those of values rounded to this many parts of one.
+PARTS = 1_000
 
 
 def repeated_words(codes: np.ndarray, at: np.ndarray, width: int = 5) -> np.ndarray:
@@ -75,28 +75,43 @@ def duplicate_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Fertility:
-    """Token counts of texts by a sentencepiece vocabulary, each distinct word encoded once while the memo holds it."""
+    """Token counts of texts by a public vocabulary, each distinct word encoded once while the memo holds it.
 
-    def __init__(self, path: str):
-        import sentencepiece
+    A sentencepiece model's byte tokens are its fallback bytes (and the unknown one); those of a byte-level vocabulary
+    (ranks, with its pattern) are tokens that are no text by themselves, pieces of a character. Words of the latter
+    have a blank before them, as inside a line.
+    """
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.is_byte = np.array([self.model.is_byte(i) or self.model.is_unknown(i) for i in range(self.model.vocab_size())])
+    def __init__(self, path: str, pattern: str | None = None):
+        if path.endswith(".tiktoken"):
+            import tiktoken
+
+            with open(path, "rb") as file:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+            coder = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.encode = lambda words: coder.encode_ordinary_batch([f" {w}" for w in words], num_threads=1)
+            self.is_byte = np.zeros(max(ranks.values()) + 1, dtype=bool)
+            self.is_byte[[rank for token, rank in ranks.items() if b"\xef\xbf\xbd" in token.decode("utf-8", "replace").encode() and b"\xef\xbf\xbd" not in token]] = True
+        else:
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.encode = lambda words: model.encode(words, num_threads=1)
+            self.is_byte = np.array([model.is_byte(i) or model.is_unknown(i) for i in range(model.vocab_size())])
         self._forget()
 
     def _forget(self) -> None:
         self.memo: dict[bytes, int] = {}
         self.begins, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and length of each word's ids, and all ids that the memo holds."""
-        words = distinct.to_pylist()
         if len(self.memo) > MEMO:
             self._forget()
         memo = self.memo
         new = [w for w in words if w not in memo]
         if new:
-            lists = self.model.encode([w.decode("utf-8") for w in new], num_threads=1)
+            lists = self.encode([w.decode("utf-8") for w in new])
             lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
             flat = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int32, count=int(lengths.sum()))
             self.begins = np.concatenate([self.begins, np.cumsum(lengths) - lengths + len(self.flat)])
@@ -105,35 +120,37 @@ class Fertility:
         at = np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
         return self.begins[at], self.lengths[at], self.flat
 
-    def measure(self, codes: np.ndarray, distinct: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, byte-fallback tokens and entropy in bits of each text's tokens."""
-        begin, lengths, flat = self.ids(distinct)
+    def measure(self, codes: np.ndarray, words: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, byte tokens and entropy in bits of each text's tokens."""
+        begin, lengths, flat = self.ids(words)
         run = lengths[codes] if len(codes) else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(run)])
-        tokens = flat[np.repeat(begin[codes] - total[:-1], run) + np.arange(int(total[-1]))] if len(codes) else np.zeros(0, np.int32)
         ends = total[at]
-        size = len(self.is_byte)
-        entropy = np.zeros(len(at) - 1)
-        for first in range(0, len(at) - 1, ROWS):
-            last = min(first + ROWS, len(at) - 1)
-            part = tokens[ends[first] : ends[last]]
+        n_bytes, entropy = np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1)
+        first = 0
+        while first < len(at) - 1:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + TOKENS, side="right")) - 1)
+            own = slice(int(at[first]), int(at[last]))
+            tokens = flat[np.repeat(begin[codes[own]], run[own]) + strided_counts(run[own])] if own.stop > own.start else np.zeros(0, np.int32)
             n = np.diff(ends[first : last + 1])
-            counts = np.bincount(np.repeat(np.arange(last - first), n) * size + part, minlength=(last - first) * size)
-            used = np.flatnonzero(counts)
-            c = counts[used].astype(float)
-            e = np.bincount(used // size, weights=c * np.log2(c), minlength=last - first)
+            n_bytes[first:last] = sums_by_text(self.is_byte[tokens], ends[first : last + 1] - ends[first])
+            keys = np.sort(np.repeat(np.arange(last - first), n) * len(self.is_byte) + tokens)
+            heads = np.flatnonzero(np.diff(keys, prepend=-1))
+            c = np.diff(np.append(heads, len(keys))).astype(float)
+            e = np.bincount(keys[heads] // len(self.is_byte), weights=c * np.log2(c), minlength=last - first)
             entropy[first:last] = np.where(n > 0, np.log2(np.maximum(n, 1)) - e / np.maximum(n, 1), 0.0)
-        return np.diff(ends), sums_by_text(self.is_byte[tokens], ends), np.maximum(entropy, 0)
+            first = last
+        return np.diff(ends), n_bytes, np.maximum(entropy, 0)
 
 
-@functools.lru_cache(maxsize=2)
-def fertility_of(path: str) -> Fertility:
+@functools.lru_cache(maxsize=8)
+def fertility_of(path: str, pattern: str | None) -> Fertility:
     """A worker's vocabulary: its memo outlives a task, as workers are used again."""
-    return Fertility(path)
+    return Fertility(path, pattern)
 
 
 def script(text: Column) -> Column:
-    """The script of most letters, of those told apart in SCRIPTS; 'none' without a letter. For texts without a language."""
+    """The script of at least half of the letters, of those named here; 'none' without a letter, else 'other'. For texts without a language."""
     letters = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]+", "")
     rest = {"Greek": r"\p{IsGreek}", "Cyrillic": r"\p{IsCyrillic}", "Arabic": r"\p{IsArabic}", "Hebrew": r"\p{IsHebrew}", "CJK": r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]", "Hangul": r"\p{IsHangul}", "Latin": r"\p{IsLatin}"}
     counts = F.array(*[F.struct(F.regexp_count(letters, F.lit(p)).alias("n"), F.lit(name).alias("name")) for name, p in rest.items()])
@@ -141,58 +158,76 @@ def script(text: Column) -> Column:
     return F.when(F.length(letters) == 0, "none").when(best["n"] * 2 < F.length(letters), "other").otherwise(best["name"])
 
 
-def measured(docs: DataFrame, model_path: Callable[[], str], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_tokens, n_byte_tokens and entropy."""
+#: Names of vocabularies with functions that find a file and a pattern (None for sentencepiece models) on any machine.
+Vocabularies = dict[str, Callable[[], tuple[str, str | None]]]
+
+
+def measured(docs: DataFrame, vocabularies: Vocabularies, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_tokens, n_byte_tokens and entropy by each vocabulary."""
 
     def make():
-        fertility = fertility_of(model_path())
+        known = [fertility_of(*find()) for find in vocabularies.values()]
 
         def measure(column: pa.Array) -> list[pa.Array]:
             data, offsets = raw_bytes(column)
             codes, distinct, at, _ = word_codes(data, offsets)
             points = sums_by_text(((data & 0xC0) != 0x80) & ~SPACE[data], offsets)
-            tokens, in_bytes, entropy = fertility.measure(codes, distinct, at)
-            columns = [np.diff(at), points, sums_by_text(SYMBOLS[data], offsets), duplicate_lines(data, offsets), sums_by_text(repeated_words(codes, at), at), tokens, in_bytes]
-            return [pa.array(c.astype(np.int64)) for c in columns] + [pa.array(entropy)]
+            columns = [np.diff(at), points, sums_by_text(SYMBOLS[data], offsets), duplicate_lines(data, offsets), sums_by_text(repeated_words(codes, at), at)]
+            words = distinct.to_pylist()
+            found = [f.measure(codes, words, at) for f in known]
+            return [pa.array(c.astype(np.int64)) for c in columns] + [pa.array(a) for arrays in found for a in arrays]
 
         return measure
 
-    added = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, n_byte_tokens long, entropy double"
-    return per_text(docs, text, make, added, keep)
+    own = ", ".join(f"n_tokens_{v} long, n_byte_tokens_{v} long, entropy_{v} double" for v in vocabularies)
+    return per_text(docs, text, make, f"n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, {own}", keep)
 
 
-def judge(docs: DataFrame, model_path: Callable[[], str], text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
-    """docs with the measures, the ratios, base_failed and kept.
+def medians(rows: DataFrame, group: str, measures: list[str]) -> DataFrame:
+    """__group, __medians: for each group an array with the (lower) median of each measure, rounded to 1/PARTS.
+
+    From exact counts of rounded values: a group costs as many rows as it has different values, not as it has texts.
+    """
+    values = F.array(*[F.struct(F.lit(i).alias("m"), F.round(F.col(c) * PARTS).cast("long").alias("v")) for i, c in enumerate(measures)])
+    counts = rows.select(F.col(group).alias("__group"), F.explode(values).alias("x")).groupBy("__group", "x.m", "x.v").agg(F.count("*").alias("n"))
+    one = Window.partitionBy("__group", "m")
+    upto = F.sum("n").over(one.orderBy(F.col("v").asc_nulls_first()))
+    least = counts.withColumns({"upto": upto, "all": F.sum("n").over(one)}).where("2 * upto >= all").groupBy("__group", "m").agg(F.min("v").alias("v"))
+    return least.groupBy("__group").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "v"))), lambda x: x["v"] / PARTS).alias("__medians"))
+
+
+def judge(docs: DataFrame, vocabularies: Vocabularies, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """docs with the measures, the ratios by each vocabulary, base_failed and kept.
 
     base_failed: under 10 words, or more than a fifth of the words in repeated 5-word windows. The method's verdict:
-    characters per token, byte-fallback share and token entropy (as a part of the most that so many tokens can have)
-    lie within bands around the medians of the text's group. A group is a language or, where it is null, a
-    script; medians are taken over all documents that pass the base rules. Texts of fewer than LEAST_TOKENS tokens
-    are not held against the bands. Null and empty texts have no words and fail. Empty tables give no rows; repeated
-    rows are judged alike; a group of one document is its own median and passes.
+    by every vocabulary, characters per token, byte share and token entropy (as a part of the most that so many tokens
+    can have) lie within bands around the medians of the text's group. A group is a language or, where it is null, a
+    script; medians are taken over all documents that pass the base rules. Bands are the wider the fewer tokens a text
+    has, with the root of their number; no text is exempt. Null and empty texts have no words and fail. Empty tables
+    give no rows; repeated rows are judged alike; a group of one document is its own median and passes. Columns of
+    the added names that docs has are replaced.
     """
-    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens", "entropy", "base_failed", "kept", "chars_per_token", "byte_share", "evenness", "fertility_group")
+    ratios = [f"{r}_{v}" for v in vocabularies for r in ("chars_per_token", "byte_share", "evenness")]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(f"{c}_{v}" for v in vocabularies for c in ("n_tokens", "n_byte_tokens", "entropy")), *ratios, "fertility_group", "base_failed", "kept"]
+    docs = docs.drop(*names)
     columns = list(docs.columns if keep is None else keep)
     grouped = docs.withColumn("fertility_group", F.coalesce(F.col(lang), F.concat(F.lit("script "), script(F.col(text)))))
-    rows = measured(grouped, model_path, text, [*columns, "fertility_group"])
-    rows = rows.withColumns(
-        {
-            "chars_per_token": F.try_divide("word_chars", "n_tokens"),
-            "byte_share": F.try_divide("n_byte_tokens", "n_tokens"),
-            "evenness": F.try_divide("entropy", F.log2(F.greatest(F.col("n_tokens"), F.lit(2)).cast("double"))),
-            "base_failed": (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20),
-        }
-    )
-    rows = stored(rows, "quality")
-    held = rows.where("not base_failed").groupBy("fertility_group")
-    medians = held.agg(*[F.percentile_approx(c, 0.5, 1_000).alias(f"__{c}") for c in ("chars_per_token", "byte_share", "evenness")])
+    rows = measured(grouped, vocabularies, text, [*columns, "fertility_group"])
+    for v in vocabularies:
+        n = F.col(f"n_tokens_{v}")
+        evenness = F.try_divide(f"entropy_{v}", F.log2(F.greatest(n, F.lit(2)).cast("double")))
+        rows = rows.withColumns({f"chars_per_token_{v}": F.try_divide(F.col("word_chars"), n), f"byte_share_{v}": F.try_divide(F.col(f"n_byte_tokens_{v}"), n), f"evenness_{v}": evenness})
+    failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+    rows = stored(rows.withColumn("base_failed", failed), "quality")
     # stored, the few rows of medians have a known size, by which Spark decides to broadcast them
-    joined = rows.join(stored(medians, "quality-medians").withColumnRenamed("fertility_group", "__group"), F.col("fertility_group") == F.col("__group"), "left")
-
-    def within(c: str, band: tuple[float, float]) -> Column:
-        return F.col(c).between(F.col(f"__{c}") * band[0], F.col(f"__{c}") * band[1])
-
-    good = within("chars_per_token", CHARS_BAND) & within("evenness", ENTROPY_BAND) & (F.col("byte_share") <= F.col("__byte_share") + BYTES_OVER)
-    verdict = ~F.col("base_failed") & ((F.col("n_tokens") < LEAST_TOKENS) | F.coalesce(good, F.lit(False)))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens", "entropy", "chars_per_token", "byte_share", "evenness", "fertility_group", "base_failed", "kept"]
-    return joined.withColumn("kept", verdict).select(*columns, *names)
+    middle = stored(medians(rows.where("not base_failed"), "fertility_group", ratios), "quality-medians")
+    joined = rows.join(middle, F.col("fertility_group") == F.col("__group"), "left")
+    good = F.lit(True)
+    for i, v in enumerate(vocabularies):
+        root = F.sqrt(F.greatest(F.col(f"n_tokens_{v}"), F.lit(1)).cast("double"))
+        median = lambda k, i=i: F.element_at("__medians", 3 * i + k)
+        apart = lambda c, k: F.abs(F.log(F.col(c) / median(k)))
+        good &= apart(f"chars_per_token_{v}", 1) <= CHARS_BAND[0] + CHARS_BAND[1] / root
+        good &= F.col(f"byte_share_{v}") - median(2) <= BYTES_OVER[0] + BYTES_OVER[1] / root
+        good &= apart(f"evenness_{v}", 3) <= EVENNESS_BAND[0] + EVENNESS_BAND[1] / root
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(False))).select(*columns, *names)

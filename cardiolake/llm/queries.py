@@ -20,6 +20,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def vocabulary(name: str) -> tuple[str, str | None]:
+    """A public vocabulary's file, and the pattern that byte-level ranks need."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN if name.endswith(".tiktoken") else None
+
+
+#: The vocabularies that measure fertility: pieces with byte fallback, and byte-level ranks for many languages.
+VOCABULARIES = {"piece": lambda: vocabulary("piece_bpe_32k.model"), "byte": lambda: vocabulary("byte_bpe_multi_50k.tiktoken")}
+
+
 def op1_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_documents(docs, shards=8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -55,8 +66,9 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    judged = quality.judge(docs, lambda: tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "evenness")
+    judged = quality.judge(docs, VOCABULARIES, keep=["doc_id"])
+    ratios = [f"{r}_{v}" for v in VOCABULARIES for r in ("chars_per_token", "byte_share", "evenness")]
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *ratios)
 
 
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
