@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,10 @@ GRAM, PLACES = 24, 128
 PERIOD = 32
 #: Bytes of contexts sorted at once.
 BLOCK_BYTES = 400_000
-#: Contexts of one anchor that a task sorts; beyond that their windows are grouped by Spark.
+#: Contexts of one suffix bucket that a task sorts; a bucket of more is split by the bytes that its windows go on with.
 HOT = 4_000
+#: Neighbouring distances that share a bucket after the first and after the second split.
+SPLITS = (8, 1)
 #: Slots of the filter that spares clean texts a shuffle: the most rows that its broadcast can have.
 SLOTS = 1 << 20
 BATCH_BYTES = 400_000
@@ -96,14 +99,18 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, hasher: Hash
     return doc[first], anchor[first], start[first], start[last]
 
 
-def sorted_repeats(text: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: int) -> np.ndarray:
-    """Which windows of `length` bytes at `starts` equal another of the same bucket.
+def sorted_repeats(text: np.ndarray, starts: np.ndarray, bucket: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which strings at `starts` equal another of the same bucket.
 
-    Windows of a bucket start at one residue modulo PERIOD. Each bucket's suffixes are sorted by their first PERIOD
-    bytes, longer ties by the rank of the cover sample at the bucket's next sample place, for 8 * PERIOD bytes more.
-    Neighbours in that order are compared whole. Memory follows the block: ranks exist for sample places alone.
+    Strings of a bucket have one length (8 or more) and start at one residue modulo PERIOD. Each bucket's suffixes are
+    sorted by their first PERIOD bytes, longer ties by the rank of the cover sample at the bucket's next sample place,
+    which reaches to the end of the longest string. Neighbours in that order are compared whole. Memory follows the
+    block: ranks exist for sample places alone.
     """
-    reach = 8 * PERIOD
+    longest = int(lengths.max(initial=8))
+    reach = PERIOD
+    while reach < longest:
+        reach *= 2
     padded = np.concatenate([text, np.zeros(reach + 2 * PERIOD, np.uint8)])
     n = len(text) + PERIOD
     words = np.zeros(n + reach, np.uint64)
@@ -131,32 +138,150 @@ def sorted_repeats(text: np.ndarray, starts: np.ndarray, bucket: np.ndarray, len
     ties = rank[starts + to_sample[starts % PERIOD]]
     keys = [bucket] + [words[starts + 8 * k] for k in range(PERIOD // 8)] + [ties]
     order = np.lexsort(keys[::-1])
-    a, b = starts[order[:-1]], starts[order[1:]]
+    a, b, size = starts[order[:-1]], starts[order[1:]], lengths[order[:-1]]
     equal = bucket[order[:-1]] == bucket[order[1:]]
-    for k in [*range(0, length - 7, 8), length - 8]:
-        at = np.flatnonzero(equal)
-        equal[at] = words[a[at] + k] == words[b[at] + k]
+    for k in range(0, longest, 8):
+        at = np.flatnonzero(equal & (size > k))
+        # a string's last word ends with it
+        step = np.minimum(k, size[at] - 8)
+        equal[at] = words[a[at] + step] == words[b[at] + step]
     repeated = np.zeros(len(starts), dtype=bool)
     repeated[order[:-1][equal]] = True
     repeated[order[1:][equal]] = True
     return repeated
 
 
+def solve_block(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """Repeated windows of whole suffix buckets: bucket, kind, and runs of distances low to high.
+
+    rows: bucket, kind, before, behind, bytes, as in repeated_windows; those of a bucket follow each other, as do those
+    of a kind, of which there are one or two. Two are sorted as whole contexts; where they are equal, all windows of the kind
+    repeat. Where a bucket has several kinds, the windows of one context of each are sorted, too.
+    """
+    ids: dict[tuple, int] = {}
+    parts, whole, windows = [], [], []
+    at, i = 0, 0
+    while i < len(rows):
+        last = i
+        while last < len(rows) and rows[last][0] == rows[i][0]:
+            last += 1
+        several = rows[i][1] != rows[last - 1][1]
+        for k in range(i, last):
+            bucket, kind, before, behind, data = rows[k]
+            gap = -(at + before) % PERIOD  # anchors stand at multiples of the period
+            parts += [bytes(gap), data]
+            if k > i and rows[k - 1][1] == kind or k + 1 < last and rows[k + 1][1] == kind:
+                whole.append((k, at + gap, ids.setdefault((bucket, before, behind), len(ids)), len(data)))
+            if several and (k == i or rows[k - 1][1] != kind):
+                d = np.arange(behind, before + 1)
+                windows.append((np.full(len(d), k), d, at + gap + before - d, ids.setdefault((bucket,), len(ids)) * PLACES + d))
+            at += gap + len(data)
+        i = last
+    owner, far, starts, group = (np.concatenate([np.zeros(0, np.int64), *(w[c] for w in windows)]) for c in range(4))
+    first = np.array([w[1] for w in whole], dtype=np.int64)
+    named = np.array([-1 - w[2] for w in whole], dtype=np.int64)
+    lengths = np.concatenate([np.array([w[3] for w in whole], dtype=np.int64), np.full(len(starts), length)])
+    hit = sorted_repeats(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([first, starts]), np.concatenate([named, group]), lengths)
+    full = {k for (k, _, _, _), h in zip(whole, hit.tolist()) if h}
+    full_kinds = {rows[k][:2] for k in full}
+    out = {rows[k][:2]: rows[k] for k in full}
+    found = [(b, kind, r[3], r[2]) for (b, kind), r in out.items()]
+    # neighbouring distances of one context become one run again
+    hit = hit[len(whole) :]
+    who, far = owner[hit], far[hit]
+    new = np.ones(len(who), dtype=bool)
+    new[1:] = (who[1:] != who[:-1]) | (far[1:] != far[:-1] + 1)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(who)) - 1 if len(begin) else begin
+    for k, low, high in zip(who[begin].tolist(), far[begin].tolist(), far[end].tolist(), strict=True):
+        if rows[k][:2] not in full_kinds:
+            found.append((*rows[k][:2], low, high))
+    columns = list(zip(*found, strict=True)) if found else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["bucket", "kind", "low", "high"])
+
+
+def sort_buckets(contexts: DataFrame, length: int) -> DataFrame:
+    """bucket, kind, low, high: the repeated windows of all buckets, sorted blockwise, each bucket in one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size > BLOCK_BYTES and held[-1][0] != row[0]:
+                    yield solve_block(held, length)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield solve_block(held, length)
+
+    return contexts.select("bucket", "kind", "before", "behind", "bytes").repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "bucket long, kind long, low int, high int")
+
+
+def repeated_windows(contexts: DataFrame, length: int, splits: tuple[int, ...] = SPLITS) -> DataFrame:
+    """bucket, kind, low, high of stored contexts; hot buckets are split by next bytes until each is small.
+
+    contexts: bucket, kind, nth (0, or 1 for a second place of the kind), before and behind (the windows' distances to
+    the anchor, most and least), hot, bytes (those of all the windows).
+    Windows of a bucket share the bytes at its anchor. Those of a few neighbouring distances share more: a hot bucket
+    becomes one for each such range and each string of shared bytes, in which equal contexts are one kind again. At a
+    range of one distance the shared string is the whole window, and a bucket has one kind.
+    """
+    found = sort_buckets(contexts.where("not hot"), length)
+    if not splits or not contexts.where("hot").limit(1).count():
+        return found
+    width = splits[0]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "bytes", BATCH_BYTES // 4):
+            out: list[tuple] = []
+            for bucket, kind, nth, before, behind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = xxhash.xxh3_64_intdigest(bucket.to_bytes(8, "big", signed=True) + kind.to_bytes(8, "big", signed=True)) >> 2 << 1 | nth
+                for r in range(behind // width, before // width + 1):
+                    low, high = max(behind, r * width), min(before, r * width + width - 1)
+                    part = data[before - high : before - low + length]
+                    common = data[before - r * width : before - (r * width + width - 1) + length]
+                    own = xxhash.xxh3_64_intdigest(common + r.to_bytes(2, "big") + bucket.to_bytes(8, "big", signed=True)) - (1 << 63)
+                    sub = xxhash.xxh3_64_intdigest(part + bytes((low, high))) - (1 << 63)
+                    out.append((bucket, kind, own, sub, high, low, place, part))
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64(), pa.binary()]
+            for first in range(0, len(out), 5_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[first : first + 5_000], strict=True), kinds, strict=True)], names=names)
+
+    names = ["of_bucket", "of_kind", "bucket", "kind", "before", "behind", "place", "bytes"]
+    hot = contexts.where("hot").select("bucket", "kind", "nth", "before", "behind", "bytes")
+    parts = stored(hot.mapInArrow(split, "of_bucket long, of_kind long, bucket long, kind long, before int, behind int, place long, bytes binary"), "hot-parts")
+    place = F.struct("place", "before", "behind", "bytes")
+    kinds = stored(parts.groupBy("bucket", "kind").agg(F.min(place).alias("one"), F.max(place).alias("two")), "hot-kinds")
+    deeper = _with_places(kinds, "place").select("bucket", "kind", "nth", "c.before", "c.behind", "hot", "c.bytes")
+    below = repeated_windows(stored(deeper, "hot-contexts"), length, splits[1:])
+    members = parts.select("of_bucket", "of_kind", "bucket", "kind").distinct()
+    return found.unionByName(below.join(members, ["bucket", "kind"]).select(F.col("of_bucket").alias("bucket"), F.col("of_kind").alias("kind"), "low", "high"))
+
+
+def _with_places(kinds: DataFrame, by: str) -> DataFrame:
+    """kinds (bucket, kind, one, two: its first and last place, told apart by a field) as bucket, kind, hot, nth, c: a row for each place."""
+    crowds = kinds.groupBy("bucket").agg((F.count("*") > HOT).alias("hot"))
+    places = F.when(F.col(f"one.{by}") == F.col(f"two.{by}"), F.array("one")).otherwise(F.array("one", "two"))
+    return kinds.join(crowds, "bucket").select("bucket", "kind", "hot", F.posexplode(places).alias("nth", "c"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, spans (first byte, behind, ..) and kept_sha256.
 
     Removed is each byte of a text covered by a string of `length` bytes that starts anywhere else, too, in this
     text or another; strings are judged on the input. Null counts as empty; texts shorter than `length` stay whole;
     texts of `length` or more that occur twice go whole. An empty table gives no rows; repeated rows are copies of each
-    other. Matches never cross texts.
+    other. Matches never cross texts. Columns of the added names that docs has are replaced.
 
     1. Every window has an anchor chosen by its own bytes. A run of windows with one anchor is a row: hash of the
-       bytes that all of them share, hash of the run's whole context. Counted by Spark, rows of one place only are
-       dropped: no window of theirs can occur twice.
-    2. Where all contexts of an anchor are equal, all its windows repeat. Where contexts differ, equal ones are
-       counted as one, and one context of each kind goes to its anchor's bucket.
-    3. Buckets of windows are sorted blockwise, long ties by ranks of a difference-cover sample, and neighbours
-       compared byte by byte. An anchor of more than HOT contexts has its windows grouped by Spark instead.
+       bytes that all of them share (its suffix bucket), hash of the run's whole context (its kind in the bucket).
+       Rows whose bucket is in one place only are dropped: no window of theirs can occur twice.
+    2. Of each kind, one context goes to its bucket, and a second one from another place, if there is any.
+    3. Buckets are sorted blockwise, long ties by ranks of a difference-cover sample, and neighbours compared byte by
+       byte: whole contexts of a kind, windows of different kinds. A bucket of more than HOT kinds is split by next
+       bytes first. What repeats of a kind's context repeats in all its places.
     4. Texts with repeats (found by a filter of SLOTS slots, then exactly) meet their runs; all others are hashed
        where they lie.
     """
@@ -186,16 +311,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep:
     long_enough = texts.where(F.octet_length("__body") >= length)
     anchors = stored(long_enough.mapInArrow(runs, "rid long, key long, context long, pack long"), "anchors")
     place = F.xxhash64("rid", "pack")
-    counted = anchors.groupBy("key").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.min("context").alias("c0"), F.max("context").alias("c1"))
-    keys = stored(counted.where("p0 <> p1").select("key", (F.col("c0") == F.col("c1")).alias("pure")), "anchor-keys")
+    counted = anchors.groupBy("key").agg(F.min(place).alias("p0"), F.max(place).alias("p1"))
+    keys = stored(counted.where("p0 <> p1").select("key"), "anchor-keys")
     repeated = stored(anchors.join(keys, "key"), "anchor-repeats")
-    kinds = repeated.where("not pure").groupBy("key", "context").agg(F.min(F.struct("rid", "pack")).alias("one"), (F.min(place) != F.max(place)).alias("often"))
-    kinds = stored(kinds, "anchor-kinds")
-    # runs whose windows all repeat: every context of the anchor is equal, or this one occurs in several places
-    often = kinds.where("often").select("key", "context")
-    whole = repeated.where("pure").select("rid", "pack", "key").unionByName(repeated.where("not pure").join(often, ["key", "context"]).select("rid", "pack", "key"))
-    crowds = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
-    wanted = kinds.join(crowds, "key").select(F.col("one.rid").alias("rid"), F.struct("key", "one.pack", "often", (F.col("kinds") > HOT).alias("hot")).alias("w"))
+    spot = F.struct("rid", "pack", place.alias("place"))
+    kinds = repeated.groupBy(F.col("key").alias("bucket"), F.col("context").alias("kind")).agg(F.min(spot).alias("one"), F.max(spot).alias("two"))
+    wanted = _with_places(stored(kinds, "anchor-kinds"), "place").select("c.rid", F.struct("bucket", "kind", "nth", "hot", "c.pack").alias("w"))
     wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("w"))
 
     def filtered(rids: DataFrame) -> DataFrame:
@@ -203,91 +324,25 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep:
         return texts.join(F.broadcast(slots), F.pmod("__rid", F.lit(SLOTS)) == F.col("slot"), "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds_of = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-        names = ["key", "rid", "pack", "often", "hot", "bytes"]
+        kinds_of = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
         for batch in blocks(batches, "__body", BATCH_BYTES):
             out: list[tuple] = []
-            for rid, data, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for data, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for w in rows:
                     at, back = divmod(w["pack"], PLACES * PLACES)
-                    low, high = at - back // PLACES, at - back % PLACES
-                    if high + length <= len(data):
-                        out.append((w["key"], rid, w["pack"], w["often"], w["hot"], data[low : high + length]))
+                    before, behind = divmod(back, PLACES)
+                    if at - behind + length <= len(data):
+                        out.append((w["bucket"], w["kind"], w["nth"], before, behind, w["hot"], data[at - before : at - behind + length]))
             for first in range(0, len(out), 5_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[first : first + 5_000], strict=True), kinds_of, strict=True)], names=names)
 
+    names = ["bucket", "kind", "nth", "before", "behind", "hot", "bytes"]
     # equal texts meet here as one: all rows of a text have the same bytes
-    near = filtered(wanted).groupBy("__rid").agg(F.first("__body").alias("__body")).join(wanted, F.col("__rid") == F.col("rid")).select("rid", "__body", "w")
-    contexts = stored(near.mapInArrow(cut, "key long, rid long, pack long, often boolean, hot boolean, bytes binary"), "contexts")
-
-    def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def solve(rows: list[tuple]) -> pa.RecordBatch:
-            parts, starts, buckets, owner, distance = [], [], [], [], []
-            at, group, last = 0, -1, None
-            for i, (key, _, pack, _, data) in enumerate(rows):
-                group += key != last
-                last = key
-                back = pack % (PLACES * PLACES)
-                before, behind = back // PLACES, back % PLACES
-                gap = -(at + before) % PERIOD  # anchors stand at multiples of the period
-                parts.append(bytes(gap))
-                parts.append(data)
-                d = np.arange(behind, before + 1)
-                starts.append(at + gap + before - d)
-                buckets.append(group * PLACES + d)
-                owner.append(np.full(len(d), i))
-                distance.append(d)
-                at += gap + len(data)
-            starts, buckets, owner, distance = (np.concatenate(x) for x in (starts, buckets, owner, distance))
-            hit = sorted_repeats(np.frombuffer(b"".join(parts), np.uint8), starts, buckets, length)
-            single = np.array([not r[3] for r in rows])
-            hit &= single[owner]
-            # neighbouring distances of one context become one run again
-            who, far = owner[hit], distance[hit]
-            new = np.ones(len(who), dtype=bool)
-            new[1:] = (who[1:] != who[:-1]) | (far[1:] != far[:-1] + 1)
-            begin = np.flatnonzero(new)
-            end = np.append(begin[1:], len(who)) - 1 if len(begin) else begin
-            rid = [rows[i][1] for i in who[begin].tolist()]
-            key = [rows[i][0] for i in who[begin].tolist()]
-            place = np.array([rows[i][2] // (PLACES * PLACES) for i in who[begin].tolist()], dtype=np.int64)
-            pack = place * (PLACES * PLACES) + far[end] * PLACES + far[begin] if len(begin) else place
-            return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(pack, pa.int64()), pa.array(key, pa.int64())], names=["rid", "pack", "key"])
-
-        size = 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > BLOCK_BYTES and held[-1][0] != row[0]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield solve(held)
-
-    dealt = contexts.where("not hot").select("key", "rid", "pack", "often", "bytes").repartition("key").sortWithinPartitions("key")
-    cool = dealt.mapInArrow(sort_blocks, "rid long, pack long, key long")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "bytes", BATCH_BYTES // 16):
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for key, rid, pack, often, data in rows:
-                back = pack % (PLACES * PLACES)
-                before, behind = back // PLACES, back % PLACES
-                d = np.arange(behind, before + 1)
-                digests = [hashlib.blake2b(data[before - k : before - k + length], digest_size=16, key=int(k).to_bytes(2, "big")).digest() for k in d.tolist()]
-                n = len(d)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * n), pa.array([rid] * n), pa.array(pack // (PLACES * PLACES) * (PLACES * PLACES) + d * (PLACES + 1)), pa.array([pack] * n), pa.array([often] * n), pa.array(digests, pa.binary())],
-                    names=["key", "rid", "pack", "whole", "often", "digest"],
-                )
-
-    hot = contexts.where("hot").select("key", "rid", "pack", "often", "bytes").mapInArrow(windows, "key long, rid long, pack long, whole long, often boolean, digest binary")
-    shared = hot.groupBy("key", "digest").agg(F.min(F.struct("rid", "whole")).alias("x"), F.max(F.struct("rid", "whole")).alias("y")).where("x <> y").select("key", "digest")
-    warm = hot.where("not often").join(shared, ["key", "digest"]).select("rid", "pack", "key") if contexts.where("hot").limit(1).count() else None
-    found = whole.unionByName(cool) if warm is None else whole.unionByName(cool).unionByName(warm)
+    near = filtered(wanted).groupBy("__rid").agg(F.first("__body").alias("__body")).join(wanted, F.col("__rid") == F.col("rid")).select("__body", "w")
+    contexts = stored(near.mapInArrow(cut, "bucket long, kind long, nth int, before int, behind int, hot boolean, bytes binary"), "contexts")
+    runs_of_kinds = stored(repeated_windows(contexts, length), "repeated-windows").select(F.col("bucket").alias("key"), F.col("kind").alias("context"), "low", "high")
+    at = F.expr(f"pack div {PLACES * PLACES}") * (PLACES * PLACES) + F.col("high") * PLACES + F.col("low")
+    found = repeated.join(runs_of_kinds, ["key", "context"]).select("rid", at.alias("pack"), "key")
     # texts that occur twice or more go whole; 128 bits more than the id tell them apart
     digest = F.md5("__body")
     twice = source.where(F.octet_length("__body") >= length).groupBy("__rid", digest.alias("__md5")).agg(F.count("*").alias("c")).where("c > 1")

@@ -200,7 +200,7 @@ def test_repeats(spark, texts):
     assert got == brute_repeats({i: t.encode() for i, t in texts.items()})
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT, 2])
+@pytest.mark.parametrize("hot", [substrings.HOT, 2, 1])
 def test_repeats_at_borders(spark, monkeypatch, hot):
     """Passages of 199 to 260 bytes at many places, in one text and in several, short periods, and crowded anchors."""
     monkeypatch.setattr(substrings, "HOT", hot)
@@ -214,6 +214,20 @@ def test_repeats_at_borders(spark, monkeypatch, hot):
     assert got == brute_repeats({i: t.encode() for i, t in rows.items()})
 
 
+def test_sorted_strings_of_many_lengths():
+    rng = np.random.default_rng(9)
+    text = rng.integers(97, 99, 6_000).astype(np.uint8)
+    for k in range(40):
+        a, b = rng.integers(0, 5_000, 2)
+        text[a : a + 600] = text[b : b + 600].copy()
+    starts, bucket = rng.integers(0, 5_000, 2_000), rng.integers(0, 6, 2_000)
+    starts += (bucket * 5 - starts) % substrings.PERIOD
+    lengths = np.array([8, 31, 200, 327, 500, 9])[bucket]
+    strings = [(b, text[s : s + n].tobytes()) for s, b, n in zip(starts, bucket, lengths)]
+    seen = Counter(strings)
+    assert substrings.sorted_repeats(text, starts, bucket, lengths).tolist() == [seen[x] > 1 for x in strings]
+
+
 def test_difference_cover():
     cover = substrings.difference_cover()
     assert {(a - b) % substrings.PERIOD for a in cover for b in cover} == set(range(substrings.PERIOD)) and len(cover) < 12
