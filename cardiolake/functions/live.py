@@ -53,6 +53,9 @@ class Monitor:
     trend: list[float | None] = field(default_factory=list)
     alarm: Alarm = field(default_factory=Alarm)
     fs_fatal: bool = False
+    fs_warned: bool = False
+    first_at: float | None = None
+    next_rate_check: int = 0
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -64,6 +67,10 @@ class Monitor:
         return cls(**d)
 
 
+#: Seconds of samples between checks of the sampling rate.
+RATE_CHECK_S = 60
+
+
 def rhythm_features(beats: np.ndarray, fs: float) -> dict:
     """Counters and features of one window of beat places."""
     rr = np.diff(np.asarray(beats, dtype=np.int64)) / fs
@@ -108,6 +115,37 @@ def evaluate(state: Monitor, fs: float, score=default_score) -> dict:
     return f | {"status": status, "coverage": coverage, "leadoff": len(state.leadoff), "af_score": score(f) if status == "ok" else None}
 
 
+def check_rate(state: Monitor, at: float, fs: float) -> list[dict]:
+    """Once a minute of samples: the measured rate against the expected one, by the arrival time (seconds) of the last sample.
+
+    Far off, the rhythm is scored no more, for good; beats go on. Near enough to be warned of, it is said once.
+    """
+    if state.first_at is None:
+        state.first_at, state.next_rate_check = at, state.clock + int(RATE_CHECK_S * fs)
+    if state.fs_fatal or state.clock < state.next_rate_check:
+        return []
+    state.next_rate_check = state.clock + int(RATE_CHECK_S * fs)
+    rate, verdict = rate_check(state.clock, at - state.first_at, fs)
+    if verdict == "ok" or verdict == "warn" and state.fs_warned:
+        return []
+    state.fs_warned, state.fs_fatal = True, verdict == "fatal"
+    return [{"kind": "alert", "sample_pos": state.clock, "status": f"fs_{verdict}", "hr": None, "coverage": rate / fs}]
+
+
+def push_all(state: Monitor, lines, fs: float, score=default_score) -> list[dict]:
+    """The rows of lines and their arrival times (seconds, or None); a line that fails is a row of kind 'error', and the next one goes on."""
+    rows: list[dict] = []
+    for line, at in lines:
+        try:
+            rows += push(state, line, fs, score)
+            if at is not None:
+                rows += check_rate(state, float(at), fs)
+        except Exception as fault:  # one faulty chunk or model must not end a device's stream
+            state.buffer = state.buffer[-int(fs) :]
+            rows.append({"kind": "error", "sample_pos": state.clock, "status": f"{type(fault).__name__}: {fault}"[:200]})
+    return rows
+
+
 def push(state: Monitor, line: str, fs: float, score=default_score) -> list[dict]:
     """One line from the device; the rows that it brings about.
 

@@ -42,19 +42,32 @@ def capped(rows: DataFrame, most: int, patient: str, *unique: str) -> DataFrame:
     return rows.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")
 
 
+def first_share(keys: DataFrame, share: float, order: Column, by: list[str], ties: list[str]) -> DataFrame:
+    """keys with __first: whether the row is among the first `share` (rounded up) of its `by` group in the given order, an md5.
+
+    Counts by the order's first three digits tell which rows are in without ranking: only ranks inside one of the
+    4096 parts are needed, so no task sees all rows of a group.
+    """
+    part = [*by, "__part"]
+    parts = keys.withColumn("__order", order).withColumn("__part", F.substring("__order", 1, 3))
+    upto, every = Window.partitionBy(*by).orderBy("__part"), Window.partitionBy(*by)
+    counts = parts.groupBy(*part).agg(F.count("*").alias("__n")).select(*part, (F.sum("__n").over(upto) - F.col("__n")).alias("__before"), F.ceil(F.sum("__n").over(every) * share).alias("__wanted"))
+    rank = F.row_number().over(Window.partitionBy(*part).orderBy("__order", *ties))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in part]
+    ranked = parts.withColumn("__rank", rank).alias("a").join(counts.alias("b"), same)
+    return ranked.select(*[F.col(f"a.{c}") for c in keys.columns], (F.col("__before") + F.col("__rank") <= F.col("__wanted")).alias("__first"))
+
+
 def group_split(rows: DataFrame, share: float, patient: str) -> DataFrame:
     """rows with fold 'test' for a share of the patients (rounded up), 'train' for the others: whole patients only."""
-    ranked = rows.select(patient).distinct().withColumn("rank", F.row_number().over(Window.orderBy(stable_order(patient), patient)))
-    counted = ranked.withColumn("n", F.count("*").over(Window.partitionBy()))
-    sided = counted.select(patient, F.when(F.col("rank") <= F.ceil(F.col("n") * share), "test").otherwise("train").alias("fold"))
-    return rows.join(sided, patient)
+    ranked = first_share(rows.select(patient).distinct(), share, stable_order(patient), [], [patient])
+    return rows.join(ranked.select(patient, F.when(F.col("__first"), "test").otherwise("train").alias("fold")), patient)
 
 
 def stratified_split(rows: DataFrame, share: float, label: str, *unique: str) -> DataFrame:
     """rows with fold: of each class a share (rounded up) is 'test', in the stable order."""
-    own = Window.partitionBy(label)
-    rank = F.row_number().over(own.orderBy(stable_order(*unique), *unique))
-    return rows.withColumn("fold", F.when(rank <= F.ceil(F.count("*").over(own) * share), "test").otherwise("train"))
+    ranked = first_share(rows, share, stable_order(*unique), [label], list(unique))
+    return ranked.withColumn("fold", F.when(F.col("__first"), "test").otherwise("train")).drop("__first")
 
 
 def leaks(rows: DataFrame, patient: str) -> DataFrame:
@@ -74,6 +87,19 @@ def group_folds(rows: DataFrame, folds: int, patient: str, label: str) -> DataFr
     return main.select(patient, "rows", (-F.col("m.low")).alias("main_label"), F.when(F.floor(dealt / folds) % 2 == 0, there).otherwise(back).cast("int").alias("fold"))
 
 
+def fold_preview(rows: DataFrame, folds: int, patient: str, label: str, labels: list) -> DataFrame | None:
+    """A row for each fold of group_folds: train and test rows, test patients, test rows of each label (n_<label>).
+
+    None where there are fewer patients than folds.
+    """
+    if rows.select(patient).distinct().limit(folds).count() < folds:
+        return None
+    sided = rows.select(patient, label).join(group_folds(rows, folds, patient, label).select(patient, "fold"), patient)
+    counts = [F.count_if(F.col(label) == x).alias(f"n_{x}") for x in labels]
+    per = sided.groupBy("fold").agg(F.count("*").alias("test_rows"), F.countDistinct(patient).alias("test_patients"), *counts)
+    return per.withColumn("train_rows", F.sum("test_rows").over(Window.partitionBy()) - F.col("test_rows"))
+
+
 def todo(patients: DataFrame, done: DataFrame, patient: str = "patient_id") -> DataFrame:
     """Patients not done yet."""
     return patients.join(done, patient, "left_anti")

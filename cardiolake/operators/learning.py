@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import time
 
 import numpy as np
@@ -9,12 +11,16 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardiolake.operators.metrics import report
 
 
+#: Rows that a task of a fit is worth; queries that one broadcast of `nearest` holds.
+ROWS_A_TASK, QUERIES = 20_000, 20_000
+
+
 def balanced_weights(rows: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """rows with weight n / (k * n_class)."""
     per = rows.groupBy(label).agg(F.count("*").alias("__n"))
@@ -37,15 +43,15 @@ def fourier_features(column: Column, size: int, dim: int, gamma: float, seed: in
 def model(kind: str, label: str = "label_index", features: str = "features", weight: str | None = None):
     common = {"labelCol": label, "featuresCol": features} | ({"weightCol": weight} if weight else {})
     if kind == "logistic":
-        return LogisticRegression(maxIter=100, regParam=0.001, family="multinomial", **common)
+        return LogisticRegression(maxIter=1_000, regParam=0.001, family="multinomial", **common)
     if kind == "forest":
-        return RandomForestClassifier(numTrees=30, maxDepth=8, seed=42, **common)
+        return RandomForestClassifier(numTrees=100, maxDepth=30, seed=42, **common)
     if kind == "tree":
-        return DecisionTreeClassifier(maxDepth=8, seed=42, **common)
+        return DecisionTreeClassifier(maxDepth=30, seed=42, **common)
     if kind == "bayes":
         return NaiveBayes(modelType="gaussian", **common)
     if kind == "svm":
-        return OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01), labelCol=label, featuresCol=features)
+        return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.01), labelCol=label, featuresCol=features)
     raise ValueError(kind)
 
 
@@ -57,9 +63,10 @@ def fit(rows: DataFrame, kind: str, columns: list[str], label: str, weight: str
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
         model(kind, weight=weight if kind != "svm" else None),
     ]
-    # the fits pass over the rows again and again
-    held = rows.persist()
-    fitted = Pipeline(stages=stages).fit(held)
+    # the fits pass over the rows again and again, in as few tasks as the rows are worth
+    held = rows.select(*dict.fromkeys([*columns, label, *([weight] if weight else [])])).persist()
+    parts = max(1, -(-held.count() // ROWS_A_TASK))
+    fitted = Pipeline(stages=stages).fit(held.coalesce(parts))
     held.unpersist()
     return fitted
 
@@ -85,6 +92,30 @@ def importances(fitted: PipelineModel, columns: list[str]) -> list[tuple[str, fl
     return sorted(zip(columns, map(float, fitted.stages[-1].featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))
 
 
+def save_bundle(fitted: PipelineModel, path: str, columns: list[str], **about) -> None:
+    """The fitted stages and, beside them, what a scorer must know: feature columns in order, class names, and more as given."""
+    fitted.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    body = json.dumps({"columns": columns, "labels": list(fitted.stages[0].labels), **about})
+    spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+
+def load_bundle(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[PipelineModel, dict]:
+    """The model and what was said of it; other columns than those asked for, or in another order, are an error."""
+    about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    if columns is not None and list(columns) != about["columns"]:
+        raise ValueError(f"the model was fitted on {about['columns']}")
+    return PipelineModel.load(f"{path}/model"), about
+
+
+def refit_best(results: list[dict], rows: DataFrame, columns: list[str], label: str, path: str, weight: str | None = None) -> PipelineModel:
+    """The best model of `compare`, fitted again on all training rows and saved with its scores."""
+    best = results[0]
+    fitted = fit(rows, best["model"], columns, label, weight)
+    save_bundle(fitted, path, columns, **{k: best[k] for k in ("model", "accuracy", "macro_f1")})
+    return fitted
+
+
 def compare(train: DataFrame, test: DataFrame, kinds: list[str], columns: list[str], label: str) -> list[dict]:
     """Accuracy, macro F1 and seconds of each model, best first."""
     out = []
@@ -95,14 +126,20 @@ def compare(train: DataFrame, test: DataFrame, kinds: list[str], columns: list[s
     return sorted(out, key=lambda x: (-x["macro_f1"], x["model"]))
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, vector: str = "v", label: str = "label", key: str = "id", most_queries: int = 100_000) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, vector: str = "v", label: str = "label", key: str = "id", block: int = QUERIES) -> DataFrame:
     """Majority label of each query's k nearest rows (ties: the nearer neighbour's label).
 
-    A stated, bounded query set goes to every task (its size is counted first); each task keeps k candidates of a
-    query before anything is shuffled.
+    Queries go to every task in blocks of about `block` (their number is counted first); each task keeps k candidates
+    of a query before anything is shuffled.
     """
-    if queries.count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: run them in blocks")
+    blocks = max(1, -(-queries.count() // block))
+    if blocks > 1:
+        parts = [_nearest(queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i), base, k, vector, label, key) for i in range(blocks)]
+        return functools.reduce(DataFrame.unionByName, parts)
+    return _nearest(queries, base, k, vector, label, key)
+
+
+def _nearest(queries: DataFrame, base: DataFrame, k: int, vector: str, label: str, key: str) -> DataFrame:
     q = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vector).alias("__q")))
     square = F.aggregate(F.zip_with("__q", vector, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
     pairs = base.select(key, label, vector).join(q, F.col(key) != F.col("query")).select("query", F.round(square, 6).alias("d"), F.col(key).alias("id"), F.col(label).alias("label"))
@@ -126,4 +163,4 @@ def gaussian_bayes(train: DataFrame, test: DataFrame, features: list[str], label
     return joined.withColumn("n", rank).where("n = 1").select(key, F.col("c").alias("predicted"), "ll")
 
 
-__all__ = ["af_score", "array_to_vector", "balanced_weights", "compare", "fit", "fourier_features", "gaussian_bayes", "importances", "nearest", "predict"]
+__all__ = ["af_score", "array_to_vector", "balanced_weights", "compare", "fit", "fourier_features", "gaussian_bayes", "importances", "load_bundle", "nearest", "predict", "refit_best", "save_bundle"]

@@ -36,7 +36,7 @@ def window_features(spaced: DataFrame, key: tuple[str, ...] = ("patient_id",)) -
     rr, drr = F.when(F.col("ok"), F.col("rr")), F.col("drr")
     binned = spaced.where("rr is not null").withColumn("bin", F.when(F.col("ok"), entropy_bin(F.col("rr"))))
     per_bin = binned.groupBy(*keys, "bin").agg(
-        F.count(rr).alias("n"), F.count_if(~F.col("ok")).alias("rejected"), F.sum(F.when(F.col("ok"), F.col("gap"))).alias("s1"), F.sum(rr * rr).alias("s2"),
+        F.count(rr).alias("n"), F.count_if(~F.col("ok")).alias("rejected"), F.sum(F.when(F.col("ok"), F.col("gap"))).alias("s1"), F.sum(F.when(F.col("ok"), F.col("gap") * F.col("gap"))).alias("s2"),
         F.max("fs").alias("fs"), F.count(drr).alias("nd"), F.sum(drr * drr).alias("d2"), F.count_if(F.abs(drr) > PNN_SECONDS).alias("over"),
     )
     total = F.sum("n").over(Window.partitionBy(*keys))
@@ -45,8 +45,9 @@ def window_features(spaced: DataFrame, key: tuple[str, ...] = ("patient_id",)) -
     sums = terms.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "rejected", "s1", "s2", "nd", "d2", "over", "h")], F.max("fs").alias("fs"))
     # samples are summed as integers, so the mean is the same in any order
     n, mean = F.col("n"), F.try_divide(F.col("s1"), F.col("n") * F.col("fs"))
-    # the sum of squared deviations, never below zero
-    sdnn = F.when(n >= 2, F.sqrt(F.greatest((F.col("s2") - n * mean * mean) / (n - 1), F.lit(0.0))))
+    # squared deviations in whole samples, so that nothing cancels: n * s2 - s1 * s1 is exact
+    spread = n * F.col("s2") - F.col("s1") * F.col("s1")
+    sdnn = F.when(n >= 2, F.sqrt(spread / (n * (n - 1))) / F.col("fs"))
     return sums.select(
         *keys, n.alias("n_rr_used"), F.col("rejected").alias("n_rr_rejected"), F.col("nd").alias("n_drr_used"), mean.alias("mean_rr"), F.try_divide(F.lit(60.0), mean).alias("hr"), sdnn.alias("hrv_sdnn"),
         F.sqrt(F.try_divide("d2", "nd")).alias("rmssd"), F.try_divide("over", "nd").alias("pnn50"), F.try_divide(sdnn, mean).alias("cv_rr"), F.when(n >= 2, F.abs(F.col("h"))).alias("rr_entropy"),

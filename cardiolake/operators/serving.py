@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardiolake.functions.dsp import beat_shapes
+
 from cardiolake.schema import ECTOPY_LAST, LIVE_MIN_COVERAGE, LIVE_MIN_RR, RR_RANGE
 
 NORMAL_LABELS = ("n", "normal", "--", "none", "")
@@ -79,3 +81,28 @@ def matched_beats(truth: DataFrame, found: DataFrame, tolerance: int, key: str =
 def with_waveform(windows: DataFrame, waveform: DataFrame, key: tuple[str, ...] = ("patient_id", "segment", "wid")) -> DataFrame:
     """Windows with the waveform features of the same key where there are any."""
     return windows.join(waveform, list(key), "left")
+
+
+def snap_to_peak(markers: DataFrame, trace: DataFrame, reach: int, key: tuple[str, ...] = ("record_id",), position: str = "pos", value: str = "x") -> DataFrame:
+    """markers (key, position) with `shown`, the place of the trace's highest value within `reach` (the first of equals), and its value.
+
+    Each marker asks for its 2 * reach + 1 places, which meet the trace in an equi-join; markers off the trace go.
+    """
+    here = trace.select(*key, F.col(position).alias("__at"), F.col(value).alias("shown_value"))
+    on_trace = markers.select(*key, position).distinct().join(here.select(*key, F.col("__at").alias(position)), [*key, position], "left_semi")
+    asked = on_trace.withColumn("__at", F.explode(F.sequence(F.col(position) - reach, F.col(position) + reach)))
+    best = F.max(F.struct("shown_value", (-F.col("__at")).alias("low"))).alias("best")
+    return asked.join(here, [*key, "__at"]).groupBy(*key, position).agg(best).select(*key, position, (-F.col("best.low")).alias("shown"), "best.shown_value")
+
+
+def waveform_features(beats: DataFrame, signals: DataFrame, fs: float, key: tuple[str, ...] = ("record_id",), filtered: bool = True) -> DataFrame:
+    """amplitude and qrs_width of the waveform at each beat: key, sample, amplitude, qrs_width.
+
+    beats: key and sample; signals: key and signal, a record's whole waveform as an array, which is bandpass-filtered
+    first. The amplitude is the waveform's value at the beat (0 behind its end), the width the seconds between the
+    first and last sample within 0.1 s whose size exceeds half of it. A record's beats travel to its waveform.
+    """
+    at = beats.groupBy(*key).agg(F.array_sort(F.collect_set("sample")).alias("at"))
+    found = beat_shapes(F.col("signal"), F.col("at"), fs, filtered)
+    rows = signals.join(at, list(key)).select(*key, F.explode(F.arrays_zip("at", found["amplitude"].alias("amplitude"), found["qrs_width"].alias("qrs_width"))).alias("b"))
+    return rows.select(*key, F.col("b.at").alias("sample"), "b.amplitude", "b.qrs_width")

@@ -14,11 +14,11 @@ def rhythm_spans(annotations: DataFrame, key: tuple[str, ...] = ("patient_id",),
     A classified onset opens a span and ends the one before, ')' ends it, other notes do neither; the last one ends
     at the record's last annotation. So each kept marker ends where the next kept one stands.
     """
-    last = Window.partitionBy(*key)
-    marked = annotations.withColumn("last_sample", F.max("sample").over(last)).withColumn("rhythm", rhythm_of(F.col(note)))
-    kept = marked.where(F.col("rhythm").isNotNull() | (F.col(note) == ")"))
+    # only markers are ordered; of all other annotations one number a record is needed
+    ends = annotations.groupBy(*key).agg(F.max("sample").alias("last_sample"))
+    kept = annotations.select(*dict.fromkeys([*key, "sample", *order]), rhythm_of(F.col(note)).alias("rhythm"), F.col(note).alias("__note")).where("rhythm is not null or __note = ')'")
     following = F.lead("sample").over(Window.partitionBy(*key).orderBy(*order))
-    spans = kept.withColumn("end_sample", F.coalesce(following, "last_sample")).where("rhythm is not null")
+    spans = kept.withColumn("next_sample", following).where("rhythm is not null").join(ends, list(key)).withColumn("end_sample", F.coalesce("next_sample", "last_sample"))
     return spans.select(*key, F.col("sample").alias("start_sample"), "end_sample", "rhythm")
 
 

@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from cardiolake.operators.rr import intervals, window_features
 from cardiolake.schema import BEAT_CODES, Q_CODES, RHYTHM_CLASSES, SV_CODES, V_CODES, class_id
 
+#: Fixed value: windows of a record that its 16-bit number can count.
+MOST_WINDOWS = 65_535
 FRACTIONS = ("frac_nsr", "frac_afib", "frac_aflutter")
 
 
 def grid(lengths: DataFrame, width: int, stride: int | None = None, key: tuple[str, ...] = ("patient_id",)) -> DataFrame:
-    """wid, start_sample, end_sample of each full window of a record of `length`; the tail is dropped, a short record has none."""
+    """wid, start_sample, end_sample of each full window of a record of `length`; the tail is dropped, a short record has none; as many as MOST_WINDOWS are an error."""
     stride = stride or width
     if width <= 0 or stride <= 0:
         raise ValueError("width and stride must be positive")
+    if stride < width:
+        raise ValueError("windows that overlap would count a sample twice")
     n = F.when(F.col("length") >= width, F.expr(f"(length - {width}) div {stride} + 1")).otherwise(F.lit(0))
+    n = F.when(n >= MOST_WINDOWS, F.raise_error(F.concat(n.cast("string"), F.lit(" windows are more than the window number can count")))).otherwise(n)
     ids = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
     out = lengths.select(*key, F.explode(ids).alias("wid"))
     return out.withColumn("start_sample", F.col("wid") * stride).withColumn("end_sample", F.col("start_sample") + width)

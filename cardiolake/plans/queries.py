@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +15,7 @@ from cardiolake.operators import cohort, directory, learning, metrics, quality,
 from cardiolake.operators.rr import FEATURES, beat_features, intervals, window_features
 from cardiolake.plans.tables import FS, SQL_A, SQL_ALL, SQL_OVER, SQL_RR, SQL_SPANS, WIDTH, annotations, table
 from cardiolake.schema import is_beat
+from cardiolake.sources import headers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,6 +36,14 @@ def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or, in a local session without it, beside the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or spark.conf.get('spark.sql.warehouse.dir').rstrip('/') + '/../cardiolake-scratch').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _spans(spark, sf):
     return spans.rhythm_spans(annotations(spark, sf))
 
@@ -152,6 +162,14 @@ def label_index(spark, sf):
     return _index(spark, sf)
 
 
+@query(f"WITH {SQL_A}, {SQL_SPANS}, {SQL_INDEX} SELECT patient_id::VARCHAR AS patient_id, segment, nsr_n, afib_n, afl_n, nsr_samp, afib_samp, afl_samp FROM ix")
+def label_index_files(spark, sf):
+    """The index written as gzip JSON files and read again."""
+    path = _scratch(spark, "index")
+    headers.write_label_index(_index(spark, sf).withColumn("patient_id", F.col("patient_id").cast("string")), path)
+    return headers.read_label_index(spark, path)
+
+
 @query(f"""WITH {SQL_A}, {SQL_SPANS}, {SQL_INDEX}, t AS (SELECT patient_id, 'NSR' AS rhythm, nsr_samp AS s FROM ix UNION ALL SELECT patient_id, 'AFib', afib_samp FROM ix UNION ALL SELECT patient_id, 'AFlutter', afl_samp FROM ix), p AS (SELECT patient_id, rhythm, sum(s) AS s FROM t GROUP BY ALL)
 SELECT rhythm, (sum(s) // 600000)::BIGINT AS windows, round(sum(s) / (30000 * 3600.0), 6) AS hours, count(*) FILTER (s > 0) AS patients FROM p GROUP BY rhythm""")
 def index_estimate(spark, sf):
@@ -215,8 +233,12 @@ def stratified_split(spark, sf):
     return cohort.stratified_split(_windows(spark, sf).select("patient_id", "wid", "label_id"), 0.2, "label_id", "patient_id", "wid")
 
 
-@query(f"""WITH {SQL_ALL}, p AS (SELECT patient_id, label_id, count(*) AS n FROM wt GROUP BY ALL), m AS (SELECT patient_id, arg_max(label_id, n * 10 - label_id) AS main_label, sum(n)::BIGINT AS rows FROM p GROUP BY patient_id),
-d AS (SELECT *, row_number() OVER (PARTITION BY main_label ORDER BY rows DESC, patient_id) - 1 AS k FROM m) SELECT patient_id, rows, main_label, (CASE WHEN (k // 5) % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END)::INT AS fold FROM d""")
+#: Folds from the window table, as a query to stand inside another.
+FOLDS = """WITH p AS (SELECT patient_id, label_id, count(*) AS n FROM wt GROUP BY ALL), m AS (SELECT patient_id, arg_max(label_id, n * 10 - label_id) AS main_label, sum(n)::BIGINT AS rows FROM p GROUP BY patient_id),
+d AS (SELECT *, row_number() OVER (PARTITION BY main_label ORDER BY rows DESC, patient_id) - 1 AS k FROM m) SELECT patient_id, rows, main_label, (CASE WHEN (k // 5) % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END)::INT AS fold FROM d"""
+
+
+@query(f"WITH {SQL_ALL}, folded AS ({FOLDS}) SELECT * FROM folded")
 def group_folds(spark, sf):
     return cohort.group_folds(_windows(spark, sf), 5, "patient_id", "label_id")
 
@@ -382,10 +404,10 @@ def classification_report(spark, sf):
 
 def _scores(spark, sf):
     e = table(spark, sf, "events")
-    return e.select((F.col("event_type") == "error").cast("int").alias("y"), F.least(F.floor("value") / 100.0, F.lit(1.0)).alias("score"))
+    return e.select((F.col("event_type") == "error").cast("int").alias("y"), F.least(F.col("value") / 100.0, F.lit(1.0)).alias("score"))
 
 
-SQL_SC = "sc AS (SELECT (event_type = 'error')::INT AS y, least(floor(value) / 100.0::DOUBLE, 1.0::DOUBLE) AS score FROM events)"
+SQL_SC = "sc AS (SELECT (event_type = 'error')::INT AS y, least(value / 100.0::DOUBLE, 1.0::DOUBLE) AS score FROM events)"
 
 
 @query(f"WITH {SQL_SC}, r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM sc), t AS (SELECT sum(rk) FILTER (y = 1) AS s, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM r) SELECT round((s - p * (p + 1) / 2.0) / (p * n), 6) AS auc, p AS positives, n AS negatives FROM t")
@@ -425,17 +447,20 @@ def knn_embeddings(spark, sf):
     return learning.nearest(v.where("id % 50 = 0"), v, 5)
 
 
-@query("""WITH e AS (SELECT vec_id AS id, label, unnest(range(8)) AS f, embedding FROM embeddings), t AS (SELECT id, label, f, embedding[f + 1]::DOUBLE AS x FROM e), st AS (SELECT label, f, avg(x) AS m, var_pop(x) + 1e-9 AS v FROM t GROUP BY ALL), pr AS (SELECT label, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM embeddings GROUP BY label),
+@query("""WITH e AS (SELECT vec_id AS id, label, unnest(range(64)) AS f, embedding FROM embeddings), t AS (SELECT id, label, f, embedding[f + 1]::DOUBLE AS x FROM e), st AS (SELECT label, f, avg(x) AS m, var_pop(x) + 1e-9 AS v FROM t GROUP BY ALL), pr AS (SELECT label, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM embeddings GROUP BY label),
 s AS (SELECT t.id, st.label AS c, sum(-0.5 * ln(2 * pi() * v) - (x - m) * (x - m) / (2 * v)) AS ll FROM t JOIN st USING (f) GROUP BY ALL)
 SELECT id, c AS predicted, round(ll + prior, 4) AS ll FROM s JOIN pr ON pr.label = s.c QUALIFY row_number() OVER (PARTITION BY id ORDER BY ll + prior DESC, c) = 1""")
 def gaussian_nb(spark, sf):
-    v = _vectors(spark, sf).select("id", "label", *[F.col("v")[i].alias(f"x{i}") for i in range(8)])
-    return learning.gaussian_bayes(v, v, [f"x{i}" for i in range(8)], "label", "id").withColumn("ll", F.round("ll", 4))
+    v = _vectors(spark, sf).select("id", "label", *[F.col("v")[i].alias(f"x{i}") for i in range(64)])
+    return learning.gaussian_bayes(v, v, [f"x{i}" for i in range(64)], "label", "id").withColumn("ll", F.round("ll", 4))
 
 
 def _ml(kind):
     def run(spark, sf):
-        w = _windows(spark, sf).where("n_drr_used >= 1").withColumn("label", F.element_at(F.array(F.lit("NSR"), F.lit("AFib"), F.lit("AFlutter")), F.col("label_id") + 1))
+        # fits and predictions read the table again and again: it is written once
+        path = _scratch(spark, "windows")
+        _windows(spark, sf).select("patient_id", "wid", "label_id", "n_drr_used", *FEATURES).write.parquet(path)
+        w = spark.read.parquet(path).where("n_drr_used >= 1").withColumn("label", F.element_at(F.array(F.lit("NSR"), F.lit("AFib"), F.lit("AFlutter")), F.col("label_id") + 1))
         split = cohort.group_split(w, 0.2, "patient_id")
         weighted = learning.balanced_weights(cohort.capped(split.where("fold = 'train'"), 25, "patient_id", "wid"), "label")
         fitted = learning.fit(weighted, kind, list(FEATURES), "label", "weight")
@@ -452,8 +477,8 @@ for _kind in ("logistic", "forest", "tree", "bayes", "svm"):
 @query()
 def rbf_predictions(spark, sf):
     v = _vectors(spark, sf).withColumn("label", F.col("label").cast("string"))
-    v = v.withColumn("r", learning.fourier_features(F.col("v"), 64, 48, 1 / 64)).select("id", "label", *[F.col("r")[i].alias(f"r{i}") for i in range(48)])
-    return learning.predict(learning.fit(v, "svm", [f"r{i}" for i in range(48)], "label"), v).select("id", "label", "predicted")
+    v = v.withColumn("r", learning.fourier_features(F.col("v"), 64, 256, 1 / 64)).select("id", "label", *[F.col("r")[i].alias(f"r{i}") for i in range(256)])
+    return learning.predict(learning.fit(v, "svm", [f"r{i}" for i in range(256)], "label"), v).select("id", "label", "predicted")
 
 
 @query()
@@ -476,11 +501,35 @@ def peaks_chunks(spark, sf):
     return _vectors(spark, sf).select("id", dsp.peaks_column(F.col("v"), 20.0).alias("peaks"))
 
 
+@query("""WITH t AS (SELECT vec_id AS record_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::BIGINT - 1 AS i FROM embeddings), b AS (SELECT vec_id AS record_id, unnest([vec_id % 64, (vec_id * 7 + 11) % 64, 70])::BIGINT AS sample FROM embeddings), d AS (SELECT DISTINCT * FROM b),
+a AS (SELECT d.*, coalesce(x, 0) AS amplitude FROM d LEFT JOIN t ON t.record_id = d.record_id AND t.i = d.sample), w AS (SELECT a.record_id, a.sample, count(*) AS n, max(t.i) - min(t.i) AS far FROM a JOIN t ON t.record_id = a.record_id AND t.i >= a.sample - 10 AND t.i < a.sample + 10 AND abs(t.x) > abs(a.amplitude * 0.5) WHERE a.amplitude <> 0 GROUP BY ALL)
+SELECT a.record_id, a.sample, round(amplitude, 6) AS amplitude, round(CASE WHEN n > 1 THEN far / 100.0::DOUBLE ELSE 0 END, 6) AS qrs_width FROM a LEFT JOIN w USING (record_id, sample)""")
+def beat_waveform_features(spark, sf):
+    v = _vectors(spark, sf).withColumnRenamed("id", "record_id")
+    at = F.array(F.col("record_id") % 64, (F.col("record_id") * 7 + 11) % 64, F.lit(70).cast("long"))
+    found = serving.waveform_features(v.select("record_id", F.explode(at).alias("sample")), v.select("record_id", F.col("v").alias("signal")), 100.0, filtered=False)
+    return found.select("record_id", "sample", *r6("amplitude", "qrs_width"))
+
+
+@query("""WITH t AS (SELECT vec_id AS record_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::BIGINT - 1 AS i FROM embeddings), m AS (SELECT vec_id AS record_id, (vec_id * 7) % 80 AS pos FROM embeddings)
+SELECT m.record_id, pos, arg_max(i, x) AS shown, round(max(x), 6) AS shown_value FROM m JOIN t ON t.record_id = m.record_id AND i BETWEEN pos - 5 AND pos + 5 WHERE pos < 64 GROUP BY ALL""")
+def markers_snapped(spark, sf):
+    v = _vectors(spark, sf)
+    trace = v.select(F.col("id").alias("record_id"), F.posexplode("v").alias("pos", "x")).withColumn("pos", F.col("pos").cast("long"))
+    found = serving.snap_to_peak(v.select(F.col("id").alias("record_id"), (F.col("id") * 7 % 80).alias("pos")), trace, 5)
+    return found.withColumn("shown_value", F.round("shown_value", 6))
+
+
 @query()
 def qrs_width_chunks(spark, sf):
     return _vectors(spark, sf).select("id", F.round(dsp.qrs_column(F.col("v"), 100.0), 6).alias("qrs_width"))
 
 
+@query(f"WITH {SQL_ALL}, folded AS ({FOLDS}), s AS (SELECT wt.patient_id, label_id, fold FROM wt JOIN folded USING (patient_id)) SELECT fold, count(*) AS test_rows, count(DISTINCT patient_id) AS test_patients, count(*) FILTER (label_id = 0) AS n_0, count(*) FILTER (label_id = 1) AS n_1, count(*) FILTER (label_id = 2) AS n_2, ((SELECT count(*) FROM s) - count(*))::BIGINT AS train_rows FROM s GROUP BY fold")
+def fold_preview(spark, sf):
+    return cohort.fold_preview(_windows(spark, sf).select("patient_id", "label_id"), 5, "patient_id", "label_id", [0, 1, 2])
+
+
 @query(f"WITH {SQL_A} SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY sample, ann_idx) - 1 AS ann_idx, sample, code, note, max(sample) OVER (PARTITION BY patient_id) AS last_sample FROM a")
 def parse_annotations(spark, sf):
     """Events written as annotation bytes and walked again."""
@@ -498,14 +547,11 @@ def parse_annotations(spark, sf):
 @query()
 def stream_live_replay(spark, sf):
     """The synthetic streams through the stateful stream, all batches at once, read back from its sink."""
-    import uuid
-
     from cardiolake.sources.signals import stream_lines
     from cardiolake.streaming.monitor import monitor_stream, read_lines
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/../cardiolake-scratch"
-    path = f"{root.rstrip('/')}/replay-{uuid.uuid4().hex}"
-    stream_lines(spark, ["nsr", "nsr-af-nsr"]).write.parquet(f"{path}/in")
+    path = _scratch(spark, "replay")
+    stream_lines(spark, ["nsr", "af", "nsr-af-nsr", "flat", "noise"]).write.parquet(f"{path}/in")
     rows = monitor_stream(read_lines(spark, f"{path}/in"), 300.0)
     rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").where("kind <> 'beat'").select("device_id", "kind", "sample_pos", "status", "af_run", "alarm", F.round("af_score", 4).alias("af_score"))

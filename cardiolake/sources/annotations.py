@@ -89,6 +89,17 @@ def read_annotation_files(spark: SparkSession, glob: str) -> DataFrame:
     return parse_annotations(keyed, "content", "patient_id", "segment")
 
 
+def missing_files(expected: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """The expected keys with status 'read' or 'Missing': a file that is not there is a row, not a silence.
+
+    found: what was read. A file without annotations has no rows of its own: give the listing of files instead where
+    that matters.
+    """
+    there = found.select(*keys).distinct().withColumn("__there", F.lit(True))
+    status = F.when(F.col("__there"), "read").otherwise("Missing")
+    return expected.select(*keys).distinct().join(there, list(keys), "left").select(*keys, status.alias("status"))
+
+
 def beats_only(annotations: DataFrame) -> DataFrame:
     """Annotations but padding and the opening note at sample 0; spans are built before this."""
     return annotations.where("code <> 0 and not (code = 22 and sample = 0)")

@@ -73,16 +73,19 @@ def read_log(spark: SparkSession, path: str, schema: str, key: tuple[str, ...],
     return latest_per_key(rows.where("_broken is null").drop("_broken"), key, order)
 
 
-def read_label_index(spark: SparkSession, path: str) -> DataFrame:
-    """The gzip JSON index {patients: {pid: [[seg, nsr_n, afib_n, afl_n, nsr_samp, afib_samp, afl_samp], ..]}} as rows."""
-    whole = spark.read.schema("fs int, patients map<string, array<array<long>>>").option("multiLine", "true").json(path)
+def read_label_index(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+    """The gzip JSON index {patients: {pid: [[seg, nsr_n, afib_n, afl_n, nsr_samp, afib_samp, afl_samp], ..]}} as rows.
+
+    An object a line, of which a file may hold any number; pretty: one object a file, over many lines.
+    """
+    whole = spark.read.schema("fs int, patients map<string, array<array<long>>>").option("multiLine", str(pretty).lower()).json(path)
     names = ("segment", "nsr_n", "afib_n", "afl_n", "nsr_samp", "afib_samp", "afl_samp")
     rows = whole.select(F.explode("patients").alias("patient_id", "rows")).select("patient_id", F.explode("rows").alias("r"))
     return rows.select("patient_id", *[F.col("r")[i].alias(n) for i, n in enumerate(names)])
 
 
 def write_label_index(index: DataFrame, path: str, fs: int = 250) -> None:
-    """The same index, one JSON object a patient, gzip-compressed, patients in order."""
+    """The same index, one JSON object a patient and line, gzip-compressed, patients in order."""
     names = ("segment", "nsr_n", "afib_n", "afl_n", "nsr_samp", "afib_samp", "afl_samp")
     rows = F.sort_array(F.collect_list(F.array(*[F.col(n).cast("long") for n in names])))
     per = index.groupBy("patient_id").agg(rows.alias("rows"))

@@ -40,10 +40,14 @@ def consolidate(parts: DataFrame, path: str, part: str = "part_id", position: st
     consolidated(parts, part, position, key).withColumn("label", label).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def write_summary(reports: dict[str, DataFrame], path: str, **settings) -> None:
-    """Small reports (a few rows each, as their operators make them) and settings as one JSON file."""
+def write_summary(reports: dict[str, DataFrame], path: str, most_rows: int = 10_000, **settings) -> None:
+    """Small reports and settings as one JSON file; a report of more than most_rows rows is an error, as it belongs in a table."""
     spark = next(iter(reports.values())).sparkSession
-    body = {"settings": settings} | {name: [r.asDict(recursive=True) for r in rows.limit(10_000).collect()] for name, rows in reports.items()}
+    body: dict = {"settings": settings}
+    for name, rows in reports.items():
+        body[name] = [r.asDict(recursive=True) for r in rows.limit(most_rows + 1).collect()]
+        if len(body[name]) > most_rows:
+            raise ValueError(f"report {name} has more than {most_rows} rows: write it as a table")
     spark.createDataFrame([(json.dumps(body, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cardiolake.functions.live import Monitor, push
+from cardiolake.functions.live import Monitor, push_all
 
 LINES = "device_id string, seq long, line string"
 ROWS = "device_id string, kind string, sample_pos long, status string, n_rr_used int, n_rr_rejected int, n_drr_used int, coverage double, leadoff int, mean_rr double, hr double, hrv_sdnn double, rmssd double, pnn50 double, cv_rr double, rr_entropy double, af_score double, af_run int, alarm boolean"
@@ -25,15 +25,22 @@ def _rows(device: str, found: list[dict]) -> pd.DataFrame:
     return table
 
 
+def _ordered(table: pd.DataFrame) -> Iterator[tuple]:
+    """line and arrival time (None where the table has none), in order."""
+    table = table.sort_values("seq")
+    times = table["at"].tolist() if "at" in table else [None] * len(table)
+    return zip(table["line"], (None if pd.isna(t) else t for t in times), strict=True)
+
+
 def monitor_stream(lines: DataFrame, fs: float) -> DataFrame:
-    """rhythm, beat and alert rows of a stream of lines; each device's state is kept as JSON between batches."""
+    """rhythm, beat, alert and error rows of a stream of lines; each device's state is kept as JSON between batches.
+
+    A column `at` (arrival time in seconds), where there is one, brings the check of the sampling rate.
+    """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         monitor = Monitor.from_dict(json.loads(state.get[0])) if state.exists else Monitor()
-        found: list[dict] = []
-        table = pd.concat(list(batches)).sort_values("seq")
-        for line in table["line"]:
-            found += push(monitor, line, fs)
+        found = push_all(monitor, _ordered(pd.concat(list(batches))), fs)
         state.update((json.dumps(monitor.to_dict()),))
         yield _rows(key[0], found)
 
@@ -44,10 +51,7 @@ def monitor_table(lines: DataFrame, fs: float) -> DataFrame:
     """The same rows from a finished table, one device a group."""
 
     def advance(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        monitor, found = Monitor(), []
-        for line in rows.sort_values("seq")["line"]:
-            found += push(monitor, line, fs)
-        return _rows(key[0], found)
+        return _rows(key[0], push_all(Monitor(), _ordered(rows), fs))
 
     return lines.groupBy("device_id").applyInPandas(advance, ROWS)
 
@@ -58,10 +62,13 @@ def read_lines(spark: SparkSession, path: str, files_per_batch: int | None = Non
 
 
 def split_sinks(rows: DataFrame, path: str, checkpoint: str):
-    """A query that writes the beat, rhythm and alert rows of each batch to folders of their own, once each."""
+    """A query that writes the beat, rhythm, alert and error rows of each batch to folders of their own: batch=0/kind=beat and so on.
+
+    A batch that is run again replaces its own folder, so every row is there once.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").partitionBy("kind").parquet(path)
+        batch.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
