@@ -45,13 +45,13 @@ def model(kind: str, label: str = "label_index", features: str = "features", wei
     if kind == "logistic":
         return LogisticRegression(maxIter=1_000, regParam=0.001, family="multinomial", **common)
     if kind == "forest":
-        return RandomForestClassifier(numTrees=100, maxDepth=30, seed=42, **common)
+        return RandomForestClassifier(numTrees=100, maxDepth=30, maxMemoryInMB=1024, seed=42, **common)
     if kind == "tree":
         return DecisionTreeClassifier(maxDepth=30, seed=42, **common)
     if kind == "bayes":
         return NaiveBayes(modelType="gaussian", **common)
     if kind == "svm":
-        return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.01), labelCol=label, featuresCol=features)
+        return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.01), labelCol=label, featuresCol=features, parallelism=8)
     raise ValueError(kind)
 
 
