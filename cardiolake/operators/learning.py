@@ -51,7 +51,7 @@ def model(kind: str, label: str = "label_index", features: str = "features", wei
     if kind == "bayes":
         return NaiveBayes(modelType="gaussian", **common)
     if kind == "svm":
-        return OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.01), labelCol=label, featuresCol=features, parallelism=8)
+        return OneVsRest(classifier=LinearSVC(maxIter=30, tol=1e-3, regParam=0.01), labelCol=label, featuresCol=features, parallelism=4)
     raise ValueError(kind)
 
 

@@ -477,8 +477,8 @@ for _kind in ("logistic", "forest", "tree", "bayes", "svm"):
 @query()
 def rbf_predictions(spark, sf):
     v = _vectors(spark, sf).withColumn("label", F.col("label").cast("string"))
-    v = v.withColumn("r", learning.fourier_features(F.col("v"), 64, 128, 1 / 64)).select("id", "label", *[F.col("r")[i].alias(f"r{i}") for i in range(128)])
-    return learning.predict(learning.fit(v, "svm", [f"r{i}" for i in range(128)], "label"), v).select("id", "label", "predicted")
+    v = v.withColumn("r", learning.fourier_features(F.col("v"), 64, 64, 1 / 64)).select("id", "label", *[F.col("r")[i].alias(f"r{i}") for i in range(64)])
+    return learning.predict(learning.fit(v, "svm", [f"r{i}" for i in range(64)], "label"), v).select("id", "label", "predicted")
 
 
 @query()
