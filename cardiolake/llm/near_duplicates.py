@@ -245,3 +245,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, re
         (alone | F.col("key").eqNullSafe(F.col("class_key")) & (F.col("tid") == F.col("class_tid"))).alias("is_first"),
         F.col("tid").alias("text_id"),
     )
+
+
+#: key, class_id and n_links with all pairs compared, at five words and a similarity of 4/5.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (SELECT text, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text),
+m AS (
+  SELECT row_number() OVER (ORDER BY first_id, text) AS tid, n, first_id, text,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM t),
+g AS (
+  SELECT DISTINCT tid, array_to_string(w[i : i + 4], ' ') AS gram
+  FROM (SELECT tid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM m WHERE len(w) > 0)),
+s AS (SELECT tid, count(*) AS size FROM g GROUP BY tid),
+c AS (SELECT a.tid AS x, b.tid AS y, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.tid < b.tid GROUP BY ALL),
+p AS (
+  SELECT x, y FROM c JOIN s sx ON sx.tid = x JOIN s sy ON sy.tid = y
+  WHERE 5 * common >= 4 * (sx.size + sy.size - common)),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT tid AS root, tid FROM s UNION SELECT r.root, e.y FROM r JOIN e ON e.x = r.tid AND r.root < e.y),
+k AS (SELECT tid, min(root) AS root FROM r GROUP BY tid),
+n AS (SELECT e.x AS tid, sum(m.n) AS linked FROM e JOIN m ON m.tid = e.y GROUP BY e.x),
+f AS (SELECT k.tid, m.text, min(m.first_id) OVER (PARTITION BY k.root) AS class_id, m.n - 1 + coalesce(n.linked, 0) AS n_links FROM k JOIN m USING (tid) LEFT JOIN n USING (tid))
+SELECT d.doc_id, coalesce(f.class_id, d.doc_id) AS class_id, coalesce(f.n_links, 0)::BIGINT AS n_links FROM documents d LEFT JOIN f ON f.text = d.text
+"""

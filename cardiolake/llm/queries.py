@@ -99,4 +99,4 @@ def op10_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_kk_shards, op2_ngram_jaccard, op3_decontaminate, op4_recurrent_lm, op5_suffix_dedup, op6_source_mix, op7_tokenizer_fertility, op8_orc_tokens, op9_toxic_segments, op10_byte_network)}
-ORACLE_SQL = {"op3_decontaminate": decontamination.ORACLE_SQL, "op6_source_mix": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op2_ngram_jaccard": near_duplicates.ORACLE_SQL, "op3_decontaminate": decontamination.ORACLE_SQL, "op5_suffix_dedup": substrings.ORACLE_SQL, "op6_source_mix": mixing.ORACLE_SQL}

@@ -386,3 +386,19 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", keep:
 
     schema = type(clean.schema)(list(clean.schema))
     return clean.unionByName(suspects.mapInArrow(strip, schema))
+
+
+#: The digest of what is left, with every string of 200 bytes grouped; blocks of 1,000 places keep the cuts short.
+ORACLE_SQL = r"""
+WITH h AS (SELECT doc_id, text, hex(coalesce(text, '')) AS x, strlen(coalesce(text, '')) AS n, row_number() OVER (ORDER BY doc_id, text) AS r FROM documents),
+b AS (SELECT r, k, least(1000, n - 199 - k) AS m, substr(x, 2 * k + 1, 2 * 1199) AS part FROM (SELECT *, unnest(range(0, n - 199, 1000)) AS k FROM h WHERE n >= 200)),
+w AS (SELECT r, k + i AS i, md5_number(substr(part, 2 * i + 1, 400)) AS code FROM (SELECT *, unnest(range(m)) AS i FROM b)),
+o AS (SELECT code FROM w GROUP BY code HAVING count(*) > 1),
+d AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS begins FROM w SEMI JOIN o USING (code)),
+q AS (SELECT r, i, sum(begins) OVER (PARTITION BY r ORDER BY i) AS span FROM d),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM q GROUP BY r, span),
+e AS (SELECT r, a, b FROM s UNION ALL SELECT r, n, n FROM h),
+k AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a, b), 0) AS since FROM e),
+j AS (SELECT r, sum(b - a) AS n_removed, count(*) - 1 AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a, b) AS kept FROM k JOIN h USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM h JOIN j USING (r)
+"""
