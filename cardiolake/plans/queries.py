@@ -496,9 +496,17 @@ def peaks_height_only(spark, sf):
     return n.where("x > p and x > q and x >= h").select("id", "pos")
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+h AS (SELECT id, avg(x) + stddev_pop(x) AS least FROM v GROUP BY id),
+u AS (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY id ORDER BY i) THEN 0 ELSE 1 END AS begins FROM v),
+f AS (SELECT id, x, (min(i) + max(i)) // 2 AS pos, min(i) AS i FROM (SELECT *, sum(begins) OVER (PARTITION BY id ORDER BY i) AS flat FROM u) GROUP BY id, x, flat),
+n AS (SELECT *, lag(x) OVER (PARTITION BY id ORDER BY i) AS p, lead(x) OVER (PARTITION BY id ORDER BY i) AS q FROM f),
+c AS (SELECT id, list(pos ORDER BY x DESC, pos DESC) AS tops FROM n JOIN h USING (id) WHERE x > p AND x > q AND x >= least GROUP BY id),
+k AS (SELECT id, list_sort(list_reduce(list_transform(tops, lambda t: [t]), lambda kept, t: CASE WHEN len(list_filter(kept, lambda a: abs(a - t[1]) < 8)) > 0 THEN kept ELSE list_append(kept, t[1]) END)) AS kept FROM c)
+SELECT e.vec_id AS id, coalesce(len(kept), 0)::INT AS n, coalesce(array_to_string(kept, ','), '') AS peaks FROM embeddings e LEFT JOIN k ON k.id = e.vec_id""")
 def peaks_chunks(spark, sf):
-    return _vectors(spark, sf).select("id", dsp.peaks_column(F.col("v"), 20.0).alias("peaks"))
+    found = _vectors(spark, sf).select("id", dsp.peaks_column(F.col("v"), 20.0).alias("at"))
+    return found.select("id", F.size("at").alias("n"), F.array_join(F.col("at").cast("array<string>"), ",").alias("peaks"))
 
 
 @query("""WITH t AS (SELECT vec_id AS record_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::BIGINT - 1 AS i FROM embeddings), b AS (SELECT vec_id AS record_id, unnest([vec_id % 64, (vec_id * 7 + 11) % 64, 70])::BIGINT AS sample FROM embeddings), d AS (SELECT DISTINCT * FROM b),
@@ -520,7 +528,9 @@ def markers_snapped(spark, sf):
     return found.withColumn("shown_value", F.round("shown_value", 6))
 
 
-@query()
+@query("""WITH t AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::BIGINT - 1 AS i FROM embeddings), m AS (SELECT id, arg_max(i, x ORDER BY i) AS pos, max(x) AS top FROM t GROUP BY id),
+w AS (SELECT id, count(*) AS n, max(i) - min(i) AS far FROM t JOIN m USING (id) WHERE top <> 0 AND i >= pos - 10 AND i < pos + 10 AND abs(x) > abs(top * 0.5) GROUP BY id)
+SELECT id, round(CASE WHEN n > 1 THEN far / 100.0::DOUBLE ELSE 0 END, 6) AS qrs_width FROM m LEFT JOIN w USING (id)""")
 def qrs_width_chunks(spark, sf):
     return _vectors(spark, sf).select("id", F.round(dsp.qrs_column(F.col("v"), 100.0), 6).alias("qrs_width"))
 
