@@ -473,6 +473,16 @@ def _ml(kind):
 for _kind in ("logistic", "forest", "tree", "bayes", "svm"):
     query()(_ml(_kind))
 
+_VALUES = f"unnest([{', '.join(FEATURES)}])::DOUBLE AS x, unnest(range({len(FEATURES)})) AS f"
+#: Weights make all classes equal, so means of the classes' means stand for the weighted ones, and priors cancel.
+ORACLE_SQL["bayes_predictions"] = f"""WITH {SQL_ALL}, used AS (SELECT *, ['NSR', 'AFib', 'AFlutter'][label_id + 1] AS label FROM wt WHERE n_drr_used >= 1), {SQL_SPLIT.replace("wt", "used")},
+sided AS (SELECT used.*, fold FROM used JOIN sp USING (patient_id, wid)), few AS (SELECT patient_id, wid FROM sided WHERE fold = 'train' QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY md5(patient_id::VARCHAR || '|' || wid::VARCHAR)) <= 25),
+tall AS (SELECT patient_id, wid, label, fold, {_VALUES} FROM sided), learnt AS (SELECT * FROM tall SEMI JOIN few USING (patient_id, wid)), scale AS (SELECT f, avg(x) AS mid, stddev_samp(x) AS dev FROM learnt GROUP BY f),
+z AS (SELECT patient_id, wid, label, fold, f, CASE WHEN dev > 0 THEN (x - mid) / dev ELSE 0 END AS z FROM tall JOIN scale USING (f)),
+per AS (SELECT label, f, avg(z) AS mu, var_pop(z) AS v, avg(z * z) AS square FROM z SEMI JOIN few USING (patient_id, wid) GROUP BY label, f), eps AS (SELECT max(v) * 1e-9 AS eps FROM (SELECT avg(square) - avg(mu) * avg(mu) AS v FROM per GROUP BY f)),
+ll AS (SELECT patient_id, wid, z.label, per.label AS guess, sum(-0.5 * ln(v + eps) - (z - mu) * (z - mu) / (2 * (v + eps))) AS ll FROM z JOIN per USING (f), eps WHERE fold = 'test' GROUP BY ALL)
+SELECT patient_id, wid, label, arg_max(guess, ll) AS predicted FROM ll GROUP BY patient_id, wid, label"""
+
 
 @query()
 def rbf_predictions(spark, sf):
