@@ -553,11 +553,11 @@ def fold_preview(spark, sf):
 @query(f"WITH {SQL_A} SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY sample, ann_idx) - 1 AS ann_idx, sample, code, note, max(sample) OVER (PARTITION BY patient_id) AS last_sample FROM a")
 def parse_annotations(spark, sf):
     """Events written as annotation bytes and walked again."""
-    from cardiolake.sources.annotations import encode, parse_annotations as parse
+    from cardiolake.sources.annotations import encode_arrays, parse_annotations as parse
 
     def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["sample", "ann_idx"])
-        payload = encode((int(s), int(c), [n] if isinstance(n, str) else []) for s, c, n in rows[["sample", "code", "note"]].itertuples(index=False))
+        payload = encode_arrays(rows["sample"].to_numpy(), rows["code"].to_numpy("int64"), [(i, n) for i, n in enumerate(rows["note"]) if isinstance(n, str)])
         return pd.DataFrame({"patient_id": [key[0]], "content": [payload]})
 
     files = annotations(spark, sf).groupBy("patient_id").applyInPandas(pack, "patient_id long, content binary")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,55 +12,82 @@ from pyspark.sql import functions as F
 # The codes with a meaning of their own in the stream.
 SKIP, NUM, SUB, CHN, AUX = 59, 60, 61, 62, 63
 LONGEST_DELTA = 1023
+#: Annotations that leave a worker at once, those of whole files.
+ROWS = 20_000
 
 
-def decode(payload: bytes) -> tuple[list[tuple[int, int, list[str]]], int]:
-    """(sample, code, notes) of each annotation, and the clock at the end.
+def walk(payload: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]], int]:
+    """Samples and codes of all annotations, (annotation, note) of each note in order, and the clock at the end.
 
     Little-endian 16-bit words: a code in the upper 6 bits, a distance in the lower 10. SKIP is followed by a 32-bit
     distance, high half first, and then by a word with a distance of its own; a SKIP cut short ends the file. AUX
-    brings text for the annotation before it, padded to a whole word.
+    brings text for the annotation before it, padded to a whole word. Words that begin something are found by jumps
+    that double: from the first word, every word that 1, 2, 4, ... jumps reach.
     """
-    out: list[tuple[int, int, list[str]]] = []
-    words = struct.unpack(f"<{len(payload) // 2}H", payload[: len(payload) // 2 * 2])
-    clock, at = 0, 0
-    while at < len(words):
-        code, distance = words[at] >> 10, words[at] & LONGEST_DELTA
-        at += 1
-        if code == 0 and distance == 0:
-            break
-        if code == SKIP:
-            if at + 2 > len(words):
-                break
-            far = words[at] << 16 | words[at + 1]
-            clock += far - (1 << 32) if far >= 1 << 31 else far
-            at += 2
-        elif code == AUX:
-            text = payload[2 * at : 2 * at + distance].rstrip(b"\0 ").strip().decode("latin-1")
-            if out:
-                out[-1][2].append(text)
-            at += (distance + 1) // 2
-        elif code not in (NUM, SUB, CHN):
-            clock += distance
-            out.append((clock, code, []))
+    words = np.frombuffer(payload, "<u2", len(payload) // 2).astype(np.int64)
+    n = len(words)
+    code, distance = words >> 10, words & LONGEST_DELTA
+    after = np.arange(n + 1)
+    after[:n] += np.where(code == SKIP, 3, np.where(code == AUX, 1 + (distance + 1) // 2, 1))
+    # the end is a word of its own that leads to itself
+    after[:n][(words == 0) | ((code == SKIP) & (after[:n] > n))] = n
+    jump, reached = np.minimum(after, n), np.zeros(n + 1, dtype=bool)
+    reached[0] = True
+    while not (jump == n).all():
+        reached[jump[reached]] = True
+        jump = jump[jump]
+    at = np.flatnonzero(reached[:n])
+    at = at[(words[at] != 0) & ~((code[at] == SKIP) & (at + 3 > n))]
+    kind = code[at]
+    skip, aux = kind == SKIP, kind == AUX
+    own = ~(skip | aux | np.isin(kind, (NUM, SUB, CHN)))
+    moves = np.where(own, distance[at], 0)
+    far = words[at[skip] + 1] << 16 | words[at[skip] + 2]
+    moves[skip] = np.where(far >= 1 << 31, far - (1 << 32), far)
+    clock, owner = np.cumsum(moves), np.cumsum(own) - 1
+    notes = [(o, payload[2 * i + 2 : 2 * i + 2 + d].rstrip(b"\0 ").strip().decode("latin-1")) for o, i, d in zip(owner[aux].tolist(), at[aux].tolist(), distance[at[aux]].tolist(), strict=True) if o >= 0]
+    return clock[own], kind[own], notes, int(clock[-1]) if len(clock) else 0
+
+
+def decode(payload: bytes) -> tuple[list[tuple[int, int, list[str]]], int]:
+    """(sample, code, notes) of each annotation, and the clock at the end."""
+    samples, codes, notes, clock = walk(payload)
+    out = [(s, c, []) for s, c in zip(samples.tolist(), codes.tolist(), strict=True)]
+    for owner, note in notes:
+        out[owner][2].append(note)
     return out, clock
 
 
+def encode_arrays(samples: np.ndarray, codes: np.ndarray, notes: list[tuple[int, str]]) -> bytes:
+    """The bytes of annotations in order, with (annotation, note) of each note in order; distances that don't fit a word go through SKIP."""
+    distance = np.diff(samples, prepend=0)
+    long = (distance < 0) | (distance > LONGEST_DELTA)
+    owner = np.array([o for o, _ in notes], dtype=np.int64)
+    raw = [t.encode("latin-1") for _, t in notes]
+    sizes = np.array([1 + (len(r) + 1) // 2 for r in raw], dtype=np.int64)
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    ends = np.cumsum(1 + 3 * long + np.bincount(owner, weights=sizes, minlength=len(samples)).astype(np.int64))
+    place = np.concatenate([[0], ends[:-1]]) + 3 * long if len(samples) else np.zeros(0, np.int64)
+    out = np.zeros(int(ends[-1]) + 1 if len(samples) else 1, dtype="<u2")
+    far = distance[long] & 0xFFFFFFFF
+    for k, words in enumerate((SKIP << 10, far >> 16, far & 0xFFFF)):
+        out[place[long] - 3 + k] = words
+    out[place] = codes << 10 | np.where(long, 0, distance)
+    # a note lies behind its annotation and that one's earlier notes
+    at = place[owner] + 1 + before[:-1] - before[np.searchsorted(owner, owner)]
+    for text in set(raw):
+        words = np.frombuffer(text + b"\0" * (len(text) % 2), "<u2")
+        mine = at[[r == text for r in raw]]
+        out[mine] = AUX << 10 | len(text)
+        out[mine[:, None] + 1 + np.arange(len(words))] = words
+    return out.tobytes()
+
+
 def encode(annotations: Iterable[tuple[int, int, list[str]]]) -> bytes:
-    """The bytes of annotations in order; distances that don't fit a word go through SKIP."""
-    out, clock = [], 0
-    for sample, code, notes in annotations:
-        distance = sample - clock
-        if not 0 <= distance <= LONGEST_DELTA:
-            far = distance & 0xFFFFFFFF
-            out.append(struct.pack("<HHH", SKIP << 10, far >> 16, far & 0xFFFF))
-            distance = 0
-        out.append(struct.pack("<H", code << 10 | distance))
-        for note in notes:
-            raw = note.encode("latin-1")
-            out.append(struct.pack("<H", AUX << 10 | len(raw)) + raw + b"\0" * (len(raw) % 2))
-        clock = sample
-    return b"".join(out) + b"\0\0"
+    """The bytes of (sample, code, notes) in order."""
+    rows = list(annotations)
+    notes = [(i, note) for i, row in enumerate(rows) for note in row[2]]
+    return encode_arrays(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), notes)
 
 
 def parse_annotations(files: DataFrame, payload: str = "content", *keys: str) -> DataFrame:
@@ -72,13 +99,30 @@ def parse_annotations(files: DataFrame, payload: str = "content", *keys: str) ->
     names = [*keys, "ann_idx", "sample", "code", "notes", "last_sample"]
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + ["ann_idx int", "sample long", "code int", "notes array<string>", "last_sample long"])
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, held = [], 0
         for batch in batches:
             for row in batch.itertuples(index=False, name=None):
-                found, last = decode(bytes(row[-1])) if row[-1] is not None else ([], 0)
-                yield pd.DataFrame([(*row[:-1], i, s, c, n, last) for i, (s, c, n) in enumerate(found)], columns=names)
-
-    return files.select(*keys, payload).mapInPandas(walk, schema)
+                samples, codes, found, last = walk(bytes(row[-1]) if row[-1] is not None else b"")
+                notes = [[] for _ in range(len(samples))]
+                for owner, note in found:
+                    notes[owner].append(note)
+                waiting.append((row[:-1], samples, codes, notes, last))
+                held += len(samples)
+                if held >= ROWS:
+                    yield table(waiting)
+                    waiting, held = [], 0
+        yield table(waiting)
+
+    def table(walked: list[tuple]) -> pd.DataFrame:
+        counts = [len(w[1]) for w in walked]
+        if not sum(counts):
+            return pd.DataFrame(columns=names)
+        own = [pd.Series([w[0][k] for w in walked]).repeat(counts).reset_index(drop=True) for k in range(len(keys))]
+        columns = (*own, *map(np.concatenate, zip(*((np.arange(n), w[1], w[2]) for n, w in zip(counts, walked, strict=True)), strict=True)), [x for w in walked for x in w[3]], np.repeat([w[4] for w in walked], counts))
+        return pd.DataFrame(dict(zip(names, columns, strict=True)))
+
+    return files.select(*keys, payload).mapInPandas(rows, schema)
 
 
 def read_annotation_files(spark: SparkSession, glob: str) -> DataFrame:
