@@ -440,7 +440,8 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, text: str = "text",
     rare words of each text in a join, and only sums come back.
 
     A null text is empty: its only token is the end. Without any text to learn from, score equals base_score (0). Repeated
-    rows are scored alike; an empty table gives no rows; columns of the added names are replaced.
+    rows are scored alike up to single-precision rounding, as matrix products may round a row by its place in a block
+    (differences of some 1e-7 of the score were seen); an empty table gives no rows; columns of the added names are replaced.
     """
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     columns = list(docs.columns if keep is None else keep)
