@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardiolake.llm.common import FOLD, blocks, per_text, raw_bytes, stored, strided_counts, word_codes
+from cardiolake.llm.common import FOLD, blocks, per_text, raw_bytes, stored, strided_counts, text_id, with_facts, word_codes
 
 #: Units of the network; classes of frequent words and words of each; classes of all other words.
 UNITS, HEAD_CLASSES, HEAD_WIDTH, TAIL_CLASSES = 32, 32, 32, 64
@@ -26,6 +26,8 @@ ROUNDS, WIDE, PART = 4, 256, 2_000_000
 BLOCK_BYTES = 10_000_000
 #: States gathered before the softmax is taken.
 FLUSH = 8_192
+#: Logarithms of rare words are summed as whole parts of this size.
+BILLION = 1_000_000_000
 
 
 @dataclass
@@ -439,9 +441,12 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, text: str = "text",
     words. Frequent words' counts go to every task (DICTIONARY entries); those of the others meet the
     rare words of each text in a join, and only sums come back.
 
+    Matrix products may round a row by its place in a block, so equal texts come out of the network with differences of
+    some 1e-7 of the score. All rows of a text get the least of these values; logarithms of rare words are summed as whole
+    billionths, whose sum has no order. So scores of equal texts are equal to the last bit.
+
     A null text is empty: its only token is the end. Without any text to learn from, score equals base_score (0). Repeated
-    rows are scored alike up to single-precision rounding, as matrix products may round a row by its place in a block
-    (differences of some 1e-7 of the score were seen); an empty table gives no rows; columns of the added names are replaced.
+    rows are scored alike; an empty table gives no rows; columns of the added names are replaced.
     """
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     columns = list(docs.columns if keep is None else keep)
@@ -473,13 +478,16 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, text: str = "text",
 
         return score
 
-    parts = per_text(docs, text, make, "n_tokens long, __known long, __logs double, __model double, __rare array<struct<word: binary, n: int>>", columns, BLOCK_BYTES)
+    marked = docs.withColumn("__tid", text_id(F.coalesce(text, F.lit(""))))
+    parts = per_text(marked, text, make, "n_tokens long, __known long, __logs double, __model double, __rare array<struct<word: binary, n: int>>", [*columns, "__tid"], BLOCK_BYTES)
     parts = stored(parts.withColumn("__row", F.monotonically_increasing_id()), "lm-parts")
     rare = parts.select("__row", F.explode("__rare").alias("r")).select("__row", "r.word", "r.n")
     joined = rare.join(counts.where(F.col("c") < least), "word")
-    found = joined.groupBy("__row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("__rare_logs"), F.sum("n").alias("__rare_known"))
-    rows = parts.drop("__rare").join(found, "__row", "left")
-    logs = F.coalesce("__rare_logs", F.lit(0.0))
+    found = joined.groupBy("__row").agg(F.sum(F.col("n") * F.round(F.log10(F.col("c") + 1) * BILLION).cast("long")).alias("__rare_logs"), F.sum("n").alias("__rare_known"))
+    alike = stored(parts.groupBy("__tid").agg(F.min("__model").alias("__model"), F.count("*").alias("__times")), "lm-texts")
+    model = with_facts(parts.select("__row", "__tid"), alike, "__tid", "__times").select("__row", "__model")
+    rows = parts.drop("__rare", "__tid", "__model").join(model, "__row").join(found, "__row", "left")
+    logs = F.coalesce("__rare_logs", F.lit(0)) / BILLION
     base = F.col("__logs") + logs - F.col("n_tokens") * F.lit(float(np.log10(vocabulary.total + vocabulary.types + 1)))
     score = F.col("__model") + logs if vocabulary.total else base
     known = F.col("__known") + F.coalesce("__rare_known", F.lit(0)).cast("long")
