@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardiolake.llm import decontamination, language, mixing, near_duplicates, quality, recurrent_lm, sharding, substrings, token_files, toxicity
+from cardiolake.llm import byte_bpe, centroids, decontamination, filter_audit, language, mixing, near_duplicates, quality, recurrent_lm, sharding, substrings, token_files, toxicity
 from cardiolake.llm.common import gone_at_exit, remainder, scratch_path
 
 
@@ -98,5 +100,20 @@ def op10_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_kk_shards, op2_ngram_jaccard, op3_decontaminate, op4_recurrent_lm, op5_suffix_dedup, op6_source_mix, op7_tokenizer_fertility, op8_orc_tokens, op9_toxic_segments, op10_byte_network)}
-ORACLE_SQL = {"op2_ngram_jaccard": near_duplicates.ORACLE_SQL, "op3_decontaminate": decontamination.ORACLE_SQL, "op5_suffix_dedup": substrings.ORACLE_SQL, "op6_source_mix": mixing.ORACLE_SQL}
+def op11_filter_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, _table(spark, sf_dir, "labels")).where("part is not null")
+
+
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    find = functools.partial(vocabulary, "byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), find, keep=["doc_id"])
+    return byte_bpe.digests(encoded, find, keep=["doc_id"])
+
+
+def op13_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, dims=64, rounds=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_kk_shards, op2_ngram_jaccard, op3_decontaminate, op4_recurrent_lm, op5_suffix_dedup, op6_source_mix, op7_tokenizer_fertility, op8_orc_tokens, op9_toxic_segments, op10_byte_network, op11_filter_cube, op12_prefix_bpe, op13_hamerly)}
+ORACLE_SQL = {"op2_ngram_jaccard": near_duplicates.ORACLE_SQL, "op3_decontaminate": decontamination.ORACLE_SQL, "op5_suffix_dedup": substrings.ORACLE_SQL, "op6_source_mix": mixing.ORACLE_SQL, "op11_filter_cube": filter_audit.ORACLE_SQL, "op13_hamerly": centroids.ORACLE_SQL}
