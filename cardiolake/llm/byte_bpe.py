@@ -18,7 +18,7 @@ from cardiolake.llm.token_files import pieces
 
 BLOCK_BYTES = 4_000_000
 #: Distinct pieces, and pairs of tokens, that a worker keeps; beyond that it starts anew.
-MEMO, PAIRS = 1_000_000, 1_000_000
+MEMO, PAIRS = 500_000, 400_000
 #: Characters behind a match's start that can decide where it ends, besides the one behind its end: a contraction has three.
 AHEAD = 3
 #: A rank above all.
@@ -309,29 +309,25 @@ def encode_texts(docs: DataFrame, find: Callable[[], tuple[str, str]], text: str
     return per_text(docs, text, make, "ids array<int>", keep, BLOCK_BYTES)
 
 
-def digests(encoded: DataFrame, find: Callable[[], tuple[str, str]], keep: list[str] | None = None) -> DataFrame:
-    """Rows of encode_texts with n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256 (of the bytes that the ids decode to)."""
-    added = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    columns = list(encoded.columns if keep is None else keep)
-    columns = [c for c in columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    rows = encoded.select(*columns, *([] if "ids" in columns else ["ids"]))
-    place = rows.columns.index("ids")
-    new = encoded.sparkSession.createDataFrame([], added).schema
-    schema = type(new)([f for f in rows.schema if f.name in columns] + list(new))
+def encode_digests(docs: DataFrame, find: Callable[[], tuple[str, str]], text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs with n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids) and decoded_sha256 (of the bytes that the ids decode to).
 
-    def hashed(batches):
-        ranks = encoder_of(*find()).ranks
-        for batch in batches:
-            lists = batch.column(place)
-            at = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
-            at = at - at[0]
-            words, text = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B"), memoryview(ranks.decode(ids))
-            begins = np.concatenate([[0], np.cumsum(ranks.lengths[ids])])[at]
+    As encode_texts, in one pass: the worker that has encoded a block decodes its ids again. Columns of these names are replaced.
+    """
+
+    def make():
+        encoder = encoder_of(*find())
+
+        def digested(column: pa.Array) -> list[pa.Array]:
+            ids, at = encoder.encode(column)
+            words, raw = memoryview(np.ascontiguousarray(ids.astype("<u4"))).cast("B"), memoryview(encoder.ranks.decode(ids))
+            begins = np.concatenate([[0], np.cumsum(encoder.ranks.lengths[ids])])[at]
             sha = lambda view, cuts: pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(np.diff(at)), sha(words, 4 * at), sha(text, begins)], names=[*columns, *new.names])
+            return [pa.array(np.diff(at)), sha(words, 4 * at), sha(raw, begins)]
+
+        return digested
 
-    return rows.mapInArrow(hashed, schema)
+    return per_text(docs, text, make, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep, BLOCK_BYTES)
 
 
 def encode_with_prefixes(docs: DataFrame, find: Callable[[], tuple[str, str]], text: str = "text") -> DataFrame:

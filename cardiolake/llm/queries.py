@@ -107,8 +107,7 @@ def op11_filter_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     find = functools.partial(vocabulary, "byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), find, keep=["doc_id"])
-    return byte_bpe.digests(encoded, find, keep=["doc_id"])
+    return byte_bpe.encode_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), find, keep=["doc_id"])
 
 
 def op13_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,10 +145,11 @@ def test_encoding_of_odd_rows(spark, plain):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for c in ("ids", "n_tokens", "last", "ids_sha256"):
         docs = docs.withColumn(c, F.lit("x"))
-    out = byte_bpe.digests(byte_bpe.encode_texts(docs, BPE), BPE).collect()
+    out = byte_bpe.encode_digests(docs, BPE).collect()
     want = sorted((str(i), len(plain.encode_ordinary(t or "")) if t != long else None, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
     assert sorted((str(r["doc_id"]), r["n_tokens"] if r["text"] != long else None, r["decoded_sha256"]) for r in out) == want
-    assert byte_bpe.digests(byte_bpe.encode_texts(docs.where("false"), BPE), BPE).count() == 0
+    assert byte_bpe.encode_digests(docs.where("false"), BPE).count() == 0
+    assert sorted(r["ids"] for r in byte_bpe.encode_texts(docs.where("text is null or length(text) < 1000"), BPE).collect()) == sorted(plain.encode_ordinary(t or "") for _, t in rows if t != long)
     # appends and edits of stored tables
     edits = byte_bpe.encode_with_prefixes(docs.where("text is null or length(text) < 1000").select("doc_id", "text"), BPE)
     edits = edits.withColumns({"at": F.when(F.col("doc_id") == 1, 5).cast("int"), "gone": F.when(F.col("doc_id") == 1, 4).cast("int"), "more": F.lit("ll be 'r")})
