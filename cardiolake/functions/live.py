@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -57,15 +57,6 @@ class Monitor:
     first_at: float | None = None
     next_rate_check: int = 0
 
-    def to_dict(self) -> dict:
-        return asdict(self)
-
-    @classmethod
-    def from_dict(cls, d: dict) -> Monitor:
-        d = dict(d)
-        d["alarm"] = Alarm(**d["alarm"])
-        return cls(**d)
-
 
 #: Seconds of samples between checks of the sampling rate.
 RATE_CHECK_S = 60
@@ -147,11 +138,23 @@ def push_all(state: Monitor, lines, fs: float, score=default_score) -> list[dict
 
 
 def push(state: Monitor, line: str, fs: float, score=default_score) -> list[dict]:
-    """One line from the device; the rows that it brings about.
+    """One line from the device, or a block of lines as one read brings them; the rows that it brings about.
 
     A sample moves the clock; a lead-off mark or anything else does not. Five seconds make a chunk; behind it two
     seconds stay if its intervals could be used, one if not. Beats join the history before that is decided.
     """
+    if "\n" in line:
+        lines = line.split("\n")
+        if not all(x.isascii() and x.isdigit() for x in lines):
+            return [row for x in lines for row in push(state, x, fs, score)]
+        samples, rows = [int(x) for x in lines], []
+        while samples:
+            room = int(5 * fs) - len(state.buffer)
+            state.buffer += samples[:room]
+            state.clock += len(samples[:room])
+            samples = samples[room:]
+            rows += _chunk(state, fs, score)
+        return rows
     if line == "!":
         state.leadoff.append(state.clock)
         return []
@@ -159,6 +162,11 @@ def push(state: Monitor, line: str, fs: float, score=default_score) -> list[dict
         return []
     state.clock += 1
     state.buffer.append(int(line))
+    return _chunk(state, fs, score)
+
+
+def _chunk(state: Monitor, fs: float, score) -> list[dict]:
+    """The rows of the buffer once it is full."""
     if len(state.buffer) < int(5 * fs):
         return []
     rows: list[dict] = []

@@ -564,15 +564,27 @@ def parse_annotations(spark, sf):
     return parse(files, "content", "patient_id").select("patient_id", F.col("ann_idx").cast("long").alias("ann_idx"), "sample", "code", F.try_element_at("notes", F.lit(1)).alias("note"), "last_sample")
 
 
+LIVE_FS = 100.0
+
+
+def event_lines(spark, sf):
+    """Lines of devices: a user is a device, and an event a read of three beats, whose intervals hang on its number and value; some errors are lead-off marks."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("device_id"), (F.row_number().over(order) - 1).cast("long").alias("seq"), "event_type", F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)).alias("k"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    gap = lambda i: F.when(F.col("k") % 3 == 0, 60 + F.pmod(F.floor(F.col("value") * (7 + i)), F.lit(60))).otherwise(80 + F.pmod(F.col("k") + i, F.lit(5))).cast("int")
+    beat = lambda i: F.transform(F.sequence(F.lit(0), gap(i) - 1), lambda t: F.when(t < 5, 512 + 90 * t).when(t < 10, 512 + 90 * (10 - t)).otherwise(512 + t % 3).cast("int"))
+    block = F.array_join(F.transform(F.concat(beat(0), beat(1), beat(2)), lambda v: v.cast("string")), "\n")
+    return e.select("device_id", "seq", F.when((F.col("event_type") == "error") & (F.col("k") % 16 == 0), "!").otherwise(block).alias("line"))
+
+
 @query()
 def stream_live_replay(spark, sf):
-    """The synthetic streams through the stateful stream, all batches at once, read back from its sink."""
-    from cardiolake.sources.signals import stream_lines
+    """The devices of `events` through the stateful stream, in batches of their lines, read back from its sink."""
     from cardiolake.streaming.monitor import monitor_stream, read_lines
 
     path = _scratch(spark, "replay")
-    stream_lines(spark, ["nsr", "af", "nsr-af-nsr", "flat", "noise"]).write.parquet(f"{path}/in")
-    rows = monitor_stream(read_lines(spark, f"{path}/in"), 300.0)
+    event_lines(spark, sf).write.parquet(f"{path}/in")
+    rows = monitor_stream(read_lines(spark, f"{path}/in"), LIVE_FS)
     rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").where("kind <> 'beat'").select("device_id", "kind", "sample_pos", "status", "af_run", "alarm", F.round("af_score", 4).alias("af_score"))
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from cardiolake.functions.live import Monitor, push_all
+from cardiolake.functions.live import Alarm, Monitor, push_all
 
 LINES = "device_id string, seq long, line string"
 ROWS = "device_id string, kind string, sample_pos long, status string, n_rr_used int, n_rr_rejected int, n_drr_used int, coverage double, leadoff int, mean_rr double, hr double, hrv_sdnn double, rmssd double, pnn50 double, cv_rr double, rr_entropy double, af_score double, af_run int, alarm boolean"
@@ -32,19 +31,57 @@ def _ordered(table: pd.DataFrame) -> Iterator[tuple]:
     return zip(table["line"], (None if pd.isna(t) else t for t in times), strict=True)
 
 
-def monitor_stream(lines: DataFrame, fs: float) -> DataFrame:
-    """rhythm, beat, alert and error rows of a stream of lines; each device's state is kept as JSON between batches.
+#: What is kept of a device between batches: single values, and lists that are bounded by five seconds of samples, a minute of beats and marks, and the lengths of the label and trend rings.
+SCALARS = "clock long, last_rhythm long, ectopy boolean, fs_fatal boolean, fs_warned boolean, first_at double, next_rate_check long, run int, clear int, on boolean, last_good long"
+LISTS = {"buffer": "sample int", "beats": "at long", "leadoff": "at long", "labels": "abnormal int", "trend": "score double"}
+OF_MONITOR, OF_ALARM = (["clock", "last_rhythm", "ectopy", "fs_fatal", "fs_warned", "first_at", "next_rate_check"], ["run", "clear", "on", "last_good"])
 
-    A column `at` (arrival time in seconds), where there is one, brings the check of the sampling rate.
-    """
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        monitor = Monitor.from_dict(json.loads(state.get[0])) if state.exists else Monitor()
-        found = push_all(monitor, _ordered(pd.concat(list(batches))), fs)
-        state.update((json.dumps(monitor.to_dict()),))
-        yield _rows(key[0], found)
+class DeviceMonitor(StatefulProcessor):
+    """Moves one device's monitor along its lines; the state is typed value and list state, no text."""
+
+    def __init__(self, fs: float):
+        self.fs = fs
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.scalars = handle.getValueState("scalars", SCALARS)
+        self.lists = {name: handle.getListState(name, schema) for name, schema in LISTS.items()}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = Monitor()
+        if self.scalars.exists():
+            known = self.scalars.get()
+            for name, value in zip(OF_MONITOR, known[: len(OF_MONITOR)], strict=True):
+                setattr(state, name, value)
+            state.alarm = Alarm(*known[len(OF_MONITOR) :])
+            for name, kept in self.lists.items():
+                setattr(state, name, [value for (value,) in kept.get()])
+        found = push_all(state, _ordered(pd.concat(list(rows))), self.fs)
+        self.scalars.update((*(getattr(state, n) for n in OF_MONITOR), *(getattr(state.alarm, n) for n in OF_ALARM)))
+        for name, kept in self.lists.items():
+            values = getattr(state, name)
+            kept.put([(v,) for v in values]) if values else kept.clear()
+        if found:
+            yield _rows(key[0], found)
+
+    def close(self) -> None:
+        pass
 
-    return lines.groupBy("device_id").applyInPandasWithState(advance, ROWS, "monitor string", "append", GroupStateTimeout.NoTimeout)
+
+def use_typed_state(spark: SparkSession) -> None:
+    """Typed state of several variables needs the RocksDB state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def monitor_stream(lines: DataFrame, fs: float) -> DataFrame:
+    """rhythm, beat, alert and error rows of a stream of lines; what is kept of a device between batches is typed state.
+
+    A line may be a block of lines. A device's lines of one batch are put in order by seq and held by one worker, so a
+    source's limit of a batch bounds its memory; batches must follow each other. A column `at` (arrival time in
+    seconds), where there is one, brings the check of the sampling rate.
+    """
+    use_typed_state(lines.sparkSession)
+    return lines.groupBy("device_id").transformWithStateInPandas(DeviceMonitor(fs), ROWS, "append", "none")
 
 
 def monitor_table(lines: DataFrame, fs: float) -> DataFrame:
