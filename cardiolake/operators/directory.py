@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardiolake.operators.spans import episodes, runs
+from cardiolake.schema import RATE_FROM_MARK, RHYTHM_FITS
 
 ST_T = r"^(\(|A)?(ST|T)([0-9]{1,2})?(\+\+|\+|--|-|BP)([0-9]*)(\))?$"
 
@@ -32,18 +33,34 @@ def rhythm_summary(labels: DataFrame, key: tuple[str, ...], order: tuple[str, ..
     return spans.groupBy(*key, "label").agg(F.count("*").alias("episodes"), (F.sum(F.col("end_sample") - F.col("start_sample")) / fs).alias("seconds"))
 
 
-def rhythm_rates(beats: DataFrame, key: tuple[str, ...], order: tuple[str, ...], fs: float, rhythm: str = "in_force", reset: str = "reset") -> DataFrame:
-    """Least and greatest rate of each rhythm from sums of three intervals that no reset interrupts.
+def rate_intervals(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...], rhythm: str = "rhythm", group: str = "group", noise: str | None = None) -> DataFrame:
+    """Beats with in_force (the rhythm of the last mark, '' before one) and rr3: samples over the last three intervals, where a rate can be measured.
 
-    reset marks beats at which counting begins anew (a change of rhythm, a beat that does not fit it, noise).
+    rows: marks (rhythm is not null) and beats (group is N, S, V, F, P or W), in one order. A counter of beats begins
+    anew at -1 behind every mark (at 0 for SVTA and VT, whose first interval counts from the beat before), at a beat
+    that doesn't fit the rhythm in force, and where noise (a boolean column) makes all signals unreadable; from 3 on, the last
+    four beats give a sum. A beat that lacks earlier ones counts them at sample 0, as a record begins.
+
+    The counter needs no loop: it is the number of beats so far plus what the last reset has left.
     """
-    record = Window.partitionBy(*key).orderBy(*order)
-    block = F.sum(F.col(reset).cast("int")).over(record.rowsBetween(Window.unboundedPreceding, 0))
-    within = Window.partitionBy(*key, "__block").orderBy(*order)
-    rr3 = F.col("sample") - F.lag("sample", 3).over(within)
-    rows = beats.withColumn("__block", block).withColumn("rr3", rr3).where("rr3 > 0")
+    upto = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    beat = F.col(group).isNotNull()
+    fits = F.create_map(*[F.lit(x) for pair in RHYTHM_FITS.items() for x in pair])
+    allowed = F.try_element_at(fits, F.col("in_force"))
+    misfit = beat & F.coalesce(~allowed.contains(F.col(group)), F.lit(False))
+    start = F.when(F.col(rhythm).isNotNull(), F.when(F.col(rhythm).isin(*RATE_FROM_MARK), 0).otherwise(-1)).when(misfit | (F.coalesce(F.col(noise), F.lit(False)) if noise else F.lit(False)), -1)
+    known = rows.withColumn("in_force", F.coalesce(F.last(rhythm, ignorenulls=True).over(upto), F.lit(""))).withColumn("__beats", F.count_if(beat).over(upto))
+    counter = F.col("__beats") + F.coalesce(F.last(start - F.col("__beats"), ignorenulls=True).over(upto), F.lit(-1))
+    beats = known.withColumn("__counter", counter).where(beat)
+    rr3 = F.col("sample") - F.lag("sample", 3, 0).over(Window.partitionBy(*key).orderBy(*order))
+    return beats.withColumn("rr3", F.when(F.col("__counter") >= 3, rr3)).drop("__beats", "__counter")
+
+
+def rhythm_rates(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...], fs: float, rhythm: str = "rhythm", group: str = "group", noise: str | None = None) -> DataFrame:
+    """Least and greatest rate of each rhythm in force, and how many sums of three intervals they come from (see rate_intervals)."""
+    found = rate_intervals(rows, key, order, rhythm, group, noise).where("rr3 > 0")
     rate = 60.0 * 3 * fs
-    return rows.groupBy(*key, rhythm).agg((rate / F.max("rr3")).alias("rate_min"), (rate / F.min("rr3")).alias("rate_max"), F.count("*").alias("sums"))
+    return found.groupBy(*key, "in_force").agg((rate / F.max("rr3")).alias("rate_min"), (rate / F.min("rr3")).alias("rate_max"), F.count("*").alias("sums"))
 
 
 def st_t_marks(notes: DataFrame, note: str = "note") -> DataFrame:

@@ -298,14 +298,21 @@ def asof_rhythm_at_beat(spark, sf):
     return out.where(is_beat(F.col("code"))).select("patient_id", "ann_idx", "sample", "code", "in_force")
 
 
-@query(f"""WITH {SQL_A}, {SQL_ASOF}, b AS (SELECT *, CASE WHEN in_force IS DISTINCT FROM lag(in_force) OVER w OR code = 5 THEN 1 ELSE 0 END AS rs FROM asof_ WHERE code <> 28 WINDOW w AS (PARTITION BY patient_id ORDER BY sample, ann_idx)),
-k AS (SELECT *, sum(rs) OVER (PARTITION BY patient_id ORDER BY sample, ann_idx) AS blk FROM b), t AS (SELECT *, sample - lag(sample, 3) OVER (PARTITION BY patient_id, blk ORDER BY sample, ann_idx) AS rr3 FROM k)
-SELECT patient_id, in_force, round(60.0 * 3 * 30000 / max(rr3), 6) AS rate_min, round(60.0 * 3 * 30000 / min(rr3), 6) AS rate_max, count(*) AS sums FROM t WHERE rr3 > 0 GROUP BY ALL""")
+#: Rhythm marks of more kinds for the rates: by the number of a marker.
+RATE_RHYTHMS = ("N", "AFIB", "VT", "SVTA", "AB", "IVR", "B", "")
+
+
+@query(f"""WITH RECURSIVE {SQL_A}, {SQL_GROUP}, o AS (SELECT patient_id, sample, CASE WHEN code = 28 THEN {list(RATE_RHYTHMS)}[k % 8 + 1] END AS mark, CASE WHEN grp = 'F' AND k % 10 = 0 THEN NULL ELSE grp END AS grp, row_number() OVER (PARTITION BY patient_id ORDER BY sample, ann_idx) AS n FROM g),
+x AS (SELECT DISTINCT patient_id, 0::BIGINT AS n, '' AS in_force, -1 AS counter, [0, 0, 0, 0]::BIGINT[] AS last, NULL::BIGINT AS rr3 FROM o
+UNION ALL SELECT o.patient_id, o.n, coalesce(mark, in_force), c, l, CASE WHEN grp IS NOT NULL AND c >= 3 THEN l[4] - l[1] END FROM x JOIN o ON o.patient_id = x.patient_id AND o.n = x.n + 1,
+  LATERAL (SELECT CASE WHEN mark IN ('VT', 'SVTA') THEN 0 WHEN mark IS NOT NULL OR grp IS NULL THEN -1 WHEN in_force = 'N' AND grp <> 'N' OR in_force = 'AB' AND grp NOT IN ('N', 'S') OR in_force = 'SVTA' AND grp <> 'S' OR in_force IN ('VT', 'IVR') AND grp NOT IN ('V', 'F') THEN -1 ELSE counter + 1 END AS c, CASE WHEN grp IS NULL THEN last ELSE list_append(last[2:4], sample) END AS l))
+SELECT patient_id, in_force, round(60.0 * 3 * 30000 / max(rr3), 6) AS rate_min, round(60.0 * 3 * 30000 / min(rr3), 6) AS rate_max, count(*) AS sums FROM x WHERE rr3 > 0 GROUP BY ALL""")
 def rhythm_rates(spark, sf):
-    record = Window.partitionBy("patient_id").orderBy(*ORDER)
-    beats = spans.in_force(annotations(spark, sf), F.col("note"), ("patient_id",), ORDER).where(is_beat(F.col("code")))
-    beats = beats.withColumn("reset", ~F.col("in_force").eqNullSafe(F.lag("in_force").over(record)) | (F.col("code") == 5))
-    return directory.rhythm_rates(beats, ("patient_id",), ORDER, FS).select("patient_id", "in_force", *r6("rate_min", "rate_max"), "sums")
+    names = F.array(*map(F.lit, RATE_RHYTHMS))
+    rows = _grouped(annotations(spark, sf)).withColumn("rhythm", F.when(F.col("code") == 28, F.element_at(names, F.pmod("k", F.lit(8)) + 1)))
+    noise = (F.col("group") == "F") & (F.col("k") % 10 == 0)
+    rows = rows.withColumn("noise", noise).withColumn("group", F.when(~F.coalesce(noise, F.lit(False)), F.col("group")))
+    return directory.rhythm_rates(rows, ("patient_id",), ORDER, FS, noise="noise").select("patient_id", "in_force", *r6("rate_min", "rate_max"), "sums")
 
 
 @query("SELECT event_type, day(ts)::INT AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY CUBE (event_type, day(ts)::INT)")

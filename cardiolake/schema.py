@@ -24,6 +24,11 @@ LIVE_MIN_RR, LIVE_MIN_COVERAGE, REFRACTORY_S = 29, 0.5, 0.2
 # Names of the directory's rhythms, with the one that stands for none.
 DIRECTORY_RHYTHMS = ("Normal sinus rhythm", "Sinus bradycardia", "Atrial bigeminy", "Atrial fibrillation", "Atrial flutter", "Supraventricular tachyarrhythmia", "Pre-excitation", "Nodal rhythm", "Paced rhythm", "Idioventricular rhythm", "Ventricular bigeminy", "Ventricular trigeminy", "Ventricular tachycardia", "Ventricular flutter", "Second-degree heart block", "Unspecified")
 
+# Kinds of beats (N, S, V, F, P paced, W flutter wave) between which a rate can be measured, for the rhythms in which not all can; and
+# the rhythms whose first interval counts from the beat before their mark.
+RHYTHM_FITS = {"N": "NP", "SBR": "NP", "BII": "NP", "B22": "NP", "B3": "NP", "SAB": "NP", "PREX": "NP", "AB": "NSP", "NOD": "NSP", "EAR": "S", "SVTA": "S", "P": "P", "IVR": "VFW", "VT": "VFW", "VFL": "W"}
+RATE_FROM_MARK = ("SVTA", "VT")
+
 ANNOTATIONS = "patient_id string, segment int, ann_idx int, sample long, code int, notes array<string>"
 BEATS = "patient_id string, segment int, sample long, code int"
 SPANS = "patient_id string, segment int, start_sample long, end_sample long, rhythm string"
