@@ -28,18 +28,6 @@ def balanced_weights(rows: DataFrame, label: str, name: str = "weight") -> DataF
     return rows.join(sums, label)
 
 
-def fourier_features(column: Column, size: int, dim: int, gamma: float, seed: int = 42) -> Column:
-    """Random Fourier features of an array column for an RBF kernel, from built-in functions alone."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, np.sqrt(2 * gamma), (dim, size)), rng.uniform(0, 2 * np.pi, dim)
-
-    def one(k: int) -> Column:
-        dot = F.aggregate(F.zip_with(column, F.array(*[F.lit(float(x)) for x in w[k]]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-        return F.cos(dot + float(b[k])) * float(np.sqrt(2 / dim))
-
-    return F.array(*[one(k) for k in range(dim)])
-
-
 def model(kind: str, label: str = "label_index", features: str = "features", weight: str | None = None):
     common = {"labelCol": label, "featuresCol": features} | ({"weightCol": weight} if weight else {})
     if kind == "logistic":
@@ -51,7 +39,7 @@ def model(kind: str, label: str = "label_index", features: str = "features", wei
     if kind == "bayes":
         return NaiveBayes(modelType="gaussian", **common)
     if kind == "svm":
-        return OneVsRest(classifier=LinearSVC(maxIter=30, tol=1e-3, regParam=0.01), labelCol=label, featuresCol=features, parallelism=4)
+        return OneVsRest(classifier=LinearSVC(regParam=0.01), parallelism=4, **common)
     raise ValueError(kind)
 
 
@@ -61,7 +49,7 @@ def fit(rows: DataFrame, kind: str, columns: list[str], label: str, weight: str
         StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"),
         VectorAssembler(inputCols=columns, outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        model(kind, weight=weight if kind != "svm" else None),
+        model(kind, weight=weight),
     ]
     # the fits pass over the rows again and again, in as few tasks as the rows are worth
     held = rows.select(*dict.fromkeys([*columns, label, *([weight] if weight else [])])).persist()
@@ -163,4 +151,4 @@ def gaussian_bayes(train: DataFrame, test: DataFrame, features: list[str], label
     return joined.withColumn("n", rank).where("n = 1").select(key, F.col("c").alias("predicted"), "ll")
 
 
-__all__ = ["af_score", "array_to_vector", "balanced_weights", "compare", "fit", "fourier_features", "gaussian_bayes", "importances", "load_bundle", "nearest", "predict", "refit_best", "save_bundle"]
+__all__ = ["af_score", "array_to_vector", "balanced_weights", "compare", "fit", "gaussian_bayes", "importances", "load_bundle", "nearest", "predict", "refit_best", "save_bundle"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cardiolake.functions import dsp
 from cardiolake.functions.live import Alarm
-from cardiolake.operators import cohort, directory, learning, metrics, quality, serving, spans, windows
+from cardiolake.operators import cohort, directory, kernel_svm, learning, metrics, quality, serving, spans, windows
 from cardiolake.operators.rr import FEATURES, beat_features, intervals, window_features
 from cardiolake.plans.tables import FS, SQL_A, SQL_ALL, SQL_OVER, SQL_RR, SQL_SPANS, WIDTH, annotations, table
 from cardiolake.schema import is_beat
@@ -470,14 +470,18 @@ def _ml(kind):
         w = spark.read.parquet(path).where("n_drr_used >= 1").withColumn("label", F.element_at(F.array(F.lit("NSR"), F.lit("AFib"), F.lit("AFlutter")), F.col("label_id") + 1))
         split = cohort.group_split(w, 0.2, "patient_id")
         weighted = learning.balanced_weights(cohort.capped(split.where("fold = 'train'"), 25, "patient_id", "wid"), "label")
+        test = split.where("fold = 'test'")
+        if kind == "kernel_svm":
+            found = kernel_svm.predict_kernel_svm(kernel_svm.fit_kernel_svm(weighted, list(FEATURES), "label", "weight"), test)
+            return found.select("patient_id", "wid", "label", "predicted")
         fitted = learning.fit(weighted, kind, list(FEATURES), "label", "weight")
-        return learning.predict(fitted, split.where("fold = 'test'")).select("patient_id", "wid", "label", "predicted")
+        return learning.predict(fitted, test).select("patient_id", "wid", "label", "predicted")
 
     run.__name__ = f"{kind}_predictions"
     return run
 
 
-for _kind in ("logistic", "forest", "tree", "bayes", "svm"):
+for _kind in ("logistic", "forest", "tree", "bayes", "svm", "kernel_svm"):
     query()(_ml(_kind))
 
 _VALUES = f"unnest([{', '.join(FEATURES)}])::DOUBLE AS x, unnest(range({len(FEATURES)})) AS f"
@@ -493,9 +497,8 @@ SELECT patient_id, wid, label, arg_max(guess, ll) AS predicted FROM ll GROUP BY
 
 @query()
 def rbf_predictions(spark, sf):
-    v = _vectors(spark, sf).withColumn("label", F.col("label").cast("string"))
-    v = v.withColumn("r", learning.fourier_features(F.col("v"), 64, 64, 1 / 64)).select("id", "label", *[F.col("r")[i].alias(f"r{i}") for i in range(64)])
-    return learning.predict(learning.fit(v, "svm", [f"r{i}" for i in range(64)], "label"), v).select("id", "label", "predicted")
+    v = _vectors(spark, sf).withColumn("label", F.col("label").cast("string")).select("id", "label", *[F.col("v")[i].alias(f"x{i}") for i in range(64)])
+    return kernel_svm.predict_kernel_svm(kernel_svm.fit_kernel_svm(v, [f"x{i}" for i in range(64)], "label"), v).select("id", "label", "predicted")
 
 
 @query()
