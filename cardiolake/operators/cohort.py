@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,16 +78,76 @@ def leaks(rows: DataFrame, patient: str) -> DataFrame:
     return rows.where("fold = 'train'").select(patient).intersect(rows.where("fold = 'test'").select(patient))
 
 
+#: Different class vectors that one task deals to folds.
+VECTORS = 20_000
+
+
+def deal(vectors: list[tuple[tuple[int, ...], int]], totals: list[int], folds: int) -> tuple[list[list[int]], list[list[int]]]:
+    """For each class vector with its number of patients, the folds of those beyond whole rounds; and the folds' sums of these.
+
+    The most uneven vectors come first. A patient goes to the fold where the spread of the classes' shares over the folds
+    grows least: the sum over the classes of (rows there) * (own rows) / (all rows) ** 2 is least; then to that with fewer rows.
+    """
+    state, out = [[0] * len(totals) for _ in range(folds)], []
+    squares = [t * t for t in totals]
+    for v, n in vectors:
+        extra = []
+        for _ in range(n % folds):
+            cost = lambda f: (sum(float(state[f][c] * v[c]) / squares[c] for c in range(len(v)) if squares[c]), sum(state[f]), f)
+            f = min(range(folds), key=cost)
+            state[f] = [x + y for x, y in zip(state[f], v)]
+            extra.append(f)
+        out.append(extra)
+    return out, state
+
+
 def group_folds(rows: DataFrame, folds: int, patient: str, label: str) -> DataFrame:
-    """A fold (0 .. folds-1) for each patient: within the patients of one dominant class they are dealt round in order of size.
+    """A fold (0 .. folds-1) for each patient, with its rows: whole patients, classes spread as evenly as greedy dealing gets them.
 
-    So every fold gets a like share of each class; whole patients only.
+    Patients with the same number of rows of each class are one vector with a count: of them, as many whole rounds as
+    there are go one to each fold, which leaves the spread as it is, and `deal` places the rest. Vectors are dealt in
+    buckets of about VECTORS; where there are several, the heaviest fold of a bucket joins the lightest so far. Among
+    patients of one vector the stable order decides. Rows without a label count as none of the classes.
     """
-    per = rows.groupBy(patient, label).agg(F.count("*").alias("n"))
-    main = per.groupBy(patient).agg(F.max(F.struct("n", (-F.col(label)).alias("low"))).alias("m"), F.sum("n").alias("rows"))
-    dealt = F.row_number().over(Window.partitionBy("m.low").orderBy(F.col("rows").desc(), patient)) - 1
-    there, back = dealt % folds, F.lit(folds - 1) - dealt % folds
-    return main.select(patient, "rows", (-F.col("m.low")).alias("main_label"), F.when(F.floor(dealt / folds) % 2 == 0, there).otherwise(back).cast("int").alias("fold"))
+    labels = sorted(r[0] for r in rows.select(label).dropna().distinct().collect())  # classes are few
+    vector = F.array(*[F.count_if(F.col(label) == x) for x in labels]) if labels else F.array().cast("array<long>")
+    per = rows.groupBy(patient).agg(F.count("*").alias("rows"), vector.alias("v")).persist()
+    counts = per.groupBy("v").agg(F.count("*").alias("n"))
+    facts = counts.agg(F.count("*").alias("n"), *[F.sum(F.col("v")[i] * F.col("n")).alias(f"t{i}") for i in range(len(labels))]).first()
+    totals = [facts[f"t{i}"] or 0 for i in range(len(labels))]
+    buckets = max(1, -(-facts["n"] // VECTORS))
+
+    def dealt(frame: pd.DataFrame) -> pd.DataFrame:
+        pairs = sorted(((tuple(map(int, v)), int(n)) for v, n in zip(frame["v"], frame["n"])), key=lambda p: (-(len(p[0]) * sum(x * x for x in p[0]) - sum(p[0]) ** 2), [-x for x in p[0]]))
+        extra, state = deal(pairs, totals, folds)
+        sums = [json.dumps(state)] + [None] * (len(pairs) - 1)
+        return pd.DataFrame({"bucket": frame["bucket"].iloc[0], "v": [list(v) for v, _ in pairs], "n": [n for _, n in pairs], "extra": extra, "sums": sums})
+
+    bucket = F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int")
+    placed = counts.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(dealt, "bucket int, v array<long>, n long, extra array<int>, sums string").persist()
+    state, turns = [[0] * len(totals) for _ in range(folds)], []
+    share = lambda sums: sum(x / t for x, t in zip(sums, totals) if t)
+    for number, text in sorted(placed.where("sums is not null").select("bucket", "sums").collect()):  # folds times classes a bucket
+        own = json.loads(text)
+        turn = dict(zip(sorted(range(folds), key=lambda f: -share(own[f])), sorted(range(folds), key=lambda f: (share(state[f]), f)))) if number and turns else {f: f for f in range(folds)}
+        for f, g in turn.items():
+            state[g] = [x + y for x, y in zip(state[g], own[f])]
+        turns.append((number, [turn[f] for f in range(folds)]))
+    moves = rows.sparkSession.createDataFrame(turns, "bucket int, turn array<int>")
+    ranked = ranks(per.withColumn("__order", stable_order(patient)), ["v"], [patient])
+    whole = F.floor(F.col("n") / folds) * folds
+    first = F.when(F.col("__rank") < whole, F.pmod("__rank", F.lit(folds))).otherwise(F.try_element_at("extra", (F.col("__rank") - whole + 1).cast("int"))).cast("int")
+    joined = ranked.join(placed.drop("sums"), "v").join(F.broadcast(moves), "bucket")
+    return joined.select(patient, "rows", F.element_at("turn", first + 1).alias("fold"))
+
+
+def ranks(rows: DataFrame, by: list[str], ties: list[str]) -> DataFrame:
+    """rows with __rank (from 0) by __order, an md5, inside each `by` group; parts of a group are ranked apart and counted together."""
+    part = [*by, "__part"]
+    parts = rows.withColumn("__part", F.substring("__order", 1, 3))
+    counts = parts.groupBy(*part).agg(F.count("*").alias("__n")).select(*part, (F.sum("__n").over(Window.partitionBy(*by).orderBy("__part")) - F.col("__n")).alias("__before"))
+    inside = parts.withColumn("__inside", F.row_number().over(Window.partitionBy(*part).orderBy("__order", *ties)) - 1)
+    return inside.join(counts, part).withColumn("__rank", F.col("__before") + F.col("__inside")).drop("__part", "__before", "__inside", "__order")
 
 
 def fold_preview(rows: DataFrame, folds: int, patient: str, label: str, labels: list) -> DataFrame | None:

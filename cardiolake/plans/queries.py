@@ -233,9 +233,14 @@ def stratified_split(spark, sf):
     return cohort.stratified_split(_windows(spark, sf).select("patient_id", "wid", "label_id"), 0.2, "label_id", "patient_id", "wid")
 
 
-#: Folds from the window table, as a query to stand inside another.
-FOLDS = """WITH p AS (SELECT patient_id, label_id, count(*) AS n FROM wt GROUP BY ALL), m AS (SELECT patient_id, arg_max(label_id, n * 10 - label_id) AS main_label, sum(n)::BIGINT AS rows FROM p GROUP BY patient_id),
-d AS (SELECT *, row_number() OVER (PARTITION BY main_label ORDER BY rows DESC, patient_id) - 1 AS k FROM m) SELECT patient_id, rows, main_label, (CASE WHEN (k // 5) % 2 = 0 THEN k % 5 ELSE 4 - k % 5 END)::INT AS fold FROM d"""
+#: Folds from the window table, as a query to stand inside another: the greedy dealing played through.
+FOLDS = """WITH RECURSIVE p AS (SELECT patient_id, count(*) FILTER (label_id = 0) AS a, count(*) FILTER (label_id = 1) AS b, count(*) FILTER (label_id = 2) AS c, count(*) AS rows FROM wt GROUP BY patient_id),
+t AS (SELECT sum(a)::BIGINT AS ta, sum(b)::BIGINT AS tb, sum(c)::BIGINT AS tc FROM p), g AS (SELECT a, b, c, count(*) AS m, row_number() OVER (ORDER BY 3 * (a * a + b * b + c * c) - (a + b + c) * (a + b + c) DESC, a DESC, b DESC, c DESC) AS n FROM p GROUP BY a, b, c),
+u AS (SELECT g.*, j, row_number() OVER (ORDER BY n, j) AS s FROM g, LATERAL (SELECT unnest(range(0, m % 5)) AS j)),
+x AS (SELECT 0::BIGINT AS s, [[0, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0]]::BIGINT[][] AS st, -1 AS f UNION ALL
+  SELECT s, [CASE WHEN i - 1 = pick THEN [st[i][1] + a, st[i][2] + b, st[i][3] + c] ELSE st[i] END for i in range(1, 6)], pick FROM (SELECT u.s, u.a, u.b, u.c, x.st, list_min([{'cost': coalesce((st[i][1] * a)::DOUBLE / nullif(ta * ta, 0), 0) + coalesce((st[i][2] * b)::DOUBLE / nullif(tb * tb, 0), 0) + coalesce((st[i][3] * c)::DOUBLE / nullif(tc * tc, 0), 0), 'n': list_sum(st[i]), 'f': i - 1} for i in range(1, 6)]).f::INT AS pick FROM x JOIN u ON u.s = x.s + 1, t)),
+r AS (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY md5(patient_id::VARCHAR), patient_id) - 1 AS r FROM p JOIN g USING (a, b, c))
+SELECT patient_id, r.rows, CASE WHEN r.r < r.m // 5 * 5 THEN (r.r % 5)::INT ELSE f END AS fold FROM r LEFT JOIN u ON u.n = r.n AND u.j = r.r - r.m // 5 * 5 LEFT JOIN x ON x.s = u.s"""
 
 
 @query(f"WITH {SQL_ALL}, folded AS ({FOLDS}) SELECT * FROM folded")

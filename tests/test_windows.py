@@ -124,3 +124,38 @@ def test_class_table_keeps_empty_classes(spark):
     rows = spark.createDataFrame([("p", 0), ("q", 0)], "patient_id string, label_id int")
     got = {r["label"]: (r["windows"], r["patients"], r["share"]) for r in quality.class_table(rows, 60).collect()}
     assert got == {"NSR": (2, 2, 1.0), "AFib": (0, 0, 0.0), "AFlutter": (0, 0, 0.0)}
+
+
+def test_folds_are_dealt_greedily(spark, monkeypatch):
+    """A plain greedy dealing of single patients, and folds as even where vectors are dealt in several buckets."""
+    import hashlib
+    from collections import Counter
+
+    import numpy as np
+
+    from cardiolake.operators import cohort
+
+    rng = np.random.default_rng(5)
+    counts = {p: tuple(int(x) for x in (rng.integers(1, 4), rng.integers(0, 3) * (p % 3 == 0), rng.integers(0, 9) * (p % 7 == 0))) for p in range(150)}
+    rows = spark.createDataFrame([(p, c) for p, v in counts.items() for c, n in enumerate(v) for _ in range(n)], "patient_id long, label int")
+    totals, state, want = [sum(v[c] for v in counts.values()) for c in range(3)], [[0] * 3 for _ in range(5)], {}
+    vectors = Counter(counts.values())
+    for v in sorted(vectors, key=lambda v: (-(3 * sum(x * x for x in v) - sum(v) ** 2), [-x for x in v])):
+        mine = sorted((p for p in counts if counts[p] == v), key=lambda p: hashlib.md5(str(p).encode()).hexdigest())
+        whole = len(mine) // 5 * 5
+        for r, p in enumerate(mine):
+            if r < whole:
+                want[p] = r % 5
+                continue
+            costs = [(sum(float(state[f][c] * v[c]) / totals[c] ** 2 for c in range(3)), sum(state[f]), f) for f in range(5)]
+            want[p] = min(costs)[2]
+            state[want[p]] = [a + b for a, b in zip(state[want[p]], v)]
+    got = {r["patient_id"]: r["fold"] for r in cohort.group_folds(rows, 5, "patient_id", "label").collect()}
+    assert got == want
+    monkeypatch.setattr(cohort, "VECTORS", 5)
+    split = {r["patient_id"]: r["fold"] for r in cohort.group_folds(rows, 5, "patient_id", "label").collect()}
+    assert set(split) == set(counts)
+    for found, most in ((got, 0.1), (split, 0.35)):
+        for c in range(3):
+            shares = [sum(counts[p][c] for p in counts if found[p] == f) / totals[c] * 5 for f in range(5)]
+            assert max(shares) - min(shares) <= most * 5
