@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import time
 
@@ -17,8 +16,8 @@ from pyspark.sql import functions as F
 from cardiolake.operators.metrics import report
 
 
-#: Rows that a task of a fit is worth; queries that one broadcast of `nearest` holds.
-ROWS_A_TASK, QUERIES = 20_000, 20_000
+#: Rows that a task of a fit is worth.
+ROWS_A_TASK = 20_000
 
 
 def balanced_weights(rows: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -114,29 +113,6 @@ def compare(train: DataFrame, test: DataFrame, kinds: list[str], columns: list[s
     return sorted(out, key=lambda x: (-x["macro_f1"], x["model"]))
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, vector: str = "v", label: str = "label", key: str = "id", block: int = QUERIES) -> DataFrame:
-    """Majority label of each query's k nearest rows (ties: the nearer neighbour's label).
-
-    Queries go to every task in blocks of about `block` (their number is counted first); each task keeps k candidates
-    of a query before anything is shuffled.
-    """
-    blocks = max(1, -(-queries.count() // block))
-    if blocks > 1:
-        parts = [_nearest(queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i), base, k, vector, label, key) for i in range(blocks)]
-        return functools.reduce(DataFrame.unionByName, parts)
-    return _nearest(queries, base, k, vector, label, key)
-
-
-def _nearest(queries: DataFrame, base: DataFrame, k: int, vector: str, label: str, key: str) -> DataFrame:
-    q = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vector).alias("__q")))
-    square = F.aggregate(F.zip_with("__q", vector, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    pairs = base.select(key, label, vector).join(q, F.col(key) != F.col("query")).select("query", F.round(square, 6).alias("d"), F.col(key).alias("id"), F.col(label).alias("label"))
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where(F.col("rank") <= k)
-    votes = near.groupBy("query", "label").agg(F.count("*").alias("votes"), F.min("rank").alias("best"))
-    first = F.row_number().over(Window.partitionBy("query").orderBy(F.col("votes").desc(), "best"))
-    return votes.withColumn("n", first).where("n = 1").select("query", F.col("label").alias("predicted"), "votes")
-
-
 def gaussian_bayes(train: DataFrame, test: DataFrame, features: list[str], label: str, key: str, smoothing: float = 1e-9) -> DataFrame:
     """Naive Bayes with normal densities as two aggregations: predicted label and log-likelihood for each key."""
     tall = lambda rows: rows.select(key, label, F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(features)])).alias("e")).select(key, label, "e.*")
@@ -151,4 +127,4 @@ def gaussian_bayes(train: DataFrame, test: DataFrame, features: list[str], label
     return joined.withColumn("n", rank).where("n = 1").select(key, F.col("c").alias("predicted"), "ll")
 
 
-__all__ = ["af_score", "array_to_vector", "balanced_weights", "compare", "fit", "gaussian_bayes", "importances", "load_bundle", "nearest", "predict", "refit_best", "save_bundle"]
+__all__ = ["af_score", "array_to_vector", "balanced_weights", "compare", "fit", "gaussian_bayes", "importances", "load_bundle", "predict", "refit_best", "save_bundle"]

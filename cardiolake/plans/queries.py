@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cardiolake.functions import dsp
 from cardiolake.functions.live import Alarm
-from cardiolake.operators import cohort, directory, kernel_svm, learning, metrics, quality, serving, spans, windows
+from cardiolake.operators import cohort, directory, kernel_svm, learning, metrics, neighbours, quality, serving, spans, windows
 from cardiolake.operators.rr import FEATURES, beat_features, intervals, window_features
 from cardiolake.plans.tables import FS, SQL_A, SQL_ALL, SQL_OVER, SQL_RR, SQL_SPANS, WIDTH, annotations, table
 from cardiolake.schema import is_beat
@@ -456,7 +456,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FR
 SELECT query, label AS predicted, votes FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY votes DESC, best) = 1""")
 def knn_embeddings(spark, sf):
     v = _vectors(spark, sf)
-    return learning.nearest(v.where("id % 50 = 0"), v, 5)
+    return neighbours.nearest(v.where("id % 50 = 0"), v, 5)
 
 
 @query("""WITH e AS (SELECT vec_id AS id, label, unnest(range(64)) AS f, embedding FROM embeddings), t AS (SELECT id, label, f, embedding[f + 1]::DOUBLE AS x FROM e), st AS (SELECT label, f, avg(x) AS m, var_pop(x) + 1e-9 AS v FROM t GROUP BY ALL), pr AS (SELECT label, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM embeddings GROUP BY label),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cardiolake.functions import dsp
 from cardiolake.functions.live import Monitor, push_all
-from cardiolake.operators import cohort, learning, metrics, serving, windows
+from cardiolake.operators import cohort, learning, metrics, neighbours, serving, windows
 from cardiolake.sources import annotations, archives, headers, sinks
 from cardiolake.streaming.monitor import split_sinks
 
@@ -154,7 +154,7 @@ def test_shares_and_areas_without_one_large_task(spark):
 def test_neighbours_in_blocks(spark):
     rng = np.random.default_rng(6)
     rows = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=3)], i % 3) for i in range(120)], "id long, v array<double>, label int")
-    whole, parts = (sorted(map(tuple, learning.nearest(rows, rows, 5, block=b).collect())) for b in (1_000, 25))
+    whole, parts = (sorted(map(tuple, neighbours.nearest(rows, rows, 5, block=b).collect())) for b in (1_000, 25))
     assert whole == parts and len(whole) == 120
 
 
