@@ -71,15 +71,30 @@ def st_t_marks(notes: DataFrame, note: str = "note") -> DataFrame:
     return notes.where(F.col(note).rlike(ST_T)).withColumns({"place": place, "type": part(2), "signal": F.coalesce(number(3), F.lit(0)), "sign": part(4), "magnitude": number(5)})
 
 
+def st_t_episodes(notes: DataFrame, key: tuple[str, ...], order: tuple[str, ...], record_end: str = "record_end", note: str = "note") -> DataFrame:
+    """type, signal, sign, start_sample and end_sample of each episode of an ST or T change.
+
+    A closing mark ends the episode that the mark before it (of the same type, signal and sign) has opened; without an
+    opening mark before it, it ends one that began with the record. A second opening mark begins the episode anew; one
+    that is open at the end, later than sample 0, ends with the record. One window over neighbours, whatever the number of marks.
+    """
+    marks = st_t_marks(notes, note).where("place in ('open', 'close') and (type = 'T' or sign in ('+', '-'))")
+    ordered = Window.partitionBy(*key, "type", "signal", "sign").orderBy(*order)
+    before = F.when(F.lag("place").over(ordered) == "open", F.lag("sample").over(ordered)).otherwise(0)
+    rows = marks.withColumns({"__before": before, "__last": F.lead("place").over(ordered).isNull()})
+    closed = F.col("place") == "close"
+    rows = rows.where(closed | (F.col("__last") & (F.col("sample") > 0)))
+    return rows.select(*key, "type", "signal", "sign", F.when(closed, F.col("__before")).otherwise(F.col("sample")).alias("start_sample"), F.when(closed, F.col("sample")).otherwise(F.col(record_end)).alias("end_sample"))
+
+
 def st_t_summary(notes: DataFrame, key: tuple[str, ...], order: tuple[str, ...], fs: float, record_end: str = "record_end", note: str = "note") -> DataFrame:
-    """Episodes, seconds and extreme of each type and signal: an opening mark lasts until the next closing one or the record's end."""
-    marks = st_t_marks(notes, note)
-    ordered = Window.partitionBy(*key, "type", "signal").orderBy(*order)
-    ahead = ordered.rowsBetween(1, Window.unboundedFollowing)
-    end = F.coalesce(F.min(F.when(F.col("place") == "close", F.col("sample"))).over(ahead), F.col(record_end))
-    extent = F.max(F.when(F.col("place") == "extreme", F.col("magnitude"))).over(Window.partitionBy(*key, "type", "signal"))
-    opened = marks.withColumn("end_sample", end).withColumn("extreme", extent).where("place = 'open'")
-    return opened.groupBy(*key, "type", "signal").agg(F.count("*").alias("episodes"), (F.sum(F.col("end_sample") - F.col("sample")) / fs).alias("seconds"), F.max("extreme").alias("extreme"))
+    """Episodes, seconds and extreme of each type, signal and sign that has episodes; doubled signs share the extreme of the single one."""
+    group = [*key, "type", "signal"]
+    found = st_t_episodes(notes, key, order, record_end, note).groupBy(*group, "sign").agg(F.count("*").alias("episodes"), (F.sum(F.col("end_sample") - F.col("start_sample")) / fs).alias("seconds"))
+    side = lambda sign: F.substring(sign, 1, 1)
+    marks = st_t_marks(notes, note).where("place = 'extreme' and magnitude > 0 and sign <> 'BP' and (type = 'T' or sign in ('+', '-'))")
+    extremes = marks.groupBy(*group, side(F.col("sign")).alias("__side")).agg(F.max("magnitude").alias("extreme"))
+    return found.withColumn("__side", side(F.col("sign"))).join(extremes, [*group, "__side"], "left").drop("__side")
 
 
 def quality_state(code, channels: int = 2):

@@ -176,7 +176,9 @@ def index_estimate(spark, sf):
     return quality.index_estimate(_index(spark, sf), FS, WIDTH).withColumn("hours", F.round("hours", 6))
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT)) v(mismatches, joined) WHERE false UNION ALL SELECT 0::BIGINT, count(*) FROM (SELECT DISTINCT user_id FROM events e WHERE event_type NOT IN ('click','view','purchase','error') AND (props->>'$.k')::INT % 4 <> 3)")
+@query(f"""WITH {SQL_A}, {SQL_SPANS}, {SQL_OVER}, one AS (SELECT patient_id, coalesce(sum(end_sample - start_sample) FILTER (rhythm = 'NSR'), 0) AS a, coalesce(sum(end_sample - start_sample) FILTER (rhythm = 'AFib'), 0) AS b, coalesce(sum(end_sample - start_sample) FILTER (rhythm = 'AFlutter'), 0) AS c FROM spans GROUP BY ALL),
+other AS (SELECT patient_id, sum(nsr) AS a, sum(afib) AS b, sum(afl) AS c FROM covered GROUP BY ALL)
+SELECT count(*) FILTER (one.a <> coalesce(other.a, 0) OR one.b <> coalesce(other.b, 0) OR one.c <> coalesce(other.c, 0)) AS mismatches, count(*) AS joined FROM one LEFT JOIN other USING (patient_id)""")
 def index_crosscheck(spark, sf):
     """Totals from spans and totals from window overlaps plus cut tails must agree for every patient."""
     s = _spans(spark, sf)
@@ -294,6 +296,22 @@ def rhythm_episodes_test_period(spark, sf):
     return directory.rhythm_summary(_labels(spark, sf), ("patient_id",), ORDER, "note", FS, test_from=432_000).withColumn("seconds", F.round("seconds", 6))
 
 
+@query(f"""WITH RECURSIVE {SQL_A}, ends AS (SELECT patient_id, max(sample) AS record_end FROM a GROUP BY ALL),
+o AS (SELECT patient_id, sample, [1, 1, 1, 2, 2, 2, 3, 3][k % 9 + 1] AS kind, k, ['o', 'a', 'c', 'o', 'a', 'c', 'o', 'c'][k % 9 + 1] AS place, row_number() OVER (PARTITION BY patient_id ORDER BY sample, ann_idx) AS n FROM a WHERE code = 28 AND k % 9 < 8),
+x AS (SELECT DISTINCT patient_id, 0::BIGINT AS n, [0, 0, 0]::BIGINT[] AS began, [0, 0, 0]::BIGINT[] AS episodes, [0, 0, 0]::BIGINT[] AS took, [0, 0]::BIGINT[] AS extreme FROM o UNION ALL
+  SELECT o.patient_id, o.n, [CASE WHEN i <> kind OR place = 'a' THEN began[i] WHEN place = 'o' THEN sample ELSE 0 END for i in range(1, 4)], [CASE WHEN i = kind AND place = 'c' THEN episodes[i] + 1 ELSE episodes[i] END for i in range(1, 4)],
+    [CASE WHEN i = kind AND place = 'c' THEN took[i] + sample - began[i] ELSE took[i] END for i in range(1, 4)], [CASE WHEN i = kind AND place = 'a' THEN greatest(extreme[i], (100 + k)) ELSE extreme[i] END for i in range(1, 3)] FROM x JOIN o ON o.patient_id = x.patient_id AND o.n = x.n + 1),
+z AS (SELECT x.*, record_end FROM x JOIN ends USING (patient_id) QUALIFY row_number() OVER (PARTITION BY x.patient_id ORDER BY n DESC) = 1),
+y AS (SELECT patient_id, i, CASE WHEN i = 1 THEN 'ST' ELSE 'T' END AS type, CASE WHEN i = 1 THEN 0 ELSE 1 END AS signal, ['+', '--', '-'][i] AS sign, episodes[i] + (began[i] > 0)::INT AS episodes, took[i] + CASE WHEN began[i] > 0 THEN record_end - began[i] ELSE 0 END AS took, CASE WHEN extreme[least(i, 2)] > 0 THEN extreme[least(i, 2)]::INT END AS extreme FROM z, range(1, 4) r(i))
+SELECT patient_id, type, signal, sign, episodes, round(took / 30000.0, 6) AS seconds, extreme FROM y WHERE episodes > 0""")
+def st_t_summary(spark, sf):
+    """ST and T notes by the numbers of markers: three kinds of changes on two signals."""
+    number = (F.col("k") + 100).cast("string")
+    notes = [F.lit("(ST0+"), F.concat(F.lit("AST0+"), number), F.lit("ST0+)"), F.lit("(T1--"), F.concat(F.lit("AT1--"), number), F.lit("T1--)"), F.lit("(T1-"), F.lit("T1-)"), F.lit("x")]
+    rows = _labels(spark, sf).withColumn("note", F.element_at(F.array(*notes), F.pmod("k", F.lit(9)) + 1))
+    return directory.st_t_summary(rows, ("patient_id",), ORDER, FS).withColumn("seconds", F.round("seconds", 6))
+
+
 SQL_ASOF = "asof_ AS (SELECT *, last_value(note IGNORE NULLS) OVER (PARTITION BY patient_id ORDER BY sample, ann_idx ROWS UNBOUNDED PRECEDING) AS in_force FROM a)"
 
 
@@ -604,6 +622,30 @@ def stream_live_replay(spark, sf):
     return spark.read.parquet(f"{path}/out").where("kind <> 'beat'").select("device_id", "kind", "sample_pos", "status", "af_run", "alarm", F.round("af_score", 4).alias("af_score"))
 
 
+def _filter_sql(fs: float = 100.0) -> str:
+    """The recursion of the filter, sample by sample: state z of four, y = b0 x + z1."""
+    b, a = (list(map(float, c)) for c in dsp.bandpass_design(0.5, 40.0, fs))
+    step = ", ".join(f"{b[i]!r}::DOUBLE * x - {a[i]!r}::DOUBLE * y" + (f" + z[{i + 1}]" if i < 4 else "") for i in range(1, 5))
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS n, unnest(embedding)::DOUBLE AS x FROM embeddings),
+f AS (SELECT vec_id, 0::BIGINT AS n, NULL::DOUBLE AS y, [0, 0, 0, 0]::DOUBLE[] AS z FROM embeddings UNION ALL
+  SELECT vec_id, n, y, [{step}] FROM (SELECT v.vec_id, v.n, v.x, f.z, {b[0]!r}::DOUBLE * v.x + f.z[1] AS y FROM f JOIN v ON v.vec_id = f.vec_id AND v.n = f.n + 1))
+SELECT vec_id::VARCHAR AS device_id, n AS sample, round(y, 6) AS filtered FROM f WHERE n > 0"""
+
+
+@query(_filter_sql())
+def causal_filter_stream(spark, sf):
+    """Every embedding as a signal that arrives in blocks of 16 samples, filtered as a stream, read back from its sink."""
+    from cardiolake.streaming.filters import filter_stream
+
+    path = _scratch(spark, "filter")
+    v = _vectors(spark, sf).select(F.col("id").cast("string").alias("device_id"), F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / 16)), lambda i: F.struct(i.cast("long").alias("seq"), F.slice("v", (i * 16 + 1).cast("int"), 16).alias("samples")))).alias("b"))
+    v.select("device_id", "b.*").write.parquet(f"{path}/in")
+    rows = filter_stream(spark.readStream.schema("device_id string, seq long, samples array<double>").parquet(f"{path}/in"), 100.0)
+    rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{path}/out").select("device_id", "seq", F.posexplode("filtered").alias("pos", "y"))
+    return out.select("device_id", (F.col("seq") * 16 + F.col("pos") + 1).alias("sample"), F.round("y", 6).alias("filtered"))
+
+
 SQL_GATE = "CASE WHEN wid = 0 THEN 'warmup' WHEN n_q > 10 THEN 'leadoff' WHEN n_rr_used < 4 OR n_drr_used < 1 OR coalesce(n_rr_used * mean_rr / 20.0, 0) < 0.1 THEN 'low_quality' WHEN rmssd IS NULL OR hrv_sdnn IS NULL THEN 'not_finite' ELSE 'ok' END"
 
 

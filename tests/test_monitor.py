@@ -48,3 +48,29 @@ def test_blocks_are_their_lines(lines):
     apart = [row for block in device for x in block.split("\n") for row in push(one, x, LIVE_FS)]
     assert apart == push_all(other, [(b, None) for b in device], LIVE_FS) and one == other
     assert push(other, "12\n!\nx\n13", LIVE_FS) == [] and other.leadoff[-1] == one.clock + 1 and other.clock == one.clock + 2
+
+
+@pytest.mark.parametrize("cuts", [(1, 1), (7, 1), (50, 4)])
+def test_filter_of_a_stream_is_one_pass(spark, tmp_path, cuts):
+    import numpy as np
+
+    from cardiolake.functions.dsp import bandpass_design, run_filter
+    from cardiolake.streaming.filters import filter_stream
+
+    rng = np.random.default_rng(cuts[0])
+    b, a = bandpass_design(0.5, 40.0, 100.0)
+    signals = {d: rng.normal(size=n) for d, n in (("a", 700), ("b", 64), ("c", 1))}
+    blocks = [(d, i, part.tolist()) for d, x in signals.items() for i, part in enumerate(np.array_split(x, cuts[0]))] + [("e", 0, None)]
+    frame = spark.createDataFrame(blocks, "device_id string, seq long, samples array<double>")
+    for i in range(cuts[1]):
+        frame.where(f"seq >= {cuts[0] * i // cuts[1]} and seq < {cuts[0] * (i + 1) // cuts[1]}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        rows = filter_stream(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"), 100.0)
+        rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").toPandas().sort_values("seq")
+    for d, x in signals.items():
+        z, y = np.zeros(4), []
+        for v in x:  # the definition, sample by sample
+            y.append(b[0] * v + z[0])
+            z = np.append(z[1:], 0) + b[1:] * v - a[1:] * y[-1]
+        assert np.allclose(np.concatenate([np.asarray(p, float) for p in got[got["device_id"] == d]["filtered"]]), y, atol=1e-10)
+    assert len(got[got["device_id"] == "e"]["filtered"].iloc[0]) == 0

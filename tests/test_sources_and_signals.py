@@ -102,10 +102,10 @@ def test_stream_equals_table(spark, tmp_path):
 
 
 def test_st_t_and_quality(spark):
-    notes = [(0, "(ST0+"), (100, "AST0+250"), (400, "ST0+)"), (500, "(T1--"), (900, "x")]
+    notes = [(5, "(ST0+"), (100, "AST0+250"), (400, "ST0+)"), (500, "(T1--"), (700, "AT1-30"), (900, "x")]
     rows = spark.createDataFrame([("r", s, i, n, 1_000) for i, (s, n) in enumerate(notes)], "record_id string, sample long, ann_idx int, note string, record_end long")
-    got = {(r["type"], r["signal"]): (r["episodes"], r["seconds"], r["extreme"]) for r in directory.st_t_summary(rows, ("record_id",), ("sample", "ann_idx"), 100.0).collect()}
-    assert got == {("ST", 0): (1, 4.0, 250), ("T", 1): (1, 5.0, None)}
+    got = {(r["type"], r["signal"], r["sign"]): (r["episodes"], r["seconds"], r["extreme"]) for r in directory.st_t_summary(rows, ("record_id",), ("sample", "ann_idx"), 100.0).collect()}
+    assert got == {("ST", 0, "+"): (1, 3.95, 250), ("T", 1, "--"): (1, 5.0, 30)}
     states = spark.createDataFrame([(0,), (1,), (0x11,), (3,), (0xFF,)], "c int").select(directory.quality_state(F.col("c"))).collect()
     assert [s[0] for s in states] == ["clean", "signal 0 noisy", "signal 0 unreadable", "all noisy", "all unreadable"]
     assert spark.range(1).select(directory.clock(F.lit(89.6))).first()[0] == "1:30"
