@@ -583,18 +583,36 @@ def fold_preview(spark, sf):
     return cohort.fold_preview(_windows(spark, sf).select("patient_id", "label_id"), 5, "patient_id", "label_id", [0, 1, 2])
 
 
-@query(f"WITH {SQL_A} SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY sample, ann_idx) - 1 AS ann_idx, sample, code, note, max(sample) OVER (PARTITION BY patient_id) AS last_sample FROM a")
-def parse_annotations(spark, sf):
-    """Events written as annotation bytes and walked again."""
-    from cardiolake.sources.annotations import encode_arrays, parse_annotations as parse
+SQL_WALK = "row_number() OVER (PARTITION BY patient_id, segment ORDER BY sample, ann_idx) - 1 AS ann_idx"
+
+
+def _annotation_files(spark, sf):
+    """The events of each patient and day as one file's annotation bytes."""
+    from cardiolake.sources.annotations import encode_arrays
 
     def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["sample", "ann_idx"])
         payload = encode_arrays(rows["sample"].to_numpy(), rows["code"].to_numpy("int64"), [(i, n) for i, n in enumerate(rows["note"]) if isinstance(n, str)])
-        return pd.DataFrame({"patient_id": [key[0]], "content": [payload]})
+        return pd.DataFrame({"patient_id": [key[0]], "segment": [key[1]], "content": [payload]})
+
+    return annotations(spark, sf).groupBy("patient_id", "segment").applyInPandas(pack, "patient_id long, segment int, content binary")
+
+
+@query(f"WITH {SQL_A} SELECT patient_id, segment, {SQL_WALK}, sample, code, note, max(sample) OVER (PARTITION BY patient_id, segment) AS last_sample FROM a")
+def parse_annotations(spark, sf):
+    """Events written as annotation bytes, a file for each patient and day, and walked again."""
+    from cardiolake.sources.annotations import parse_annotations as parse
+
+    return parse(_annotation_files(spark, sf), "content", "patient_id", "segment").select("patient_id", "segment", F.col("ann_idx").cast("long").alias("ann_idx"), "sample", "code", F.try_element_at("notes", F.lit(1)).alias("note"), "last_sample")
+
+
+@query(f"WITH {SQL_A} SELECT patient_id, segment, {SQL_WALK}, sample, code, note, round(sample / 30000.0::DOUBLE, 6) AS seconds FROM a")
+def annotations_lateral(spark, sf):
+    """The same files walked by a table function in SQL."""
+    from cardiolake.sources.annotations import register_walk
 
-    files = annotations(spark, sf).groupBy("patient_id").applyInPandas(pack, "patient_id long, content binary")
-    return parse(files, "content", "patient_id").select("patient_id", F.col("ann_idx").cast("long").alias("ann_idx"), "sample", "code", F.try_element_at("notes", F.lit(1)).alias("note"), "last_sample")
+    register_walk(spark)
+    return spark.sql("SELECT f.patient_id, f.segment, t.ann_idx, t.sample, t.code, t.note, round(t.seconds, 6) AS seconds FROM {files} f, LATERAL walk_annotations(f.content, 30000) t", files=_annotation_files(spark, sf))
 
 
 LIVE_FS = 100.0

@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 # The codes with a meaning of their own in the stream.
 SKIP, NUM, SUB, CHN, AUX = 59, 60, 61, 62, 63
@@ -147,3 +150,32 @@ def missing_files(expected: DataFrame, found: DataFrame, *keys: str) -> DataFram
 def beats_only(annotations: DataFrame) -> DataFrame:
     """Annotations but padding and the opening note at sample 0; spans are built before this."""
     return annotations.where("code <> 0 and not (code = 22 and sample = 0)")
+
+
+class WalkAnnotations:
+    """Table function: the annotations of one file's bytes, for LATERAL in SQL.
+
+    walk_annotations(content) gives ann_idx, sample, code, note (the first one); walk_annotations(content, fs) also
+    seconds, for a constant rate. Null or empty bytes give no rows.
+    """
+
+    @staticmethod
+    def analyze(content: AnalyzeArgument, fs: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if fs is not None and (fs.value is None or not float(fs.value) > 0):
+            raise ValueError("fs must be a constant above 0")
+        schema = StructType().add("ann_idx", LongType()).add("sample", LongType()).add("code", IntegerType()).add("note", StringType())
+        return AnalyzeResult(schema if fs is None else schema.add("seconds", DoubleType()))
+
+    def eval(self, content: bytes, fs: float | None = None) -> Iterator[tuple]:
+        samples, codes, found, _ = walk(bytes(content) if content is not None else b"")
+        notes: dict[int, str] = {}
+        for owner, note in found:
+            notes.setdefault(owner, note)
+        for i, (sample, code) in enumerate(zip(samples.tolist(), codes.tolist(), strict=True)):
+            row = (i, sample, code, notes.get(i))
+            yield row if fs is None else (*row, sample / float(fs))
+
+
+def register_walk(spark: SparkSession, name: str = "walk_annotations") -> None:
+    """Make the table function known to SQL."""
+    spark.udtf.register(name, udtf(WalkAnnotations))
