@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import math
+import uuid
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -24,6 +25,8 @@ SAMPLE, EPOCHS, STREAMS, STEPS = 400, 4, 48, 24
 #: Rounds over all training texts; parallel streams of a window there at most; tokens of a part, whose weights are averaged with those of the others.
 ROUNDS, WIDE, PART = 4, 256, 2_000_000
 BLOCK_BYTES = 10_000_000
+#: Bytes of a text of the first sample at most.
+LONGEST = 100_000
 #: States gathered before the softmax is taken.
 FLUSH = 8_192
 #: Logarithms of rare words are summed as whole parts of this size.
@@ -361,31 +364,50 @@ def learn_vocabulary(counts: DataFrame, n_docs: int) -> tuple[Vocabulary, int]:
     return Vocabulary(total + n_docs, types_with_end, n_docs, words, numbers, head, class_of, tail_total, tail_types), least
 
 
+def first_texts(docs: DataFrame, text: str, sample: int) -> list[str]:
+    """About `sample` distinct texts of LONGEST bytes at most: of each of as many hash buckets, the text of least hash; sorted.
+
+    Equal texts are one, however many rows they are; the choice hangs on the texts alone.
+    """
+    if sample < 1:
+        return []
+    short = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST).withColumn("h", F.xxhash64("text"))
+    least = short.select("h").groupBy(F.pmod("h", F.lit(sample))).agg(F.min("h").alias("h")).select("h")  # a number for each bucket
+    found = short.join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    return sorted(r["text"] for r in found.select("text").collect())
+
+
 def train_network(docs: DataFrame, vocabulary: Vocabulary, n_docs: int, text: str, key: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> GatedNetwork:
     """A network fitted to all texts.
 
-    First weights come from about `sample` whole texts, taken by a hash of id and text. Then, in each round, every
-    part of the texts (about PART tokens) trains these weights on all its tokens, and the next weights are their
-    mean by tokens. Only weights travel; sums of about the square root of their number reach the driver.
+    First weights come from about `sample` distinct texts (see first_texts). Then, in each round, every part of the
+    texts (about PART tokens, dealt by a hash of text and id) trains these weights on all its tokens, and the next
+    weights are their mean by tokens. A part is trained by itself in the order of its hashes, so neither cores nor files
+    decide the result. Only weights travel; sums of about the square root of the number of parts reach the driver.
     """
-    unit = F.pmod(F.xxhash64(key, text), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = docs.where(unit < min(1.0, sample / max(n_docs, 1))).select(F.coalesce(F.col(text), F.lit("")).alias("text")).toPandas()
-    texts = sorted(rows["text"])
     network = GatedNetwork(vocabulary.head)
+    texts = first_texts(docs, text, sample)
     if texts:
         number, tail, bounds, _, _ = tokens_of(pa.array(texts, pa.string()), vocabulary)
         network.fit(network.inputs(number, tail, vocabulary.head), bounds)
-    if n_docs:
+    if n_docs and rounds:
+        spark = docs.sparkSession
         parts = -(-vocabulary.total // PART)
-        encoded = stored(encode(docs, vocabulary, text).repartition(parts), "lm-codes")
-        for k in range(rounds):
-            _train_round(encoded, network, parts, 0.003 * (1 - k / rounds * 0.8), k)
+        encoded = encode(docs, vocabulary, text, key).withColumn("part", F.pmod("hash", F.lit(parts)).cast("int"))
+        table = f"lm_codes_{uuid.uuid4().hex}"
+        # written once in buckets of the parts, which each round then reads without a shuffle
+        encoded.repartition(parts, "part").write.bucketBy(parts, "part").sortBy("part", "hash", "codes").saveAsTable(table)
+        try:
+            for k in range(rounds):
+                _train_round(spark.table(table), network, parts, 0.003 * (1 - k / rounds * 0.8), k)
+        finally:
+            spark.sql(f"DROP TABLE {table}")
     network.prepare()
     return network
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str) -> DataFrame:
-    """codes: each token's row of the input table, in two bytes, end to end for each text."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str, key: str) -> DataFrame:
+    """hash (of text and id) and codes: each token's row of the input table, in two bytes, end to end for each text."""
     heads = {w: k for w, k in vocabulary.words.items() if k < vocabulary.head}
     shared = docs.sparkSession.sparkContext.broadcast(replace(vocabulary, words=heads, counts=vocabulary.counts[: vocabulary.head]))
 
@@ -395,9 +417,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str) -> DataFrame:
             number, tail, bounds, _, _ = tokens_of(batch.column(0), known)
             codes = GatedNetwork.inputs(number, tail, known.head).astype(np.uint16)
             lists = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(codes)])
-            yield pa.RecordBatch.from_arrays([lists], names=["codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), lists], names=["hash", "codes"])
+
+    return docs.select(F.col(text).alias("text"), F.xxhash64(text, key).alias("hash")).mapInArrow(run, "hash long, codes binary")
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "codes binary")
+
+def by_part(batches):
+    """part and codes of each stretch of rows of one part in the batches."""
+    for batch in batches:
+        part = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield int(part[a]), batch.slice(a, b - a)
 
 
 def _train_round(encoded: DataFrame, network: GatedNetwork, parts: int, rate: float, seed: int) -> None:
@@ -406,27 +438,43 @@ def _train_round(encoded: DataFrame, network: GatedNetwork, parts: int, rate: fl
     shapes = {k: a.shape for k, a in network.p.items()}
     cuts = np.cumsum([a.size for a in network.p.values()])[:-1]
 
+    def packed(part, total, n):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["part", "total", "n"])
+
+    def weights(net, n):
+        return n * np.concatenate([a.ravel() for a in net.p.values()]).astype(float)
+
     def fitted(batches):
-        net, n = copy.deepcopy(shared.value), 0
-        adam = Adam(net.p)
-        for batch in blocks(batches, "codes", 4_000_000):
-            data, offsets = raw_bytes(batch.column(0))
-            codes = np.frombuffer(data.tobytes(), np.uint16).astype(np.int64)
-            net.fit(codes, offsets // 2, 1, rate, seed, min(WIDE, max(STREAMS, len(codes) // (100 * STEPS))), adam)
-            n += len(codes)
+        # a part's rows follow each other
+        part = net = adam = None
+        n = 0
+        for own, stretch in by_part(batches):
+            if own != part:
+                if n:
+                    yield packed(part, weights(net, n), n)
+                part, net, n = own, copy.deepcopy(shared.value), 0
+                adam = Adam(net.p)
+            for batch in blocks([stretch], "codes", 4_000_000):
+                data, offsets = raw_bytes(batch.column(1))
+                codes = np.frombuffer(data.tobytes(), np.uint16).astype(np.int64)
+                net.fit(codes, offsets // 2, 1, rate, seed, min(WIDE, max(STREAMS, len(codes) // (100 * STEPS))), adam)
+                n += len(codes)
         if n:
-            total = n * np.concatenate([a.ravel() for a in net.p.values()]).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["total", "n"])
+            yield packed(part, weights(net, n), n)
 
     def summed(batches):
-        total, n = 0.0, 0
+        first, total, n = None, 0.0, 0
         for batch in batches:
-            for own, m in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for part, own, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                first = part if first is None else first
                 total, n = total + np.frombuffer(own.as_buffer(), float), n + m
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["total", "n"])
+            yield packed(first, total, n)
 
-    sums = encoded.mapInArrow(fitted, "total binary, n long").repartition(math.ceil(math.sqrt(parts))).mapInArrow(summed, "total binary, n long").collect()
+    schema, fan = "part int, total binary, n long", math.ceil(math.sqrt(parts))
+    # sums are taken in the order of the parts, so that no rounding hangs on the tasks
+    meet = encoded.select("part", "codes").mapInArrow(fitted, schema).repartition(fan, F.floor(F.col("part") / fan)).sortWithinPartitions("part")
+    sums = sorted(meet.mapInArrow(summed, schema).collect(), key=lambda r: r["part"])
     mean = sum(np.frombuffer(r["total"], float) for r in sums) / sum(r["n"] for r in sums)
     network.p = {k: a.reshape(shapes[k]).astype(np.float32) for k, a in zip(shapes, np.split(mean, cuts), strict=True)}
     shared.destroy()

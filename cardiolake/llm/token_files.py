@@ -173,7 +173,7 @@ def read_tokens(spark: SparkSession, path: str, kind: str = "long") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], names=["part", "doc_id", "first", "n_tokens", "ids_crc32"])
 
     files = spark.read.schema(f"doc_id {kind}, first long, n_tokens long, ids array<int>").orc(path)
-    part = F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("int").alias("part")
+    part = F.regexp_extract(F.input_file_name(), r"part-(\d+)[^/]*$", 1).cast("int").alias("part")
     rows = files.select(part, "doc_id", "first", "n_tokens", "ids").mapInArrow(summed, f"part int, doc_id {kind}, first long, n_tokens long, ids_crc32 long")
     # the sums of the parts, few rows, come from the column of lengths alone
     sums = files.select(part, "n_tokens").groupBy("part").agg(F.sum("n_tokens").alias("sum"))

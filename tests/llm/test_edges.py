@@ -142,3 +142,25 @@ def test_whole_rounds_leave_documents_without_words_alone(spark):
     docs = spark.createDataFrame([(i, "w " * 5 if i % 2 else "", "small" if i < 40 else "large") for i in range(400)], "doc_id long, text string, source string")
     rows = mixing.mix_sources(docs, share=1.9, most=2.0, weights=(1, 500)).collect()
     assert max(r["copies"] for r in rows) == 2 and any(r["target"] == 2 * r["source_size"] for r in rows)
+
+
+def _scanned(frame):
+    """Rows that the scan of the frame's files gives out."""
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_token_files_skip_what_cannot_hold_an_id(spark, tmp_path):
+    """A folder named like a part changes no place; row indexes and Bloom filters leave rows out before they are read."""
+    path = f"{tmp_path}/part-7/t"
+    token_files.write_tokens(spark.range(6_000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")), path, queries.tokenizer_path("byte_bpe_50k.json"), files=3)
+    rows = token_files.read_tokens(spark, path).orderBy("doc_id").collect()
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:])) and rows[0]["start"] == 0
+    files = spark.read.orc(path)
+    assert _scanned(files) == 6_000
+    assert 0 < _scanned(files.where("doc_id = 5000")) <= 1_000
+    # odd ids lie between the least and the largest of a stripe: the Bloom filter alone knows that they are not there
+    assert sum(_scanned(files.where(f"doc_id = {i}")) for i in range(5_001, 5_041, 2)) <= 2_000

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from cardiolake.llm import recurrent_lm, toxicity
 
@@ -36,3 +37,56 @@ def test_toxic_texts_made_of_clean_ones_stay_in_training(spark):
     rows = [(" ".join(c), 0) for c in clean] + [(" ".join(t), 1) for t in toxic] + [(" ".join(copy), y) for y in (0, 0, 0, 1, 1)]
     got = sorted(map(tuple, toxicity._unlike(spark.createDataFrame(rows, "text string, __y int")).collect()))
     assert got == sorted(set(rows))
+
+
+def test_the_first_sample_is_of_distinct_texts(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("one text for all rows").alias("text")).unionByName(spark.createDataFrame([(1, "x" * 200_000), (2, "other"), (3, None)], "doc_id long, text string"))
+    assert set(recurrent_lm.first_texts(docs, "text", 400)) <= {"one text for all rows", "other", ""} and "one text for all rows" in recurrent_lm.first_texts(docs, "text", 400)
+    assert len(recurrent_lm.first_texts(docs.where("doc_id > 3"), "text", 400)) == 1 and recurrent_lm.first_texts(docs, "text", 0) == []
+
+
+def test_weights_do_not_hang_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "PART", 3_000)
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.zipf(1.5, 40) % 50)) for i in range(300)], "doc_id long, text string")
+    found = []
+    for parts in (2, 7):
+        dealt = docs.repartition(parts)
+        vocabulary, _ = recurrent_lm.learn_vocabulary(recurrent_lm.count_words(dealt, "text"), 300)
+        assert vocabulary.total // 3_000 > 2
+        found.append(recurrent_lm.train_network(dealt, vocabulary, 300, "text", "doc_id", sample=20, rounds=2))
+    assert all((found[0].p[k] == found[1].p[k]).all() for k in found[0].p)
+
+
+def test_gradients_against_finite_differences():
+    rng = np.random.default_rng(7)
+    network = recurrent_lm.GatedNetwork(recurrent_lm.HEAD_CLASSES * recurrent_lm.HEAD_WIDTH)
+    network.p = {k: (a + rng.normal(0, 0.2, a.shape)).astype(np.float64) for k, a in network.p.items()}
+    rows = rng.integers(0, recurrent_lm.HEAD_CLASSES * recurrent_lm.HEAD_WIDTH + recurrent_lm.TAIL_CLASSES, (5, 3))
+    new, live = np.zeros((5, 3), bool), np.ones((5, 3), bool)
+    new[0] = new[2, 1] = True
+    live[4, 2] = False
+    x = np.where(new, network.START, np.roll(rows, 1, 0))
+    heads = recurrent_lm.HEAD_CLASSES * recurrent_lm.HEAD_WIDTH
+
+    def loss():
+        h, total = np.zeros((3, recurrent_lm.UNITS)), 0.0
+        for t in range(5):
+            h, _ = network.step(h * (~new[t])[:, None], x[t])
+            classes = network.log_class(h)
+            for s in np.flatnonzero(live[t]):
+                r = rows[t, s]
+                group = r // recurrent_lm.HEAD_WIDTH if r < heads else recurrent_lm.HEAD_CLASSES + r - heads
+                total -= classes[s, group] + (network.log_word(h[s : s + 1], group)[0, r % recurrent_lm.HEAD_WIDTH] if r < heads else 0)
+        return total / live.sum()
+
+    grads, _ = network._gradients(x, rows, new, live, np.zeros((3, recurrent_lm.UNITS), np.float32))
+    for k, g in grads.items():
+        for place in np.argsort(-np.abs(g.ravel()))[:4].tolist() + rng.integers(0, g.size, 2).tolist():
+            at = np.unravel_index(place, g.shape)
+            kept, network.p[k][at] = network.p[k][at], network.p[k][at] + 1e-4
+            up = loss()
+            network.p[k][at] = kept - 1e-4
+            down = loss()
+            network.p[k][at] = kept
+            assert abs((up - down) / 2e-4 - g[at]) < 2e-4 + 0.02 * abs(g[at]), (k, at)
