@@ -37,11 +37,13 @@ def r6(*names: str) -> list:
 
 
 def _scratch(spark, name: str) -> str:
-    """A new folder that all executors share: in spark.checkpoint.dir, or, in a local session without it, beside the warehouse."""
+    """A new folder in spark.checkpoint.dir, which the driver and all executors share; a local session without one gets its own beside the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(root or spark.conf.get('spark.sql.warehouse.dir').rstrip('/') + '/../cardiolake-scratch').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-scratch"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _spans(spark, sf):
@@ -664,6 +666,17 @@ def causal_filter_stream(spark, sf):
     return out.select("device_id", (F.col("seq") * 16 + F.col("pos") + 1).alias("sample"), F.round("y", 6).alias("filtered"))
 
 
+@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<ul>(.*?)</ul>', 1)) AS body, generate_subscripts(regexp_extract_all(html, '<ul>(.*?)</ul>', 1), 1) - 1 AS n FROM pages),
+c AS (SELECT page_id, n, list_transform(regexp_extract_all(body, '<li>(.*?)</li>', 1), lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS cells FROM l)
+SELECT page_id, n::INT AS "table", 0 AS "row", array_to_string(cells, ' | ') AS cells, len(cells)::INT AS n_cells FROM c WHERE len(cells) > 0""")
+def page_list_rows(spark, sf):
+    """The lists of all pages as rows of cells."""
+    from cardiolake.sources.html import LISTS, html_rows
+
+    rows = html_rows(table(spark, sf, "pages").select("page_id", "html"), "html", LISTS)
+    return rows.select("page_id", "table", "row", F.array_join("cells", " | ").alias("cells"), F.size("cells").alias("n_cells"))
+
+
 SQL_GATE = "CASE WHEN wid = 0 THEN 'warmup' WHEN n_q > 10 THEN 'leadoff' WHEN n_rr_used < 4 OR n_drr_used < 1 OR coalesce(n_rr_used * mean_rr / 20.0, 0) < 0.1 THEN 'low_quality' WHEN rmssd IS NULL OR hrv_sdnn IS NULL THEN 'not_finite' ELSE 'ok' END"
 
 
@@ -754,6 +767,6 @@ def grouping_sets(spark, sf):
     return o.groupingSets([c, c[:1], []], *c).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
-def entry(spark: SparkSession) -> DataFrame:
-    return windows_table(spark, "/root/testdata/sf0.001")
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows_table(spark, sf_dir)
 

@@ -12,7 +12,7 @@ def read_headers(spark: SparkSession, glob: str) -> DataFrame:
     """One row for each header file: record line, signal lines, and what the comments say of age, sex, drugs."""
     text = spark.read.text(glob, wholetext=True)
     lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, r"\r$", "")), lambda x: F.length(F.trim(x)) > 0)
-    parts = text.select(F.filter(lines, lambda x: ~x.startswith("#")).alias("body"), F.transform(F.filter(lines, lambda x: x.startswith("#")), lambda x: F.trim(F.substring(x, 2, 1_000_000))).alias("notes"))
+    parts = text.select(F.filter(lines, lambda x: ~x.startswith("#")).alias("body"), F.transform(F.filter(lines, lambda x: x.startswith("#")), lambda x: F.trim(F.regexp_replace(x, "^#", ""))).alias("notes"))
     first = F.split(F.trim(F.col("body")[0]), r"\s+")
     number = lambda s, i, kind: F.when(F.regexp_extract(s, SIGNAL, i) != "", F.regexp_extract(s, SIGNAL, i).cast(kind))
     signal = lambda s: F.struct(
@@ -22,7 +22,7 @@ def read_headers(spark: SparkSession, glob: str) -> DataFrame:
     about = F.coalesce(F.col("notes")[0], F.lit(""))
     return parts.select(
         first[0].alias("record_id"), first[1].cast("int").alias("nsig"), F.regexp_extract(first[2], r"^[0-9.]+", 0).cast("double").alias("fs"), F.try_element_at(first, F.lit(4)).cast("long").alias("n_samples"),
-        F.transform(F.filter(F.slice("body", 2, 10_000), lambda s: s.rlike(SIGNAL)), signal).alias("signals"),
+        F.transform(F.filter("body", lambda s, i: (i > 0) & s.rlike(SIGNAL)), signal).alias("signals"),
         F.when(about.rlike(r"^\d+"), F.regexp_extract(about, r"^(\d+)", 1).cast("int")).otherwise(F.when(about.rlike(r"(?i)age:\s*\d+"), F.regexp_extract(about, r"(?i)age:\s*(\d+)", 1).cast("int"))).alias("age"),
         F.nullif(F.regexp_extract(about, r"(?:^|\s|:)([MF])(?:\s|$)", 1), F.lit("")).alias("sex"), F.try_element_at("notes", F.lit(2)).alias("meds"), "notes",
     )
@@ -58,13 +58,6 @@ def read_view_scripts(spark: SparkSession, glob: str) -> DataFrame:
     return text.select(option("r").alias("record"), option("a").alias("annotator"), option("f").alias("at"), option("p").alias("url"))
 
 
-def read_summary_rows(spark: SparkSession, glob: str) -> DataFrame:
-    """file and cells of each HTML table row that begins with a record number: published tables as data."""
-    text = spark.read.text(glob).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.trim(F.regexp_replace("value", "<[^>]*>", " ")).alias("line"))
-    cells = F.split("line", r"\s+")
-    return text.where(F.col("line").rlike(r"^\d{3}\s")).select("file", cells[0].alias("record"), F.slice(cells, 2, 1_000).alias("cells"))
-
-
 def read_log(spark: SparkSession, path: str, schema: str, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """JSON lines with a torn tail: broken lines go, the last line of each key stays."""
     from cardiolake.operators.cohort import latest_per_key
