@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardiolake.functions import dsp
-from cardiolake.functions.live import Alarm
-from cardiolake.operators import cohort, directory, kernel_svm, learning, metrics, neighbours, quality, serving, spans, windows
+from cardiolake.operators import cohort, directory, kernel_svm, learning, metrics, neighbours, ordered, quality, serving, spans, windows
 from cardiolake.operators.rr import FEATURES, beat_features, intervals, window_features
 from cardiolake.plans.tables import FS, SQL_A, SQL_ALL, SQL_OVER, SQL_RR, SQL_SPANS, WIDTH, annotations, table
 from cardiolake.schema import is_beat
@@ -357,18 +356,7 @@ def overlap_join_theta(spark, sf):
 w AS (SELECT patient_id, sample, n, sample AS last, true AS keep FROM o WHERE n = 1 UNION ALL SELECT o.patient_id, o.sample, o.n, CASE WHEN o.sample - w.last >= 6000 THEN o.sample ELSE w.last END, o.sample - w.last >= 6000 FROM w JOIN o ON o.patient_id = w.patient_id AND o.n = w.n + 1)
 SELECT patient_id, sample FROM w WHERE keep""")
 def refractory_dedup(spark, sf):
-    beats = annotations(spark, sf).where(is_beat(F.col("code"))).groupBy("patient_id").agg(F.array_sort(F.collect_list("sample")).alias("samples"))
-    return beats.select("patient_id", F.explode(dsp.refractory(F.col("samples"), 6_000)).alias("sample"))
-
-
-def alarm_state_machine_rows(rows: pd.DataFrame) -> pd.DataFrame:
-    alarm, out = Alarm(), []
-    for at, score in rows.sort_values("ann_idx")[["sample", "score"]].itertuples(index=False):
-        alarm.step(int(at), None if pd.isna(score) else float(score), 15)
-        out.append((alarm.run, alarm.clear, alarm.on))
-    rows = rows.sort_values("ann_idx")
-    rows[["af_run", "clear_run", "alarm"]] = out
-    return rows[["patient_id", "ann_idx", "af_run", "clear_run", "alarm"]]
+    return ordered.refractory(annotations(spark, sf).where(is_beat(F.col("code"))), "patient_id", "sample", 6_000)
 
 
 @query("""WITH RECURSIVE s AS (SELECT user_id, event_id, (row_number() OVER w - 1) * 15 AS tm, CASE WHEN event_type = 'error' THEN NULL ELSE least(value / 40, 1) END AS score, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -379,9 +367,8 @@ SELECT user_id AS patient_id, event_id AS ann_idx, run AS af_run, clear AS clear
 def alarm_state_machine(spark, sf):
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf, "events").withColumn("n", F.row_number().over(order))
-    s = e.select(F.col("user_id").alias("patient_id"), F.col("n").cast("long").alias("ann_idx"), ((F.col("n") - 1) * 15).cast("long").alias("sample"), F.when(F.col("event_type") != "error", F.least(F.col("value") / 40, F.lit(1.0))).alias("score"), F.col("event_id"))
-    out = s.groupBy("patient_id").applyInPandas(alarm_state_machine_rows, "patient_id long, ann_idx long, af_run int, clear_run int, alarm boolean")
-    return out.join(s.select("patient_id", "ann_idx", "event_id"), ["patient_id", "ann_idx"]).select("patient_id", F.col("event_id").alias("ann_idx"), "af_run", "clear_run", "alarm")
+    s = e.select(F.col("user_id").alias("patient_id"), F.col("event_id").alias("ann_idx"), "n", ((F.col("n") - 1) * 15).cast("long").alias("sample"), F.when(F.col("event_type") != "error", F.least(F.col("value") / 40, F.lit(1.0))).alias("score"))
+    return ordered.alarm_states(s, "patient_id", ["n"], 15, ["ann_idx"])
 
 
 @query(f"WITH {SQL_A} SELECT patient_id, ann_idx, count(*) OVER (PARTITION BY patient_id ORDER BY sample RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS n_recent FROM a")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cardiolake.functions import dsp
 from cardiolake.functions.live import Alarm, rate_check
-from cardiolake.operators import cohort, directory, metrics
+from cardiolake.operators import cohort, directory, metrics, ordered
 from cardiolake.sources import headers, signals
 from cardiolake.sources.annotations import SKIP, decode, encode, parse_annotations
 from cardiolake.streaming.monitor import monitor_stream, monitor_table, read_lines
@@ -71,8 +71,14 @@ def test_bandpass():
 def test_peaks_and_refractory(spark):
     assert dsp.find_peaks(np.array([0, 1, 0, 3, 0, 2, 2, 2, 0]), 0.5, 1).tolist() == [1, 3, 6]
     assert dsp.find_peaks(np.array([0, 1, 0, 3, 0, 2, 0]), 0.5, 3).tolist() == [3]
-    got = spark.sql("select array(0L, 10L, 60L, 100L, 119L, 121L) as s").select(dsp.refractory(F.col("s"), 60)).first()[0]
-    assert got == [0, 60, 121]
+    rows = spark.createDataFrame([("a", t) for t in (0, 10, 60, 100, 119, 121, None)] + [(None, t) for t in (5, 64, 65)] + [("b", 5)], "k string, t long")
+    got = sorted(map(str, (tuple(r) for r in ordered.refractory(rows, "k", "t", 60).collect())))
+    assert got == sorted(map(str, [("a", 0), ("a", 60), ("a", 121), (None, 5), (None, 65), ("b", 5)]))
+    # the state goes on from one batch to the next
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    many = spark.range(1_000).select(F.lit("x").alias("k"), (F.col("id") * 7).alias("t"))
+    assert [r["t"] for r in ordered.refractory(many, "k", "t", 50).orderBy("t").collect()] == list(range(0, 7_000, 56))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_alarm():
