@@ -8,7 +8,7 @@ import time
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,9 +58,14 @@ def fit(rows: DataFrame, kind: str, columns: list[str], label: str, weight: str
     return fitted
 
 
+def labels_of(fitted: PipelineModel) -> list[str]:
+    """The names of the classes, wherever the stage that numbers them stands."""
+    return list(next(s for s in fitted.stages if isinstance(s, StringIndexerModel)).labels)
+
+
 def predict(fitted: PipelineModel, rows: DataFrame) -> DataFrame:
-    """rows with predicted label and, where the model has them, probabilities by class name."""
-    labels = fitted.stages[0].labels
+    """rows (or what the model's first stage makes of them) with predicted label and, where the model has them, probabilities by class name."""
+    labels = labels_of(fitted)
     out = fitted.transform(rows)
     names = F.array(*[F.lit(x) for x in labels])
     out = out.withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1))
@@ -83,7 +88,7 @@ def save_bundle(fitted: PipelineModel, path: str, columns: list[str], **about) -
     """The fitted stages and, beside them, what a scorer must know: feature columns in order, class names, and more as given."""
     fitted.write().overwrite().save(f"{path}/model")
     spark = SparkSession.getActiveSession()
-    body = json.dumps({"columns": columns, "labels": list(fitted.stages[0].labels), **about})
+    body = json.dumps({"columns": columns, "labels": labels_of(fitted), **about})
     spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 

@@ -474,15 +474,18 @@ def gaussian_nb(spark, sf):
     return learning.gaussian_bayes(v, v, [f"x{i}" for i in range(64)], "label", "id").withColumn("ll", F.round("ll", 4))
 
 
+def _sides(spark, sf):
+    """Training windows with weights and test windows, by patients. Fits and predictions read the table again and again: it is written once."""
+    path = _scratch(spark, "windows")
+    _windows(spark, sf).select("patient_id", "wid", "label_id", "n_drr_used", *FEATURES).write.parquet(path)
+    w = spark.read.parquet(path).where("n_drr_used >= 1").withColumn("label", F.element_at(F.array(F.lit("NSR"), F.lit("AFib"), F.lit("AFlutter")), F.col("label_id") + 1))
+    split = cohort.group_split(w, 0.2, "patient_id")
+    return learning.balanced_weights(cohort.capped(split.where("fold = 'train'"), 25, "patient_id", "wid"), "label"), split.where("fold = 'test'")
+
+
 def _ml(kind):
     def run(spark, sf):
-        # fits and predictions read the table again and again: it is written once
-        path = _scratch(spark, "windows")
-        _windows(spark, sf).select("patient_id", "wid", "label_id", "n_drr_used", *FEATURES).write.parquet(path)
-        w = spark.read.parquet(path).where("n_drr_used >= 1").withColumn("label", F.element_at(F.array(F.lit("NSR"), F.lit("AFib"), F.lit("AFlutter")), F.col("label_id") + 1))
-        split = cohort.group_split(w, 0.2, "patient_id")
-        weighted = learning.balanced_weights(cohort.capped(split.where("fold = 'train'"), 25, "patient_id", "wid"), "label")
-        test = split.where("fold = 'test'")
+        weighted, test = _sides(spark, sf)
         if kind == "kernel_svm":
             found = kernel_svm.predict_kernel_svm(kernel_svm.fit_kernel_svm(weighted, list(FEATURES), "label", "weight"), test)
             return found.select("patient_id", "wid", "label", "predicted")
@@ -496,6 +499,20 @@ def _ml(kind):
 for _kind in ("logistic", "forest", "tree", "bayes", "svm", "kernel_svm"):
     query()(_ml(_kind))
 
+@query()
+def bundle_predictions(spark, sf):
+    """A model and the stage that makes its features, saved, loaded again, and given the raw annotations."""
+    from cardiolake.operators.stages import from_annotations
+
+    train, test = _sides(spark, sf)
+    fitted = learning.fit(train, "bayes", list(FEATURES), "label", "weight")
+    path = _scratch(spark, "bundle")
+    learning.save_bundle(from_annotations(fitted, FS, WIDTH, list(ORDER)), path, list(FEATURES))
+    loaded, _ = learning.load_bundle(spark, path, list(FEATURES))
+    found = learning.predict(loaded, annotations(spark, sf)).select("patient_id", "wid", "predicted")
+    return test.select("patient_id", "wid", "label").join(found, ["patient_id", "wid"])
+
+
 _VALUES = f"unnest([{', '.join(FEATURES)}])::DOUBLE AS x, unnest(range({len(FEATURES)})) AS f"
 #: Weights make all classes equal, so means of the classes' means stand for the weighted ones, and priors cancel.
 ORACLE_SQL["bayes_predictions"] = f"""WITH {SQL_ALL}, used AS (SELECT *, ['NSR', 'AFib', 'AFlutter'][label_id + 1] AS label FROM wt WHERE n_drr_used >= 1), {SQL_SPLIT.replace("wt", "used")},
@@ -505,6 +522,7 @@ z AS (SELECT patient_id, wid, label, fold, f, CASE WHEN dev > 0 THEN (x - mid) /
 per AS (SELECT label, f, avg(z) AS mu, var_pop(z) AS v, avg(z * z) AS square FROM z SEMI JOIN few USING (patient_id, wid) GROUP BY label, f), eps AS (SELECT max(v) * 1e-9 AS eps FROM (SELECT avg(square) - avg(mu) * avg(mu) AS v FROM per GROUP BY f)),
 ll AS (SELECT patient_id, wid, z.label, per.label AS guess, sum(-0.5 * ln(v + eps) - (z - mu) * (z - mu) / (2 * (v + eps))) AS ll FROM z JOIN per USING (f), eps WHERE fold = 'test' GROUP BY ALL)
 SELECT patient_id, wid, label, arg_max(guess, ll) AS predicted FROM ll GROUP BY patient_id, wid, label"""
+ORACLE_SQL["bundle_predictions"] = ORACLE_SQL["bayes_predictions"]
 
 
 @query()
