@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardiolake.functions.live import Alarm
+from cardiolake.schema import ECTOPY_LAST, ECTOPY_OFF, ECTOPY_ON
 
 
 def ordered_pass(rows: DataFrame, key: str, order: list[str], begin: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -65,3 +66,30 @@ def alarm_states(rows: DataFrame, key: str, order: list[str], hop: int, keep: li
 
     own = rows.select(key, *keep).schema.simpleString()[len("struct<") : -1]
     return ordered_pass(rows, key, order, Alarm, step, f"{own},af_run int,clear_run int,alarm boolean").select(key, *keep, "af_run", "clear_run", "alarm")
+
+
+class Ectopy:
+    """The labels of the last beats and whether the alert is on."""
+
+    def __init__(self) -> None:
+        self.labels: list[int] = []
+        self.on = False
+
+    def step(self, abnormal: bool) -> tuple[int, bool]:
+        """On from ECTOPY_ON abnormal ones of the last ECTOPY_LAST, off from ECTOPY_OFF on downwards; between them it stays."""
+        self.labels = [*self.labels, int(abnormal)][-ECTOPY_LAST:]
+        n = sum(self.labels)
+        self.on = n > ECTOPY_OFF if self.on else n >= ECTOPY_ON
+        return n, self.on
+
+
+def ectopy_states(beats: DataFrame, key: str, order: list[str], keep: list[str], abnormal: str = "abnormal") -> DataFrame:
+    """key and `keep` of each beat with n_abnormal (of the last ones) and alert behind it. A null label is a normal one."""
+
+    def step(state: Ectopy, stretch: pd.DataFrame) -> pd.DataFrame:
+        found = [state.step(x) for x in stretch["__abnormal"].tolist()]
+        return stretch[[key, *keep]].assign(n_abnormal=[n for n, _ in found], alert=[on for _, on in found])
+
+    own = beats.select(key, *keep).schema.simpleString()[len("struct<") : -1]
+    marked = beats.withColumn("__abnormal", F.coalesce(F.col(abnormal), F.lit(False)))
+    return ordered_pass(marked, key, order, Ectopy, step, f"{own},n_abnormal int,alert boolean")

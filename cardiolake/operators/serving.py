@@ -106,3 +106,8 @@ def waveform_features(beats: DataFrame, signals: DataFrame, fs: float, key: tupl
     found = beat_shapes(F.col("signal"), F.col("at"), fs, filtered)
     rows = signals.join(at, list(key)).select(*key, F.explode(F.arrays_zip("at", found["amplitude"].alias("amplitude"), found["qrs_width"].alias("qrs_width"))).alias("b"))
     return rows.select(*key, F.col("b.at").alias("sample"), "b.amplitude", "b.qrs_width")
+
+
+def display_window(beats: DataFrame, until: int, label: str = "label", predicted: str = "predicted", position: str = "sample") -> DataFrame:
+    """The beats that a view of a record's first samples shows, with correct: whether the model has them right (null without a label or prediction)."""
+    return beats.where(F.col(position) < until).withColumn("correct", F.col(label) == F.col(predicted))

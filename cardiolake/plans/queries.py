@@ -682,6 +682,33 @@ def page_list_rows(spark, sf):
     return rows.select("page_id", "table", "row", F.array_join("cells", " | ").alias("cells"), F.size("cells").alias("n_cells"))
 
 
+@query(f"""WITH RECURSIVE {SQL_A}, o AS (SELECT patient_id, ann_idx, code NOT IN (1, 13) AS abnormal, row_number() OVER (PARTITION BY patient_id ORDER BY sample, ann_idx) AS n FROM a WHERE code <> 28),
+x AS (SELECT DISTINCT patient_id, 0::BIGINT AS ann_idx, 0::BIGINT AS n, []::INT[] AS labels, false AS alert FROM o UNION ALL
+  SELECT patient_id, ann_idx, n, l, CASE WHEN alert THEN list_sum(l) > 2 ELSE list_sum(l) >= 5 END FROM (SELECT o.patient_id, o.ann_idx, o.n, x.alert, list_append(x.labels, abnormal::INT)[-10:] AS l FROM x JOIN o ON o.patient_id = x.patient_id AND o.n = x.n + 1))
+SELECT patient_id, ann_idx, list_sum(labels)::INT AS n_abnormal, alert FROM x WHERE n > 0""")
+def ectopy_alert(spark, sf):
+    """The alert of ectopic beats with its hysteresis, behind every beat."""
+    beats = annotations(spark, sf).where(is_beat(F.col("code"))).withColumn("abnormal", ~F.col("code").isin(1, 13))
+    return ordered.ectopy_states(beats, "patient_id", list(ORDER), ["ann_idx"])
+
+
+@query(f"WITH {SQL_ALL}, v AS (SELECT patient_id, sample // 600000 AS wid, round(avg(value), 4) AS amplitude, count(*) AS n_values FROM a WHERE code = 1 GROUP BY ALL HAVING count(*) >= 2) SELECT wt.patient_id, wt.wid, n_beats, amplitude, n_values FROM wt LEFT JOIN v USING (patient_id, wid)")
+def windows_with_waveform(spark, sf):
+    """Windows with the values of their normal beats, where there are two of them."""
+    key = ("patient_id", "wid")
+    normal = annotations(spark, sf).where("code = 1").withColumn("wid", F.floor(F.col("sample") / WIDTH).cast("long"))
+    values = normal.groupBy(*key).agg(F.round(F.avg("value"), 4).alias("amplitude"), F.count("*").alias("n_values")).where("n_values >= 2")
+    return serving.with_waveform(_windows(spark, sf), values, key).select(*key, "n_beats", "amplitude", "n_values")
+
+
+@query(f"WITH {SQL_A}, b AS (SELECT patient_id, ann_idx, sample, CASE WHEN code = 1 THEN 'Normal' ELSE 'Abnormal' END AS label, CASE WHEN value < 60 THEN 'Normal' WHEN value < 90 THEN 'Abnormal' END AS predicted FROM a WHERE code <> 28) SELECT *, label = predicted AS correct FROM b WHERE sample < 600000")
+def explorer_view(spark, sf):
+    """What a view of each record's first window shows, with a rule on the value as the model."""
+    beats = annotations(spark, sf).where(is_beat(F.col("code")))
+    beats = beats.select("patient_id", "ann_idx", "sample", F.when(F.col("code") == 1, "Normal").otherwise("Abnormal").alias("label"), F.when(F.col("value") < 60, "Normal").when(F.col("value") < 90, "Abnormal").alias("predicted"))
+    return serving.display_window(beats, WIDTH)
+
+
 SQL_GATE = "CASE WHEN wid = 0 THEN 'warmup' WHEN n_q > 10 THEN 'leadoff' WHEN n_rr_used < 4 OR n_drr_used < 1 OR coalesce(n_rr_used * mean_rr / 20.0, 0) < 0.1 THEN 'low_quality' WHEN rmssd IS NULL OR hrv_sdnn IS NULL THEN 'not_finite' ELSE 'ok' END"
 
 

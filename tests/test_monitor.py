@@ -74,3 +74,19 @@ def test_filter_of_a_stream_is_one_pass(spark, tmp_path, cuts):
             z = np.append(z[1:], 0) + b[1:] * v - a[1:] * y[-1]
         assert np.allclose(np.concatenate([np.asarray(p, float) for p in got[got["device_id"] == d]["filtered"]]), y, atol=1e-10)
     assert len(got[got["device_id"] == "e"]["filtered"].iloc[0]) == 0
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """Windows of 60 s every 15 s: rows behind the watermark change nothing, late ones before it count."""
+    from cardiolake.streaming.monitor import windowed_counts
+
+    batches = [[("12:10:05", 1.0), ("12:10:20", 3.0), ("13:00:00", 9.0)], [("12:10:30", 50.0), ("12:55:10", 5.0)], [("15:00:00", 0.0)], [("15:00:01", 0.0)]]
+    for number, rows in enumerate(batches):
+        frame = spark.createDataFrame([("d", t, v) for t, v in rows], "device_id string, t string, value double").selectExpr("device_id", "timestamp(concat('2024-01-01 ', t)) as ts", "value")
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = windowed_counts(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"))
+        flat = out.selectExpr("date_format(window.start, 'HH:mm:ss') as start", "device_id", "n", "mean")
+        flat.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {r["start"]: (r["n"], r["mean"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got["12:10:00"] == (2, 2.0) and got["12:09:30"] == (2, 2.0) and got["12:09:15"] == (1, 1.0) and got["12:10:15"] == (1, 3.0)
+    assert got["12:55:00"] == (1, 5.0) and "15:00:00" not in got
