@@ -1,4 +1,4 @@
-"""Waveforms: packed 12-bit and 16-bit samples to arrays, physical units, ADC units and synthetic streams."""
+"""Waveforms: packed 12-bit and 16-bit samples to arrays, physical units and ADC units."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,45 +47,3 @@ def decode_signals(files: DataFrame, nsig: int, fmt: int, gain: float, baseline:
 def to_adc(millivolts: Column) -> Column:
     """The monitor's ADC units: 512 plus 200 a millivolt, rounded half to even, within 0 and 4095."""
     return F.least(F.greatest(F.rint(512 + 200 * millivolts), F.lit(0)), F.lit(4095)).cast("int")
-
-
-#: Sections (rhythm, seconds) of each synthetic stream.
-STREAMS = {"nsr": (("nsr", 180),), "af": (("af", 180),), "nsr-af-nsr": (("nsr", 120), ("af", 180), ("nsr", 120)), "flat": (("nsr", 90), ("flat", 60), ("nsr", 90)), "noise": (("nsr", 90), ("noise", 60), ("nsr", 90))}
-# Fixed value: the shape of a beat.
-BEAT_SHAPE = (60, 180, 300, 180, 60)
-
-
-def synthetic(kind: str, fs: int = 300, seed: int = 0) -> tuple[np.ndarray, list[int]]:
-    """ADC samples of a stream and the places of its beats."""
-    rng = np.random.default_rng(seed)
-    values, beats = [], []
-    for rhythm, seconds in STREAMS[kind]:
-        n = seconds * fs
-        base = np.full(n, 512.0)
-        if rhythm != "flat":
-            base += rng.normal(0, 1.5 if rhythm != "noise" else 60.0, n)
-        if rhythm in ("nsr", "af"):
-            at = 0.5
-            while at * fs + len(BEAT_SHAPE) < n:
-                i = int(at * fs)
-                base[i : i + len(BEAT_SHAPE)] += BEAT_SHAPE
-                beats.append(len(values) and sum(map(len, values)) + i + 2 or i + 2)
-                at += max(0.25, rng.normal(0.85, 0.02) if rhythm == "nsr" else rng.uniform(0.40, 1.10))
-        values.append(base)
-    return np.clip(np.rint(np.concatenate(values)), 0, 4095).astype(int), beats
-
-
-def stream_lines(spark: SparkSession, kinds: list[str], fs: int = 300, leadoff_at: int | None = None) -> DataFrame:
-    """device_id, seq, line of synthetic streams; leadoff_at puts a lead-off mark before that sample."""
-
-    def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for device in batch["device_id"]:
-                values, _ = synthetic(device, fs)
-                lines = [str(v) for v in values]
-                if leadoff_at is not None:
-                    lines.insert(leadoff_at, "!")
-                yield pd.DataFrame({"device_id": device, "seq": np.arange(len(lines)), "line": lines})
-
-    devices = spark.createDataFrame([(k,) for k in kinds], "device_id string")
-    return devices.repartition(len(kinds), "device_id").mapInPandas(generate, "device_id string, seq long, line string")

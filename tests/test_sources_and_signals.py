@@ -4,6 +4,7 @@ import gzip
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,8 +93,40 @@ def test_alarm():
     assert late.run == 1 and rate_check(320, 1.0, 300)[1] == "warn"
 
 
+#: Sections (rhythm, seconds) of each synthetic stream.
+STREAMS = {"nsr": (("nsr", 180),), "af": (("af", 180),), "nsr-af-nsr": (("nsr", 120), ("af", 180), ("nsr", 120)), "flat": (("nsr", 90), ("flat", 60), ("nsr", 90)), "noise": (("nsr", 90), ("noise", 60), ("nsr", 90))}
+# Fixed value: the shape of a beat.
+BEAT_SHAPE = (60, 180, 300, 180, 60)
+
+
+def synthetic(kind: str, fs: int = 300, seed: int = 0) -> tuple[np.ndarray, list[int]]:
+    """ADC samples of a stream and the places of its beats."""
+    rng = np.random.default_rng(seed)
+    values, beats = [], []
+    for rhythm, seconds in STREAMS[kind]:
+        n = seconds * fs
+        base = np.full(n, 512.0)
+        if rhythm != "flat":
+            base += rng.normal(0, 1.5 if rhythm != "noise" else 60.0, n)
+        if rhythm in ("nsr", "af"):
+            at = 0.5
+            while at * fs + len(BEAT_SHAPE) < n:
+                i = int(at * fs)
+                base[i : i + len(BEAT_SHAPE)] += BEAT_SHAPE
+                beats.append(len(values) and sum(map(len, values)) + i + 2 or i + 2)
+                at += max(0.25, rng.normal(0.85, 0.02) if rhythm == "nsr" else rng.uniform(0.40, 1.10))
+        values.append(base)
+    return np.clip(np.rint(np.concatenate(values)), 0, 4095).astype(int), beats
+
+
+def stream_lines(spark, kinds, fs=300):
+    """device_id, seq, line of synthetic streams."""
+    frames = [pd.DataFrame({"device_id": kind, "seq": range(len(values)), "line": [str(v) for v in values]}) for kind in kinds for values, _ in [synthetic(kind, fs)]]
+    return spark.createDataFrame(pd.concat(frames)).repartition(len(kinds), "device_id")
+
+
 def test_stream_equals_table(spark, tmp_path):
-    lines = signals.stream_lines(spark, ["nsr", "nsr-af-nsr"]).where("seq < 60000").persist()
+    lines = stream_lines(spark, ["nsr", "nsr-af-nsr"]).where("seq < 60000").persist()
     want = sorted(map(str, monitor_table(lines, 300.0).collect()))
     for files in (1, 3):
         path = f"{tmp_path}/{files}"
