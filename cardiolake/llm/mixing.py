@@ -47,7 +47,8 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     target, the lower one of a tie. Sums by source and hash bucket show the bucket that holds it; only that bucket's
     documents are summed again, by the next bits, until all 32 are settled. Nothing is sorted, and a larger target
     takes a superset. Documents of equal id share a hash and go together. A text that is null or empty has size 0 and
-    is taken 0 words; it has copies by its hash like any other, at most `most` rounded up. An empty table gives no rows.
+    is taken 0 words; it has copies by its hash like any other of its source, at most `most` rounded up. A source of which
+    no text has a word has target 0 and no copies. An empty table gives no rows.
     Columns of the added names that docs has are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")

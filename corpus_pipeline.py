@@ -26,7 +26,11 @@ def keeps_columns(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) ->
 
 @keeps_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learned from the labels of these documents, doesn't reject."""
+    """Documents that the toxicity model, learned from the labels of these documents, doesn't reject.
+
+    Null and empty texts have no passage and the same low score; repeated rows are judged alike; without labels of
+    both kinds nothing is rejected. An empty table gives an empty one.
+    """
     model = queries.toxic_model(spark, docs, sf_dir)
     scored = toxicity.score_toxicity(docs, model)
     return scored.where(F.col("predicted") == 0).select(*docs.columns)
@@ -46,7 +50,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @keeps_columns
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of 10 words of a benchmark item."""
+    """Documents without any window of 10 words of a benchmark item.
+
+    Null and empty texts have no words and stay, as do all where the benchmark is empty; repeated rows are judged alike.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.decontaminate(docs, benchmark, window=10)
     return found.where("not contaminated").select(*docs.columns)
@@ -54,13 +61,20 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @keeps_columns
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: 150 % of all words, weights 5, 2, 1, twice at most."""
+    """Documents as often as the mix of sources takes them: 150 % of all words, weights 5, 2, 1, twice at most.
+
+    A null source is one of its own, the last. Rows of equal id have as many copies each. Texts without words have
+    copies by their ids' hashes; a source of which no text has a word has none.
+    """
     mixed = mixing.mix_sources(docs, share=1.5, most=2.0, weights=(5, 2, 1))
     return mixed.where("copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard (0 to 7) and slot."""
+    """Documents with their shard (0 to 7) and slot.
+
+    Equal texts, null ones among them, share a shard; every row has a slot of its own, repeated rows too. An empty table gives no rows.
+    """
     return sharding.shard_documents(docs, shards=8)
 
 
