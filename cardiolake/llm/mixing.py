@@ -29,10 +29,10 @@ def targets(sizes: DataFrame, share: float, most: float, weights: Sequence[float
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(nth - 1, F.lit(len(weights))) + 1).cast("int"))
     rated = sizes.withColumn("weight", weight).withColumn("stop", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("stop") / F.col("weight"))
     by_ratio = Window.orderBy("ratio", F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
+    everything, upto = Window.partitionBy(), by_ratio.rowsBetween(Window.unboundedPreceding, 0)
     level = F.try_divide(
-        F.sum("source_size").over(everything) * F.lit(float(share)) - (F.sum("stop").over(by_ratio.rowsBetween(Window.unboundedPreceding, 0)) - F.col("stop")),
-        F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)),
+        F.sum("source_size").over(everything) * F.lit(float(share)) - (F.sum("stop").over(upto) - F.col("stop")),
+        F.sum("weight").over(everything) - (F.sum("weight").over(upto) - F.col("weight")),
     )
     levelled = rated.withColumn("nth", F.row_number().over(by_ratio)).withColumn("level", level)
     free = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("nth", "level"))).over(everything)["level"]

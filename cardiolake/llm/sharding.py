@@ -14,6 +14,8 @@ from cardiolake.llm.common import stored, text_id, with_facts
 
 #: A level of the tree takes about this many items in one task, and hands on BLOBS sums.
 FAN_IN, BLOBS = 1_000, 16
+#: Rows of a chunk of slots on average; pairs of key and text that are split, at most.
+CHUNK, CROWDS = 5_000, 10_000
 #: Blobs that the last level differences at most, besides the large groups and the single ones that tune the shards.
 LAST = 4_000
 
@@ -107,6 +109,25 @@ def assign_groups(groups: DataFrame, shards: int, total: int, n: int) -> DataFra
     return shard_of.withColumnRenamed("blob", "item").unionByName(placed.where(~blob))
 
 
+def _split_crowds(placed: DataFrame, slim: DataFrame, full: DataFrame, most: int, cell: list[str]) -> tuple[DataFrame, DataFrame]:
+    """placed and the counts of its cells, where no cell holds many rows of one key and text.
+
+    Rows of one pair of key and text hash are alike, so any order of them gives the same slots. Of each pair with more
+    than `most` rows in the full chunks (CROWDS pairs at most) the rows are written once with a part of about CHUNK
+    rows each; numbers then come from the counts of the parts. All others keep their chunk.
+    """
+    same = ["shard", "__pair"]
+    nowhere = {"__own": F.lit(0).cast("long"), "__part": F.lit(0).cast("long")}
+    pairs = slim.join(F.broadcast(full.select("shard", "__chunk")), ["shard", "__chunk"], "left_semi").groupBy(*same).count()
+    crowds = stored(pairs.where(F.col("count") > most).select(*same, F.ceil(F.col("count") / CHUNK).alias("__parts")), "shard-crowds")
+    some, parts = F.broadcast(crowds.select(*same)), F.broadcast(crowds)
+    part = {"__own": F.col("__pair"), "__part": F.pmod(F.monotonically_increasing_id(), F.col("__parts")) + 1}
+    alike = stored(placed.join(parts, same).withColumns(part).drop("__parts"), "shard-alike")
+    others = placed.join(some, same, "left_anti").withColumns(nowhere)
+    counts = slim.join(some, same, "left_anti").withColumns(nowhere).groupBy(*cell).count()
+    return others.unionByName(alike), counts.unionByName(alike.groupBy(*cell).count())
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every row of docs with size, text_crc32, law, shard, slot and grown_shard added.
 
@@ -115,7 +136,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", key: s
     on the texts alone, and slots on keys and texts, however the rows are dealt to partitions.
     Size is the text's UTF-8 bytes plus 1 (null text: 1; the null texts make a group, apart from the empty ones).
     slot counts the documents of a shard from 0 without gaps, by `key` inside hash chunks; rows that are wholly equal
-    get slots of their own. An empty table gives no rows. Columns of these names that docs has are replaced.
+    get slots of their own, and many of them are numbered in parts. An empty table gives no rows. Columns of these names that docs has are replaced.
     """
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     docs = docs.drop(*added)
@@ -126,13 +147,21 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", key: s
     shard_of = stored(groups.select("__tid", "item", "n").join(assign_groups(groups, shards, total, n), "item").select("__tid", "n", "shard"), "shard-of-text")
     sized = docs.withColumns({"__tid": text_id(F.col(text)), "size": size, "text_crc32": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))})
     placed = with_facts(sized, shard_of, "__tid", "n").drop("__tid")
-    chunks = max(1, rows // 5_000)
-    chunk = F.pmod(F.xxhash64(F.col(key), "text_crc32"), F.lit(chunks)).cast("int")
-    inside = Window.partitionBy("shard", "__chunk").orderBy(F.col(key), "text_crc32")
-    numbered = placed.withColumn("__chunk", chunk).withColumn("__in", F.row_number().over(inside))
+    pair = F.xxhash64(F.col(key), "text_crc32")
+    chunk = F.pmod(pair, F.lit(max(1, rows // CHUNK))).cast("int")
+    placed = placed.withColumns({"__pair": pair, "__chunk": chunk})
     # the sums of the chunks come from the slim columns, so that no text is shuffled for them
-    counts = with_facts(sized.select("__tid", chunk.alias("__chunk")), shard_of, "__tid", "n").groupBy("shard", "__chunk").count()
-    before = counts.select("shard", "__chunk", (F.sum("count").over(Window.partitionBy("shard").orderBy("__chunk")) - F.col("count")).alias("__before"))
-    slots = numbered.join(before, ["shard", "__chunk"]).withColumn("slot", F.col("__before") + F.col("__in") - 1)
+    slim = with_facts(sized.select("__tid", pair.alias("__pair"), chunk.alias("__chunk")), shard_of, "__tid", "n")
+    cell = ["shard", "__chunk"]
+    counts = stored(slim.groupBy(*cell).count(), "shard-chunks")
+    most = max(4 * CHUNK, rows // CROWDS)
+    full = counts.where(F.col("count") > most)
+    if full.limit(1).count():
+        cell = [*cell, "__own", "__part"]
+        placed, counts = _split_crowds(placed, slim, full, most, cell)
+    numbered = placed.withColumn("__in", F.row_number().over(Window.partitionBy(*cell).orderBy(F.col(key), "text_crc32")))
+    upto = F.sum("count").over(Window.partitionBy("shard").orderBy(*cell[1:]))
+    before = counts.select(*cell, (upto - F.col("count")).alias("__before"))
+    slots = numbered.join(before, cell).withColumn("slot", F.col("__before") + F.col("__in") - 1)
     order = [c for c in docs.columns] + added
     return slots.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select(*order)
