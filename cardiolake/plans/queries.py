@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardiolake.functions import dsp
-from cardiolake.operators import cohort, directory, kernel_svm, learning, metrics, neighbours, ordered, quality, serving, spans, windows
+from cardiolake.operators import cohort, directory, kernel_svm, learning, metrics, neighbours, notes, ordered, quality, serving, spans, windows
 from cardiolake.operators.rr import FEATURES, beat_features, intervals, window_features
 from cardiolake.plans.tables import FS, SQL_A, SQL_ALL, SQL_OVER, SQL_RR, SQL_SPANS, WIDTH, annotations, table
 from cardiolake.schema import is_beat
@@ -338,6 +338,61 @@ def rhythm_rates(spark, sf):
     rows = rows.withColumn("noise", noise).withColumn("group", F.when(~F.coalesce(noise, F.lit(False)), F.col("group")))
     return directory.rhythm_rates(rows, ("patient_id",), ORDER, FS, noise="noise").select("patient_id", "in_force", *r6("rate_min", "rate_max"), "sums")
 
+SQL_STATE = """CASE WHEN k & 255 = 255 THEN 'all unreadable' WHEN k & 255 = 0 THEN 'clean' WHEN k & 17 = 17 THEN 'signal 0 unreadable' WHEN k & 34 = 34 THEN 'signal 1 unreadable' WHEN k & 3 = 3 THEN 'all noisy'
+  WHEN k & 1 = 1 THEN 'signal 0 noisy' WHEN k & 2 = 2 THEN 'signal 1 noisy' ELSE 'unknown' END"""
+
+
+@query(f"""WITH {SQL_A}, st AS (SELECT patient_id, sample, ann_idx, max(sample) OVER (PARTITION BY patient_id) AS record_end, CASE WHEN code = 28 THEN {SQL_STATE} END AS state FROM a),
+ch AS (SELECT * FROM st WHERE state IS NOT NULL QUALIFY state IS DISTINCT FROM lag(state) OVER (PARTITION BY patient_id ORDER BY sample, ann_idx)),
+qe AS (SELECT patient_id, state AS label, coalesce(lead(sample) OVER (PARTITION BY patient_id ORDER BY sample, ann_idx), record_end) - sample AS took FROM ch)
+SELECT patient_id, label, count(*) AS episodes, round(sum(took) / 30000.0, 6) AS seconds FROM qe GROUP BY ALL""")
+def quality_episodes(spark, sf):
+    """Episodes and time of each state of signal quality; a marker's number is the bitmask."""
+    rows = _labels(spark, sf).withColumn("state", directory.quality_state(F.col("k")))
+    return directory.rhythm_summary(rows, ("patient_id",), ORDER, "state", FS).withColumn("seconds", F.round("seconds", 6))
+
+
+def _sql_clock(seconds: str) -> str:
+    whole = f"floor({seconds} + 0.5)::BIGINT"
+    return f"CASE WHEN {seconds} > 0 THEN printf('%d:%02d', {whole} // 60, {whole} % 60) ELSE '-' END"
+
+
+SQL_RUN_LINES = """SELECT patient_id, {section} AS section, row_number() OVER (PARTITION BY patient_id ORDER BY length) AS place, '{heading}' AS heading,
+  concat(n, ' ', CASE length WHEN 1 THEN 'isolated beat' WHEN 2 THEN 'couplet' ELSE 'run' END, CASE WHEN n > 1 THEN 's' ELSE '' END, CASE WHEN length > 2 THEN concat(' of ', length, ' beats') ELSE '' END) AS line
+FROM (SELECT *, runs AS n FROM er WHERE kind = '{kind}' QUALIFY sum(length * runs) OVER (PARTITION BY patient_id) > 1)"""
+
+
+@query(f"""WITH {SQL_A}, {SQL_GROUP}, er AS ({ORACLE_SQL["ectopic_runs"]}), rr AS ({ORACLE_SQL["rhythm_rates"]}), stt AS ({ORACLE_SQL["st_t_summary"]}), qs AS ({ORACLE_SQL["quality_episodes"]}),
+b AS (SELECT patient_id, grp, count(*) FILTER (sample < 432000) AS l, count(*) FILTER (sample >= 432000) AS t, count(*) AS n FROM g WHERE grp IS NOT NULL GROUP BY GROUPING SETS ((patient_id, grp), (patient_id))),
+mr AS (SELECT patient_id, sample, ann_idx, max(sample) OVER (PARTITION BY patient_id) AS record_end, CASE WHEN code = 28 THEN {list(RATE_RHYTHMS)}[k % 8 + 1] END AS mark FROM a),
+cr AS (SELECT * FROM mr WHERE mark IS NOT NULL QUALIFY mark IS DISTINCT FROM lag(mark) OVER (PARTITION BY patient_id ORDER BY sample, ann_idx)),
+re AS (SELECT patient_id, mark AS label, coalesce(lead(sample) OVER (PARTITION BY patient_id ORDER BY sample, ann_idx), record_end) - sample AS took FROM cr),
+rs AS (SELECT patient_id, label, count(*) AS episodes, sum(took) / 30000.0 AS seconds FROM re GROUP BY ALL),
+ry AS (SELECT rs.*, floor(rate_min + 0.5)::BIGINT AS low, floor(rate_max + 0.5)::BIGINT AS high FROM rs LEFT JOIN rr ON rr.patient_id = rs.patient_id AND rr.in_force = rs.label),
+parts AS (
+  SELECT patient_id, 1 AS section, row_number() OVER (PARTITION BY patient_id ORDER BY grp IS NULL, grp) AS place, concat_ws(chr(9), 'Beats', 'Learning', 'Test', 'Total') AS heading,
+    CASE WHEN grp IS NULL THEN concat_ws(chr(9), 'Total', l, t, n) ELSE concat_ws(chr(9), grp, CASE WHEN l = 0 THEN '-' ELSE l::VARCHAR END, CASE WHEN t = 0 THEN '-' ELSE t::VARCHAR END, n) END AS line FROM b
+  UNION ALL {SQL_RUN_LINES.format(section=2, kind="S", heading="Supraventricular ectopy")}
+  UNION ALL {SQL_RUN_LINES.format(section=3, kind="V", heading="Ventricular ectopy")}
+  UNION ALL SELECT patient_id, 4, row_number() OVER (PARTITION BY patient_id ORDER BY label), concat_ws(chr(9), 'Rhythm', 'Rate', 'Episodes', 'Duration'),
+    concat_ws(chr(9), CASE WHEN label = '' THEN 'unlabelled' ELSE label END, CASE WHEN low IS NULL THEN '-' WHEN high > low THEN concat(low, '-', high) ELSE low::VARCHAR END, episodes, {_sql_clock("seconds")}) FROM ry
+  UNION ALL SELECT patient_id, 5, row_number() OVER (PARTITION BY patient_id ORDER BY signal, type, sign), concat_ws(chr(9), 'ST-T state', 'Extremum', 'Episodes', 'Duration'),
+    concat_ws(chr(9), concat(type, signal, sign), coalesce(sign[1] || extreme::VARCHAR, '-'), episodes, {_sql_clock("seconds")}) FROM stt
+  UNION ALL SELECT patient_id, 6, row_number() OVER (PARTITION BY patient_id ORDER BY label), concat_ws(chr(9), 'Signal quality', 'Episodes', 'Duration'), concat_ws(chr(9), label, episodes, {_sql_clock("seconds")}) FROM qs)
+SELECT patient_id, 0 AS section, 0 AS place, concat('Record ', patient_id) AS line FROM (SELECT DISTINCT patient_id FROM b)
+UNION ALL SELECT patient_id, section, 0, heading FROM parts WHERE place = 1
+UNION ALL SELECT patient_id, section, place::INT, line FROM parts""")
+def record_notes(spark, sf):
+    """The notes of all records: beats, ectopy, rhythms with rates, ST and T changes, signal quality."""
+    a = annotations(spark, sf)
+    g = _grouped(a).where("group is not null")
+    names = F.array(*map(F.lit, RATE_RHYTHMS))
+    marks = _labels(spark, sf).withColumn("mark", F.element_at(names, F.pmod("k", F.lit(8)) + 1))
+    rhythms = directory.rhythm_summary(marks, ("patient_id",), ORDER, "mark", FS)
+    beats = directory.beat_table(g.withColumnRenamed("group", "kind"), 432_000, "patient_id")
+    runs = directory.ectopic_runs(g, ("patient_id",), ORDER)
+    return notes.record_notes("patient_id", beats, runs, rhythms, rhythm_rates(spark, sf), st_t_summary(spark, sf), quality_episodes(spark, sf))
+
 
 @query("SELECT event_type, day(ts)::INT AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY CUBE (event_type, day(ts)::INT)")
 def cube_type_day(spark, sf):

@@ -75,3 +75,9 @@ def text_table(counts: DataFrame, record: str, kind: str, kinds: list[str], valu
     wide = counts.groupBy(record).pivot(kind, kinds).agg(F.first(value))
     cell = lambda k: F.when(F.coalesce(F.col(f"`{k}`"), F.lit(0)) == 0, "-").otherwise(F.col(f"`{k}`").cast("string"))
     return wide.select(F.concat_ws("\t", F.col(record).cast("string"), *[cell(k) for k in kinds]).alias("line"))
+
+
+def write_notes(notes: DataFrame, path: str, record: str) -> None:
+    """Lines of notes as text; a file holds whole notes, one behind the other."""
+    placed = notes.repartition(record).sortWithinPartitions(record, "section", "place")
+    placed.select("line").write.mode("overwrite").text(path)
