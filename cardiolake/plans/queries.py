@@ -14,7 +14,7 @@ from cardiolake.operators import cohort, directory, kernel_svm, learning, metric
 from cardiolake.operators.rr import FEATURES, beat_features, intervals, window_features
 from cardiolake.plans.tables import FS, SQL_A, SQL_ALL, SQL_OVER, SQL_RR, SQL_SPANS, WIDTH, annotations, table
 from cardiolake.schema import is_beat
-from cardiolake.sources import headers
+from cardiolake.sources import headers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -854,6 +854,19 @@ def grouping_sets(spark, sf):
     return o.groupingSets([c, c[:1], []], *c).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
+@query(f"WITH {SQL_ALL} SELECT patient_id, wid, label_id, ['NSR', 'AFib', 'AFlutter'][label_id + 1] AS label, n_beats, n_rr_used, round((round_even(purity * 1e5, 0) / 1e5)::FLOAT::DOUBLE, 6) AS purity FROM wt")
+def parts_consolidated(spark, sf):
+    """The window table through its parts: a build that stops halfway, goes on with the patients that are missing, and becomes one table of unique keys."""
+    parts, whole = _scratch(spark, "parts"), _scratch(spark, "windows")
+    built = _windows(spark, sf).withColumn("segment", F.lit(0)).withColumn("ord", F.col("wid"))
+    half = F.pmod(F.xxhash64("patient_id"), F.lit(8)) < 4
+    sinks.write_parts(built.where(half), parts, 8)
+    left = sinks.missing_patients(built.select("patient_id").distinct(), parts)
+    sinks.write_parts(built.join(left, "patient_id", "left_semi"), parts, 8)
+    sinks.consolidate(spark.read.parquet(parts), whole)
+    return spark.read.parquet(whole).select("patient_id", "wid", F.col("label_id").cast("int").alias("label_id"), "label", "n_beats", "n_rr_used", F.round(F.col("purity").cast("double"), 6).alias("purity"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows_table(spark, sf_dir)
 

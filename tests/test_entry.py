@@ -11,7 +11,7 @@ from cardiolake.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["rr_window_features", "rhythm_spans", "windows_table", "choose_segments", "class_table", "ectopic_runs", "rhythm_rates", "beat_table_learning_test", "alarm_state_machine", "refractory_dedup", "roc_auc", "gaussian_nb", "parse_annotations", "grouping_sets", "index_crosscheck", "label_index_files", "beat_waveform_features", "markers_snapped", "peaks_chunks", "qrs_width_chunks", "fold_preview", "group_split", "stratified_split", "group_folds", "knn_embeddings", "bayes_predictions", "st_t_summary", "annotations_lateral", "page_list_rows", "causal_filter_stream", "ectopy_alert", "windows_with_waveform", "explorer_view", "quality_episodes", "record_notes"]
+QUICK = ["rr_window_features", "rhythm_spans", "windows_table", "choose_segments", "class_table", "ectopic_runs", "rhythm_rates", "beat_table_learning_test", "alarm_state_machine", "refractory_dedup", "roc_auc", "gaussian_nb", "parse_annotations", "grouping_sets", "index_crosscheck", "label_index_files", "beat_waveform_features", "markers_snapped", "peaks_chunks", "qrs_width_chunks", "fold_preview", "group_split", "stratified_split", "group_folds", "knn_embeddings", "bayes_predictions", "st_t_summary", "annotations_lateral", "page_list_rows", "causal_filter_stream", "ectopy_alert", "windows_with_waveform", "explorer_view", "quality_episodes", "record_notes", "parts_consolidated"]
 
 
 def normal(frame, columns):
