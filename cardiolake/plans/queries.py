@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -650,14 +649,9 @@ SQL_WALK = "row_number() OVER (PARTITION BY patient_id, segment ORDER BY sample,
 
 def _annotation_files(spark, sf):
     """The events of each patient and day as one file's annotation bytes."""
-    from cardiolake.sources.annotations import encode_arrays
+    from cardiolake.sources.annotations import write_annotations
 
-    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sample", "ann_idx"])
-        payload = encode_arrays(rows["sample"].to_numpy(), rows["code"].to_numpy("int64"), [(i, n) for i, n in enumerate(rows["note"]) if isinstance(n, str)])
-        return pd.DataFrame({"patient_id": [key[0]], "segment": [key[1]], "content": [payload]})
-
-    return annotations(spark, sf).groupBy("patient_id", "segment").applyInPandas(pack, "patient_id long, segment int, content binary")
+    return write_annotations(annotations(spark, sf), "patient_id", "segment")
 
 
 @query(f"WITH {SQL_A} SELECT patient_id, segment, {SQL_WALK}, sample, code, note, max(sample) OVER (PARTITION BY patient_id, segment) AS last_sample FROM a")
