@@ -27,12 +27,12 @@ def balanced_weights(rows: DataFrame, label: str, name: str = "weight") -> DataF
     return rows.join(sums, label)
 
 
-def model(kind: str, label: str = "label_index", features: str = "features", weight: str | None = None):
+def model(kind: str, label: str = "label_index", features: str = "features", weight: str | None = None, trees: int = 100):
     common = {"labelCol": label, "featuresCol": features} | ({"weightCol": weight} if weight else {})
     if kind == "logistic":
         return LogisticRegression(maxIter=1_000, regParam=0.001, family="multinomial", **common)
     if kind == "forest":
-        return RandomForestClassifier(numTrees=100, maxDepth=30, maxMemoryInMB=1024, seed=42, **common)
+        return RandomForestClassifier(numTrees=trees, maxDepth=30, maxMemoryInMB=1024, seed=42, **common)
     if kind == "tree":
         return DecisionTreeClassifier(maxDepth=30, seed=42, **common)
     if kind == "bayes":
@@ -42,13 +42,13 @@ def model(kind: str, label: str = "label_index", features: str = "features", wei
     raise ValueError(kind)
 
 
-def fit(rows: DataFrame, kind: str, columns: list[str], label: str, weight: str | None = None) -> PipelineModel:
+def fit(rows: DataFrame, kind: str, columns: list[str], label: str, weight: str | None = None, trees: int = 100) -> PipelineModel:
     """Indexer in alphabetical order, assembler in the order of columns, scaler, classifier."""
     stages = [
         StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="skip"),
         VectorAssembler(inputCols=columns, outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-        model(kind, weight=weight),
+        model(kind, weight=weight, trees=trees),
     ]
     # the fits pass over the rows again and again, in as few tasks as the rows are worth
     held = rows.select(*dict.fromkeys([*columns, label, *([weight] if weight else [])])).persist()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardiolake.functions import dsp
-from cardiolake.operators import cohort, directory, kernel_svm, learning, metrics, neighbours, notes, ordered, quality, serving, spans, windows
+from cardiolake.operators import cohort, directory, forest, kernel_svm, learning, metrics, neighbours, notes, ordered, quality, serving, spans, windows
 from cardiolake.operators.rr import FEATURES, beat_features, intervals, window_features
 from cardiolake.plans.tables import FS, SQL_A, SQL_ALL, SQL_OVER, SQL_RR, SQL_SPANS, WIDTH, annotations, table
 from cardiolake.schema import is_beat
@@ -543,6 +543,9 @@ def _ml(kind):
         if kind == "kernel_svm":
             found = kernel_svm.predict_kernel_svm(kernel_svm.fit_kernel_svm(weighted, list(FEATURES), "label", "weight"), test)
             return found.select("patient_id", "wid", "label", "predicted")
+        if kind == "forest":
+            found = forest.predict_forest(weighted, test, list(FEATURES), "label", "weight", ["patient_id", "wid"], _scratch(spark, "forest"))
+            return found.select("patient_id", "wid", "label", "predicted")
         fitted = learning.fit(weighted, kind, list(FEATURES), "label", "weight")
         return learning.predict(fitted, test).select("patient_id", "wid", "label", "predicted")
 
