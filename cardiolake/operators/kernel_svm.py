@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows whose kernel values a task holds at once.
 BLOCK = 4_096
+#: Tasks in which the sums of the machines meet at most.
+MEETINGS = 200
 
 
 @dataclass
@@ -67,9 +68,10 @@ def fit_kernel_svm(rows: DataFrame, columns: list[str], label: str, weight: str
     The kernel is exp(-gamma |x - y|^2), gamma 1 over the number of columns unless given; the space is spanned by
     `landmarks` rows, an equal number of each class. Each machine minimises |f|^2 / 2 + cost * sum of weight *
     max(0, 1 - y f)^2 / 2. A pass over the rows sums, for every machine, its loss, gradient and curvature where the
-    margin is not reached (a matrix as wide as the landmarks); the step to the minimum of that quadratic is taken on the
-    driver and halved where the loss has risen. It ends when no loss falls by more than its `tolerance`-th part. Rows with a
-    null are left out. Work a pass: rows times landmarks squared; to the driver come sums alone.
+    margin is not reached (a matrix as wide as the landmarks); the minimum of that quadratic is found by the task where a
+    machine's sums meet, and the step to it is halved where the loss has risen. It ends when no loss falls by more than its
+    `tolerance`-th part. Rows with a null are left out. Work a pass: rows times landmarks squared; to the driver come a
+    loss and the weights of each machine.
     """
     spark = rows.sparkSession
     used = rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)], F.col(label).cast("string").alias("y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).dropna().persist()
@@ -87,13 +89,13 @@ def fit_kernel_svm(rows: DataFrame, columns: list[str], label: str, weight: str
         penalty = np.zeros((size, size))
         penalty[:-1, :-1] = inner + 1e-8 * np.eye(len(chosen))
         penalty[-1, -1] = 1e-8  # the shift is as good as free
-        parts = max(1, min(used.rdd.getNumPartitions(), -(-used.count() // BLOCK)))
+        # each task sends a matrix a machine, so no more tasks than keep all cores busy
+        parts = max(1, min(used.rdd.getNumPartitions(), -(-used.count() // BLOCK), 2 * spark.sparkContext.defaultParallelism))
         data = used.coalesce(parts)
         loss, before = np.full(len(pairs), np.inf), machine.weights.copy()
         for _ in range(passes):
             machine.passes += 1
-            now, gradient, curve = _sums(data, machine, pairs, names, cost)
-            now += 0.5 * np.einsum("ki,ij,kj->k", machine.weights, penalty, machine.weights)
+            now, minima = _minima(data, machine, pairs, names, cost, penalty)
             rose = now > loss * (1 + 1e-12)
             done = np.abs(loss - now) <= tolerance * now
             if (done | rose).all() and np.abs(machine.weights - before).max() <= 1e-3 * max(np.abs(before).max(), 1e-12) or done.all():
@@ -104,17 +106,17 @@ def fit_kernel_svm(rows: DataFrame, columns: list[str], label: str, weight: str
                     after[k] = (machine.weights[k] + before[k]) / 2
                     continue
                 before[k], loss[k] = machine.weights[k], now[k]
-                after[k] = machine.weights[k] - np.linalg.lstsq(curve[k] + penalty, gradient[k] + penalty @ machine.weights[k], rcond=None)[0]
+                after[k] = minima[k]
             machine.weights = after
         machine.weights = np.where((now > loss)[:, None], before, machine.weights)
     used.unpersist()
     return machine
 
 
-def _sums(data: DataFrame, machine: KernelSvm, pairs: list[tuple[int, int]], names: list[str], cost: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Loss, gradient and curvature of every machine over all rows; partial sums meet in about the root of their number of tasks."""
+def _minima(data: DataFrame, machine: KernelSvm, pairs: list[tuple[int, int]], names: list[str], cost: float, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Loss of every machine over all rows, and the weights at the minimum of its quadratic; a machine's partial sums meet in one task, which solves for them."""
     size = len(machine.landmarks) + 1
-    shared = data.sparkSession.sparkContext.broadcast(machine)
+    shared, stiff = data.sparkSession.sparkContext.broadcast(machine), data.sparkSession.sparkContext.broadcast(penalty)
     numbers = {c: i for i, c in enumerate(machine.classes)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,27 +137,34 @@ def _sums(data: DataFrame, machine: KernelSvm, pairs: list[tuple[int, int]], nam
                     loss[m] += 0.5 * (c * short * short).sum()
                     gradient[m] -= (c * short * sign) @ k[mine]
                     curve[m] += (k[mine] * c[:, None]).T @ k[mine]
-        yield _packed(np.concatenate([loss, gradient.ravel(), curve.ravel()]))
+        for m in range(len(pairs)):
+            yield _packed(m, np.concatenate([loss[m : m + 1], gradient[m], curve[m].ravel()]))
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for blob in batch.column(0):
+            for m, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.frombuffer(blob.as_buffer(), float)
-                total = own.copy() if total is None else total + own
-        if total is not None:
-            yield _packed(total)
-
-    parts = data.select(*names, "y", "w").mapInArrow(run, "sums binary")
-    fan = math.ceil(math.sqrt(data.rdd.getNumPartitions()))
-    found = sum(np.frombuffer(r["sums"], float) for r in (parts.repartition(fan).mapInArrow(added, "sums binary") if fan > 1 else parts).collect())
+                if m in total:
+                    total[m] += own
+                else:
+                    total[m] = own.copy()
+        for m, sums in total.items():
+            weights, fixed = shared.value.weights[m], stiff.value
+            step = np.linalg.lstsq(sums[1 + size :].reshape(size, size) + fixed, sums[1 : 1 + size] + fixed @ weights, rcond=None)[0]
+            yield _packed(m, np.concatenate([[sums[0] + 0.5 * weights @ fixed @ weights], weights - step]))
+
+    packed = "machine int, found binary"
+    parts = data.select(*names, "y", "w").mapInArrow(run, packed)
+    found = parts.repartition(min(len(pairs), MEETINGS), "machine").mapInArrow(solved, packed).collect()
     shared.destroy()
-    n = len(pairs)
-    return found[:n].copy(), found[n : n + n * size].reshape(n, size), found[n + n * size :].reshape(n, size, size)
+    stiff.destroy()
+    values = np.array([np.frombuffer(r["found"], float) for r in sorted(found, key=lambda r: r["machine"])])
+    return values[:, 0].copy(), values[:, 1:].copy()
 
 
-def _packed(values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary())], names=["sums"])
+def _packed(machine: int, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([machine], pa.int32()), pa.array([values.tobytes()], pa.binary())], names=["machine", "found"])
 
 
 def predict_kernel_svm(machine: KernelSvm, rows: DataFrame) -> DataFrame:

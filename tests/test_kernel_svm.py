@@ -61,3 +61,19 @@ def test_odd_rows(spark):
     assert {r["predicted"] for r in kernel_svm.predict_kernel_svm(one, rows.where("p is not null")).collect()} == {"a"}
     none = kernel_svm.fit_kernel_svm(rows.where("false"), ["p", "q"], "label")
     assert {r["predicted"] for r in kernel_svm.predict_kernel_svm(none, rows).collect()} == {None}
+
+
+def test_driver_gets_weights_alone(spark, monkeypatch):
+    """A pass of ten classes sent 45 matrices (of 385 squared) to the driver, and more with more tasks."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(*map(float, rng.normal(size=2)), str(i % 10)) for i in range(9_000)], "p double, q double, label string").repartition(6)
+    sent, collect = [0], type(rows).collect
+
+    def counted(frame):
+        found = collect(frame)
+        sent[0] += sum(len(v) for r in found for v in r if isinstance(v, (bytes, bytearray)))
+        return found
+
+    monkeypatch.setattr(type(rows), "collect", counted)
+    machine = kernel_svm.fit_kernel_svm(rows, ["p", "q"], "label", passes=2)
+    assert machine.weights.shape == (45, len(machine.landmarks) + 1) and 0 < sent[0] < 1_000_000
