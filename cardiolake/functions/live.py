@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from cardiolake.functions.dsp import bandpass, detect_beats
+from cardiolake.functions.dsp import bandpass_whole, detect_beats
 from cardiolake.schema import ALARM_OFF, ALARM_ON, ALARM_SCORE, ECTOPY_LAST, ECTOPY_OFF, ECTOPY_ON, ENTROPY_BINS, LIVE_HOP_S, LIVE_MIN_COVERAGE, LIVE_MIN_RR, LIVE_WINDOW_S, REFRACTORY_S, RR_LIVE, RR_RANGE
 
 TREND = 20
@@ -145,9 +145,9 @@ def push(state: Monitor, line: str, fs: float, score=default_score) -> list[dict
     """
     if "\n" in line:
         lines = line.split("\n")
-        if not all(x.isascii() and x.isdigit() for x in lines):
+        if not (line.isascii() and "".join(lines).isdigit() and all(lines)):
             return [row for x in lines for row in push(state, x, fs, score)]
-        samples, rows = [int(x) for x in lines], []
+        samples, rows = list(map(int, lines)), []
         while samples:
             room = int(5 * fs) - len(state.buffer)
             state.buffer += samples[:room]
@@ -170,7 +170,7 @@ def _chunk(state: Monitor, fs: float, score) -> list[dict]:
     if len(state.buffer) < int(5 * fs):
         return []
     rows: list[dict] = []
-    chunk = bandpass(np.array(state.buffer, float), fs)
+    chunk = bandpass_whole(np.array(state.buffer, float), fs)
     found = detect_beats(chunk, fs)
     first = state.clock - len(state.buffer)
     for p in found.tolist():
