@@ -89,7 +89,8 @@ class Fertility:
             with open(path, "rb") as file:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
             coder = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            self.encode = lambda words: coder.encode_ordinary_batch([f" {w}" for w in words], num_threads=1)
+            # one by one: a batch hands each word to a pool of threads, which costs more than its encoding
+            self.encode = lambda words: [coder.encode_ordinary(f" {w}") for w in words]
             self.is_byte = np.zeros(max(ranks.values()) + 1, dtype=bool)
             self.is_byte[[rank for token, rank in ranks.items() if b"\xef\xbf\xbd" in token.decode("utf-8", "replace").encode() and b"\xef\xbf\xbd" not in token]] = True
         else:

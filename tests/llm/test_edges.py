@@ -164,3 +164,20 @@ def test_token_files_skip_what_cannot_hold_an_id(spark, tmp_path):
     assert 0 < _scanned(files.where("doc_id = 5000")) <= 1_000
     # odd ids lie between the least and the largest of a stripe: the Bloom filter alone knows that they are not there
     assert sum(_scanned(files.where(f"doc_id = {i}")) for i in range(5_001, 5_041, 2)) <= 2_000
+
+
+def test_words_are_encoded_without_a_pool(monkeypatch):
+    """A batch of tiktoken hands every word to a thread; words one by one give the same ids."""
+    import tiktoken
+
+    from cardiolake.llm.queries import VOCABULARIES
+
+    words = ["", "a", "Straße", "日本語", "naïve", "🙂🙂", "x" * 300, "#$%"]
+    path, pattern = VOCABULARIES["byte"]()
+    coder = quality.Fertility(path, pattern)
+    encode_batch, ranks = tiktoken.Encoding.encode_ordinary_batch, []
+    monkeypatch.setattr(tiktoken.Encoding, "__init__", lambda self, *a, _old=tiktoken.Encoding.__init__, **k: (_old(self, *a, **k), ranks.append(self))[0])
+    found = quality.Fertility(path, pattern)
+    want = encode_batch(ranks[0], [f" {w}" for w in words], num_threads=1)
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary_batch", lambda *a, **k: 1 / 0)
+    assert coder.encode(words) == found.encode(words) == want
