@@ -27,8 +27,8 @@ ROUNDS, WIDE, PART = 4, 256, 2_000_000
 BLOCK_BYTES = 10_000_000
 #: Bytes of a text of the first sample at most.
 LONGEST = 100_000
-#: States gathered before the softmax is taken.
-FLUSH = 8_192
+#: States gathered before the softmax is taken; rows of it at once; rows of the input table whose gradients are summed at once.
+FLUSH, CACHED, MARKS = 8_192, 1_024, 32
 #: Logarithms of rare words are summed as whole parts of this size.
 BILLION = 1_000_000_000
 
@@ -83,19 +83,36 @@ def tokens_of(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.
 def _picked(y: np.ndarray, column: np.ndarray, calm: bool) -> np.ndarray:
     """Log-softmax of one column of each row. calm: no logit can overflow exp in single precision."""
     if not calm:
-        y = y - y.max(1, keepdims=True)
+        y -= y.max(1, keepdims=True)
     chosen = y[np.arange(len(y)), column].astype(float)
     np.exp(y, out=y)
-    return chosen - np.log(y.sum(1))
+    return chosen - np.log(y @ np.ones(y.shape[1], y.dtype))
 
 
-def _softmax(y: np.ndarray) -> np.ndarray:
-    y -= y.max(1, keepdims=True)
+def _misses(y: np.ndarray, column: np.ndarray, scale: np.ndarray, calm: bool) -> np.ndarray:
+    """scale times (softmax of each row, less one in its column), written over y."""
+    if not calm:
+        y -= y.max(1, keepdims=True)
     np.exp(y, out=y)
-    y /= y.sum(1, keepdims=True)
+    y *= (scale / (y @ np.ones(y.shape[1], y.dtype)))[:, None]
+    y.reshape(-1)[np.arange(len(y)) * y.shape[1] + column] -= scale
     return y
 
 
+def _sigmoid(y: np.ndarray, out: np.ndarray) -> None:
+    """Sigmoid of -y, 0 where exp overflows. NumPy's exp takes half the time of its tanh."""
+    np.exp(y, out=out)
+    out += 1
+    np.reciprocal(out, out=out)
+
+
+def _tanh(y: np.ndarray) -> None:
+    """Tanh of -y / 2, written over y."""
+    _sigmoid(y, y)
+    y *= 2
+    y -= 1
+
+
 class Adam:
     """Running moments of the gradients, whose common length is cut to 1."""
 
@@ -108,14 +125,21 @@ class Adam:
         scale = np.float32(min(1.0, 1.0 / (np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) + 1e-12)))
         first, second = np.float32(rate / (1 - 0.9**self.updates)), np.float32(1 / (1 - 0.999**self.updates))
         for k, g in grads.items():
-            m, v = self.m[k], self.v[k]
+            m, v, step = self.m[k], self.v[k], np.empty_like(g)
             g *= scale
             m *= np.float32(0.9)
-            m += np.float32(0.1) * g
+            np.multiply(g, np.float32(0.1), out=step)
+            m += step
             g *= g
+            g *= np.float32(0.001)
             v *= np.float32(0.999)
-            v += np.float32(0.001) * g
-            p[k] -= first * m / (np.sqrt(v * second) + np.float32(1e-8))
+            v += g
+            np.multiply(v, second, out=step)
+            np.sqrt(step, out=step)
+            step += np.float32(1e-8)
+            np.divide(m, step, out=step)
+            step *= first
+            p[k] -= step
 
 
 class GatedNetwork:
@@ -130,6 +154,8 @@ class GatedNetwork:
         self.mask = np.zeros(HEAD_CLASSES * HEAD_WIDTH, np.float32)
         self.mask[used:] = -1e9
         self.mask = self.mask.reshape(HEAD_CLASSES, HEAD_WIDTH)
+        #: arrays of a window, which the next window of equal shape takes over
+        self.room: dict[tuple, np.ndarray] = {}
 
     @staticmethod
     def inputs(number: np.ndarray, tail: np.ndarray, head: int) -> np.ndarray:
@@ -138,6 +164,20 @@ class GatedNetwork:
 
     START = HEAD_CLASSES * HEAD_WIDTH + TAIL_CLASSES
 
+    def by_gate(self, k: str) -> np.ndarray:
+        """Weights of one gate after the other, so that a gate's values lie end to end; negative, as exp takes them (see _sigmoid), those of the last one twofold for its tanh."""
+        scale = np.array([-1, -1, -2], self.p[k].dtype)[:, None, None]
+        return np.ascontiguousarray(self.p[k].reshape(-1, 3, UNITS).transpose(1, 0, 2) * scale)
+
+    def is_calm(self) -> bool:
+        """No logit can overflow exp: states lie within -1 and 1, so none exceeds these sums."""
+        return bool(max((np.abs(self.p["c"]).sum(0) + np.abs(self.p["cb"])).max(), (np.abs(self.p["w"]).sum(1) + np.abs(self.p["wb"])).max()) < 60)
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        if (name, shape) not in self.room:
+            self.room[name, shape] = np.empty(shape, self.p["u"].dtype)
+        return self.room[name, shape]
+
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple]:
         g, u = self.p["x"][x], h @ self.p["u"]
         zr = 0.5 * (1 + np.tanh(0.5 * (g[:, : 2 * UNITS] + u[:, : 2 * UNITS])))
@@ -160,14 +200,20 @@ class GatedNetwork:
         own = target < head
         own &= target >= 0
         group = np.where(own, target // HEAD_WIDTH, HEAD_CLASSES + tail)
-        out = _picked(h @ self.p["c"] + self.p["cb"], group, self.calm)
+        out = np.empty(len(h))
+        for first in range(0, len(h), CACHED):
+            y = h[first : first + CACHED] @ self.p["c"]
+            y += self.p["cb"]
+            out[first : first + CACHED] = _picked(y, group[first : first + CACHED], self.calm)
         at = np.flatnonzero(own)
-        at = at[np.argsort(group[at], kind="stable")]
+        at = at[np.argsort(group[at].astype(np.int16), kind="stable")]
         edges = np.searchsorted(group[at], np.arange(HEAD_CLASSES + 1))
         for k in range(HEAD_CLASSES):
             rows = at[edges[k] : edges[k + 1]]
             if len(rows):
-                out[rows] += _picked(h[rows] @ self.p["w"][k] + self.shifts[k], target[rows] % HEAD_WIDTH, self.calm)
+                y = h[rows] @ self.p["w"][k]
+                y += self.shifts[k]
+                out[rows] += _picked(y, target[rows] % HEAD_WIDTH, self.calm)
         return out
 
     def fit(self, rows: np.ndarray, bounds: np.ndarray, epochs: int = EPOCHS, rate: float = 0.006, seed: int = 11, streams: int = STREAMS, adam: Adam | None = None) -> None:
@@ -182,6 +228,7 @@ class GatedNetwork:
         begins[bounds[:-1]] = True
         streams = max(1, min(streams, len(rows) // 2))
         length = -(-len(rows) // streams)
+        inputs = np.where(begins, self.START, np.roll(rows, 1))
         for epoch in range(epochs):
             order = rng.permutation(len(bounds) - 1)
             lengths = np.diff(bounds)[order]
@@ -190,82 +237,128 @@ class GatedNetwork:
             h = np.zeros((streams, UNITS), np.float32)
             for first in range(0, length, STEPS):
                 at = grid[first : first + STEPS]
-                grads, h = self._gradients(np.where(begins[at], self.START, rows[at - 1]), rows[at], begins[at], at >= 0, h)
+                grads, h = self._gradients(inputs[at], rows[at], begins[at], at >= 0, h)
                 adam.update(self.p, grads, rate * (1 - epoch / epochs * 0.8))
+        self.room = {}
 
+    @np.errstate(over="ignore")
     def _gradients(self, x: np.ndarray, target: np.ndarray, new: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
-        """Gradients of the mean loss of a window (steps by streams), and the last states."""
+        """Gradients of the mean loss of a window (steps by streams), and the last states.
+
+        Each gate's values lie end to end, and the backward pass writes the gradients over them: long inner loops, and
+        a window that stays in the cache.
+        """
         steps, streams = x.shape
-        g, w = self.p["x"][x], self.p["u"]
-        on = (~new).astype(np.float32)[:, :, None]
+        table, w = self.by_gate("x"), self.by_gate("u")
+        back_w = self.p["u"].reshape(UNITS, 3, UNITS).transpose(1, 2, 0)
         shape = (steps, streams, UNITS)
-        before, n, un, states = (np.empty(shape, np.float32) for _ in range(4))
-        zr = np.empty((steps, streams, 2 * UNITS), np.float32)
+        before, un, states = (self._room(k, *shape) for k in ("before", "un", "states"))
+        gates = self._room("gates", 3, *shape)
+        g, u, a, b = self._room("g", 3, *shape[1:]), self._room("u", 2, *shape[1:]), self._room("a", *shape[1:]), self._room("b", *shape[1:])
+        begun = [np.flatnonzero(row) for row in new]
         for t in range(steps):
-            before[t] = h * on[t]
-            u = before[t] @ w
-            np.tanh(0.5 * (g[t, :, : 2 * UNITS] + u[:, : 2 * UNITS]), out=zr[t])
-            zr[t] = 0.5 * zr[t] + 0.5
-            un[t] = u[:, 2 * UNITS :]
-            np.tanh(g[t, :, 2 * UNITS :] + zr[t, :, UNITS:] * un[t], out=n[t])
-            h = states[t] = n[t] + zr[t, :, :UNITS] * (before[t] - n[t])
+            own, (zr, n) = before[t], (gates[:2, t], gates[2, t])
+            own[:] = h
+            own[begun[t]] = 0
+            np.take(table, x[t], axis=1, out=g, mode="clip")
+            np.matmul(own, w[:2], out=u)
+            np.matmul(own, w[2], out=un[t])
+            g[:2] += u
+            _sigmoid(g[:2], zr)
+            np.multiply(zr[1], un[t], out=n)
+            n += g[2]
+            _tanh(n)
+            h = states[t]
+            np.subtract(own, n, out=h)
+            h *= zr[0]
+            h += n
         grads, d_states = self._output_grads(states.reshape(-1, UNITS), target.ravel(), live.ravel())
         d_states = d_states.reshape(shape)
-        z, r = zr[:, :, :UNITS], zr[:, :, UNITS:]
-        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), un * r * (1 - r)
-        dg, du = (np.empty((steps, streams, 3 * UNITS), np.float32) for _ in range(2))
-        back = np.zeros((streams, UNITS), np.float32)
+        back = np.zeros(shape[1:], before.dtype)
         for t in range(steps - 1, -1, -1):
-            d = d_states[t] + back
-            dn = d * to_n[t]
-            dg[t, :, :UNITS] = d * to_z[t]
-            dg[t, :, UNITS : 2 * UNITS] = dn * to_r[t]
-            dg[t, :, 2 * UNITS :] = dn
-            du[t, :, : 2 * UNITS] = dg[t, :, : 2 * UNITS]
-            du[t, :, 2 * UNITS :] = dn * r[t]
-            back = (d * z[t] + du[t] @ w.T) * on[t]
-        flat = x.ravel().astype(np.int16)
-        order = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        gx = np.zeros_like(self.p["x"])
-        gx[flat[order][starts]] = np.add.reduceat(dg.reshape(-1, 3 * UNITS)[order], starts)
-        return grads | {"x": gx, "u": before.reshape(-1, UNITS).T @ du.reshape(-1, 3 * UNITS)}, h
+            d, (z, r, n), u_n = d_states[t], gates[:, t], un[t]
+            d += back
+            np.multiply(d, z, out=back)
+            # to z: d (before - n) z (1 - z)
+            np.subtract(before[t], n, out=a)
+            a *= back
+            np.subtract(1, z, out=b)
+            np.multiply(a, b, out=z)
+            # to n: d (1 - z) (1 - n n)
+            b *= d
+            np.multiply(n, n, out=n)
+            np.subtract(1, n, out=n)
+            n *= b
+            # to r: what comes to n, by u r (1 - r); to u: by r
+            np.multiply(n, r, out=a)
+            np.subtract(1, r, out=r)
+            r *= a
+            u_n *= -0.5  # by_gate
+            r *= u_n
+            u_n[:] = a
+            for gate, own in zip((z, r, u_n), back_w, strict=True):
+                back += np.matmul(gate, own, out=a)
+            back[begun[t]] = 0
+        flat = before.reshape(-1, UNITS).T
+        to_u = [flat @ d.reshape(-1, UNITS) for d in (gates[0], gates[1], un)]
+        return grads | {"x": self._table_grads(x.ravel(), gates.reshape(3, -1, UNITS)), "u": np.concatenate(to_u, 1)}, h.copy()
+
+    def _table_grads(self, x: np.ndarray, gates: np.ndarray) -> np.ndarray:
+        """Sums of the gates' gradients over the places of each row of the input table: of each MARKS rows at once, by a product with their marks."""
+        order = np.argsort(x.astype(np.int16), kind="stable")
+        x = x[order]
+        marks = self._room("marks", len(x), MARKS)
+        marks[:] = 0
+        marks.reshape(-1)[np.arange(len(x)) * MARKS + x % MARKS] = 1
+        dealt = self._room("dealt", *gates.shape)
+        np.take(gates, order, axis=1, out=dealt, mode="clip")
+        edges = np.searchsorted(x, np.arange(0, self.START + MARKS + 1, MARKS)).tolist()
+        sums = np.zeros((3, MARKS * (len(edges) - 1), UNITS), gates.dtype)
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if a < b:
+                np.matmul(marks[a:b].T, dealt[:, a:b], out=sums[:, MARKS * k : MARKS * k + MARKS])
+        return sums[:, : self.START + 1].transpose(1, 0, 2).reshape(-1, 3 * UNITS)
 
     def _output_grads(self, h: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[dict, np.ndarray]:
-        n, heads = max(int(live.sum()), 1), HEAD_CLASSES * HEAD_WIDTH
-        order = np.flatnonzero(live)
-        order = order[np.argsort(target[order].astype(np.int16), kind="stable")]
-        target, h = target[order], h[order]
+        n, heads, calm = max(int(live.sum()), 1), HEAD_CLASSES * HEAD_WIDTH, self.is_calm()
+        c, cb, w, wb = (self.p[k] for k in ("c", "cb", "w", "wb"))
         group = np.where(target < heads, target // HEAD_WIDTH, HEAD_CLASSES + target - heads)
-        p = _softmax(h @ self.p["c"] + self.p["cb"])
-        p[np.arange(len(p)), group] -= 1
-        p /= n
-        grads = {"c": h.T @ p, "cb": p.sum(0), "w": np.zeros_like(self.p["w"]), "wb": np.zeros_like(self.p["wb"])}
-        own = p @ self.p["c"].T
-        edges = np.searchsorted(group, np.arange(HEAD_CLASSES + 1))
-        for k in range(HEAD_CLASSES):
-            a, b = edges[k], edges[k + 1]
-            if a < b:
-                q = _softmax(h[a:b] @ self.p["w"][k] + (self.p["wb"][k] + self.mask[k]))
-                q[np.arange(b - a), target[a:b] % HEAD_WIDTH] -= 1
-                q /= n
-                grads["w"][k] = h[a:b].T @ q
-                grads["wb"][k] = q.sum(0)
-                own[a:b] += q @ self.p["w"][k].T
-        back = np.zeros((len(live), UNITS), np.float32)
-        back[order] = own
+        scale = (live / n).astype(h.dtype)
+        back = self._room("back", *h.shape)
+        grads = {"c": np.zeros_like(c), "cb": np.zeros_like(cb), "w": np.zeros_like(w), "wb": np.zeros_like(wb)}
+        for first in range(0, len(h), CACHED):
+            own = slice(first, first + CACHED)
+            p = np.matmul(h[own], c, out=self._room("p", len(h[own]), c.shape[1]))
+            p += cb
+            _misses(p, group[own], scale[own], calm)
+            grads["c"] += h[own].T @ p
+            grads["cb"] += np.ones(len(p), p.dtype) @ p
+            np.matmul(p, c.T, out=back[own])
+        order = np.flatnonzero(live & (target < heads))
+        order = order[np.argsort(group[order].astype(np.int16), kind="stable")]
+        edges = np.searchsorted(group[order], np.arange(HEAD_CLASSES + 1)).tolist()
+        classes = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+        h, shift = h[order], wb + self.mask
+        q = self._room("q", len(back), HEAD_WIDTH)[: len(order)]
+        for k, a, b in classes:
+            np.matmul(h[a:b], w[k], out=q[a:b])
+            q[a:b] += shift[k]
+        _misses(q, target[order] % HEAD_WIDTH, scale[order], calm)
+        own = self._room("own", *back.shape)[: len(order)]
+        for k, a, b in classes:
+            grads["w"][k] = h[a:b].T @ q[a:b]
+            grads["wb"][k] = np.ones(b - a, q.dtype) @ q[a:b]
+            np.matmul(q[a:b], w[k].T, out=own[a:b])
+        back[order] += own
         return grads, back
 
     def prepare(self) -> None:
-        """Halved gate weights, so that a step takes one tanh for both gates."""
-        self.fast_x, self.fast_u = self.p["x"].copy(), self.p["u"].copy()
-        self.fast_x[:, : 2 * UNITS] *= 0.5
-        self.fast_u[:, : 2 * UNITS] *= 0.5
+        """Weights in the layout of scoring."""
+        self.fast_x, self.fast_u = self.by_gate("x"), self.by_gate("u")
         self.shifts = self.p["wb"] + self.mask
-        # states lie within -1 and 1, so no logit exceeds these sums
-        most = max((np.abs(self.p["c"]).sum(0) + np.abs(self.p["cb"])).max(), (np.abs(self.p["w"]).sum(1) + np.abs(self.p["wb"])).max())
-        self.calm = bool(most < 60)
+        self.calm = self.is_calm()
 
+    @np.errstate(over="ignore")
     def score(self, number: np.ndarray, tail: np.ndarray, bounds: np.ndarray, head: int) -> np.ndarray:
         """Natural log-probability of the classes and frequent words of each text, state carried from its first token to its last.
 
@@ -275,7 +368,8 @@ class GatedNetwork:
         order = np.argsort(-lengths, kind="stable")
         begin, lengths = bounds[:-1][order], lengths[order]
         out = np.zeros(len(order))
-        rows = self.inputs(number, tail, head)
+        rows = np.roll(self.inputs(number, tail, head), 1)
+        rows[begin] = self.START
         h = np.zeros((len(order), UNITS), np.float32)
         active = len(order) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0]) if len(lengths) else 0), side="right")
         states, places, who = [], [], []
@@ -293,14 +387,18 @@ class GatedNetwork:
 
         for t, n in enumerate(active.tolist()):
             at = begin[:n] + t
-            x = rows[at - 1] if t else np.full(n, self.START)
-            g = self.fast_x[x]
-            u = h[:n] @ self.fast_u
-            zr = np.tanh(g[:, : 2 * UNITS] + u[:, : 2 * UNITS])
-            zr += 1
-            zr *= 0.5
-            c = np.tanh(g[:, 2 * UNITS :] + zr[:, UNITS:] * u[:, 2 * UNITS :])
-            h = c + zr[:, :UNITS] * (h[:n] - c)
+            g = np.take(self.fast_x, rows[at], axis=1, mode="clip")
+            u = np.matmul(h[:n], self.fast_u)
+            zr = g[:2]
+            zr += u[:2]
+            _sigmoid(zr, zr)
+            c = u[2]
+            c *= zr[1]
+            c += g[2]
+            _tanh(c)
+            h = h[:n] - c
+            h *= zr[0]
+            h += c
             states.append(h)
             places.append(at)
             who.append(everyone[:n])

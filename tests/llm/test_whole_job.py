@@ -1,7 +1,11 @@
 """What the operators learn from: all of their texts, however small a share of them the first sample is."""
 
+import tracemalloc
+import warnings
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from cardiolake.llm import recurrent_lm, toxicity
@@ -90,3 +94,39 @@ def test_gradients_against_finite_differences():
             down = loss()
             network.p[k][at] = kept
             assert abs((up - down) / 2e-4 - g[at]) < 2e-4 + 0.02 * abs(g[at]), (k, at)
+
+
+def test_a_window_of_training_takes_over_the_arrays_of_the_one_before():
+    rng = np.random.default_rng(8)
+    network = recurrent_lm.GatedNetwork(recurrent_lm.HEAD_CLASSES * recurrent_lm.HEAD_WIDTH)
+    shape = (recurrent_lm.STEPS, recurrent_lm.WIDE)
+    x, target = (rng.integers(0, network.START, shape) for _ in range(2))
+    new, live, h = rng.random(shape) < 0.01, np.ones(shape, bool), np.zeros((recurrent_lm.WIDE, recurrent_lm.UNITS), np.float32)
+    first, last = network._gradients(x, target, new, live, h)
+    kept = {k: g.copy() for k, g in first.items()}, last.copy()
+    tracemalloc.start()
+    again, _ = network._gradients(x, target, new, live, h)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    one = 4 * recurrent_lm.UNITS * x.size  # bytes of the states
+    assert most < 8 * one
+    # what a window returns stays as it is when the next one is taken
+    network._gradients(target, x, ~new, live, last)
+    assert all((again[k] == kept[0][k]).all() and (first[k] == kept[0][k]).all() for k in again) and (last == kept[1]).all()
+
+
+def test_gates_out_of_the_range_of_exp():
+    rng = np.random.default_rng(9)
+    network = recurrent_lm.GatedNetwork(recurrent_lm.HEAD_CLASSES * recurrent_lm.HEAD_WIDTH)
+    network.p["x"] *= 2_000
+    rows = rng.integers(0, network.START, 40)
+    network.prepare()
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        got = network.score(rows, np.zeros(40, np.int64), np.array([0, 40]), network.START)[0]
+        network._gradients(np.full((1, 40), network.START), rows[None], np.ones((1, 40), bool), np.ones((1, 40), bool), np.zeros((40, recurrent_lm.UNITS), np.float32))
+    h, total = np.zeros((1, recurrent_lm.UNITS), np.float32), 0.0
+    for t in range(40):
+        h, _ = network.step(h, np.array([network.START if t == 0 else rows[t - 1]]))
+        total += network.log_probability(h, rows[t : t + 1], np.array([0]), network.START)[0]
+    assert got == pytest.approx(total, rel=1e-4)
