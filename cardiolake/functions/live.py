@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import copy
 import math
+from array import array
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import groupby, pairwise
 
 import numpy as np
 
-from cardiolake.functions.dsp import bandpass_whole, detect_beats
+from cardiolake.functions.dsp import bandpass_whole, detect_beats, mean_and_std
 from cardiolake.schema import ALARM_OFF, ALARM_ON, ALARM_SCORE, ECTOPY_LAST, ECTOPY_OFF, ECTOPY_ON, ENTROPY_BINS, LIVE_HOP_S, LIVE_MIN_COVERAGE, LIVE_MIN_RR, LIVE_WINDOW_S, REFRACTORY_S, RR_LIVE, RR_RANGE
 
 TREND = 20
@@ -44,7 +48,7 @@ class Monitor:
     """What is kept of one device between batches."""
 
     clock: int = 0
-    buffer: list[int] = field(default_factory=list)
+    buffer: array = field(default_factory=lambda: array("d"))
     beats: list[int] = field(default_factory=list)
     leadoff: list[int] = field(default_factory=list)
     last_rhythm: int = 0
@@ -70,17 +74,18 @@ def rhythm_features(beats: np.ndarray, fs: float) -> dict:
     d = np.diff(rr)[ok[1:] & ok[:-1]] if len(rr) > 1 else np.zeros(0)
     out = {"n_rr_used": len(good), "n_rr_rejected": int((~ok).sum()), "n_drr_used": len(d), "mean_rr": None, "hr": None, "hrv_sdnn": None, "rmssd": None, "pnn50": None, "cv_rr": None, "rr_entropy": None}
     if len(good):
-        out["mean_rr"] = float(good.mean())
+        out["mean_rr"], _ = mean_and_std(good)
         out["hr"] = 60.0 / out["mean_rr"]
     if len(good) > 1:
-        out["hrv_sdnn"] = float(good.std(ddof=1))
+        _, out["hrv_sdnn"] = mean_and_std(good, 1)
         out["cv_rr"] = out["hrv_sdnn"] / out["mean_rr"]
         low, high = RR_RANGE
-        p = np.bincount(np.clip(((good - low) / (high - low) * ENTROPY_BINS).astype(int), 0, ENTROPY_BINS - 1)) / len(good)
-        out["rr_entropy"] = abs(float(-(p[p > 0] * np.log2(p[p > 0])).sum()))
+        p = np.bincount(np.maximum(np.minimum(((good - low) / (high - low) * ENTROPY_BINS).astype(int), ENTROPY_BINS - 1), 0)) / len(good)
+        p = p[p > 0]
+        out["rr_entropy"] = abs(float((p * np.log2(p)).sum()))
     if len(d):
-        out["rmssd"] = float(np.sqrt((d * d).mean()))
-        out["pnn50"] = float((np.abs(d) > 0.05).mean())
+        out["rmssd"] = math.sqrt(np.add.reduce(d * d) / len(d))
+        out["pnn50"] = np.count_nonzero(np.abs(d) > 0.05) / len(d)
     return out
 
 
@@ -124,19 +129,52 @@ def check_rate(state: Monitor, at: float, fs: float) -> list[dict]:
 
 
 def push_all(state: Monitor, lines, fs: float, score=default_score) -> list[dict]:
-    """The rows of lines and their arrival times (seconds, or None); a line that fails is a row of kind 'error', and the next one goes on."""
+    """The rows of lines and their arrival times (seconds, or None); a line that fails is a row of kind 'error', and the next one goes on.
+
+    Lines of samples without times that follow each other are pushed as one block; if that fails, one by one.
+    """
     rows: list[dict] = []
-    for line, at in lines:
-        try:
-            rows += push(state, line, fs, score)
-            if at is not None:
-                rows += check_rate(state, float(at), fs)
-        except Exception as fault:  # one faulty chunk or model must not end a device's stream
-            state.buffer = state.buffer[-int(fs) :]
-            rows.append({"kind": "error", "sample_pos": state.clock, "status": f"{type(fault).__name__}: {fault}"[:200]})
+    for together, group in groupby(lines, key=lambda x: x[1] is None and isinstance(x[0], str) and x[0].replace("\n", "").isdigit()):
+        own = list(group)
+        if together and len(own) > 1:
+            before = copy.deepcopy(state)
+            try:
+                rows += push(state, "\n".join(line for line, _ in own), fs, score)
+                continue
+            except Exception:
+                vars(state).update(vars(before))
+        for line, at in own:
+            try:
+                rows += push(state, line, fs, score)
+                if at is not None:
+                    rows += check_rate(state, float(at), fs)
+            except Exception as fault:  # one faulty chunk or model must not end a device's stream
+                state.buffer = state.buffer[-int(fs) :]
+                rows.append({"kind": "error", "sample_pos": state.clock, "status": f"{type(fault).__name__}: {fault}"[:200]})
     return rows
 
 
+@lru_cache(maxsize=16)
+def _places(digits: int) -> tuple[np.ndarray, float]:
+    """What each digit of a number counts, and what they all count if each one is the sign 0 itself."""
+    powers = 10.0 ** np.arange(digits - 1, -1, -1)
+    return powers, ord("0") * float(powers.sum())
+
+
+def block_samples(block: str) -> np.ndarray | None:
+    """The samples of a block of lines; None if a line isn't of digits alone. Lines of one length are read at once."""
+    digits = block.replace("\n", "")
+    if not (digits.isascii() and digits.isdigit()):
+        return None
+    width = block.index("\n") + 1
+    n, rest = divmod(len(block) + 1, width)
+    if not rest and 1 < width <= 16 and len(digits) == n * (width - 1) and block[width - 1 :: width] == "\n" * (n - 1):
+        powers, zeros = _places(width - 1)
+        return np.frombuffer(digits.encode(), np.uint8).reshape(n, width - 1) @ powers - zeros
+    lines = block.split("\n")
+    return np.array([float(int(x)) for x in lines]) if all(lines) else None
+
+
 def push(state: Monitor, line: str, fs: float, score=default_score) -> list[dict]:
     """One line from the device, or a block of lines as one read brings them; the rows that it brings about.
 
@@ -144,15 +182,15 @@ def push(state: Monitor, line: str, fs: float, score=default_score) -> list[dict
     seconds stay if its intervals could be used, one if not. Beats join the history before that is decided.
     """
     if "\n" in line:
-        lines = line.split("\n")
-        if not (line.isascii() and "".join(lines).isdigit() and all(lines)):
-            return [row for x in lines for row in push(state, x, fs, score)]
-        samples, rows = list(map(int, lines)), []
-        while samples:
-            room = int(5 * fs) - len(state.buffer)
-            state.buffer += samples[:room]
-            state.clock += len(samples[:room])
-            samples = samples[room:]
+        samples = block_samples(line)
+        if samples is None:
+            return [row for x in line.split("\n") for row in push(state, x, fs, score)]
+        rows = []
+        while len(samples):
+            own = samples[: int(5 * fs) - len(state.buffer)]
+            state.buffer.frombytes(own.tobytes())
+            state.clock += len(own)
+            samples = samples[len(own) :]
             rows += _chunk(state, fs, score)
         return rows
     if line == "!":
@@ -161,7 +199,7 @@ def push(state: Monitor, line: str, fs: float, score=default_score) -> list[dict
     if not (line.isascii() and line.isdigit()):
         return []
     state.clock += 1
-    state.buffer.append(int(line))
+    state.buffer.append(float(int(line)))
     return _chunk(state, fs, score)
 
 
@@ -170,10 +208,9 @@ def _chunk(state: Monitor, fs: float, score) -> list[dict]:
     if len(state.buffer) < int(5 * fs):
         return []
     rows: list[dict] = []
-    chunk = bandpass_whole(np.array(state.buffer, float), fs)
-    found = detect_beats(chunk, fs)
+    found = detect_beats(bandpass_whole(np.array(state.buffer), fs), fs).tolist()
     first = state.clock - len(state.buffer)
-    for p in found.tolist():
+    for p in found:
         at = first + p
         if not state.beats or at - state.beats[-1] >= REFRACTORY_S * fs:
             state.beats.append(at)
@@ -188,12 +225,12 @@ def _chunk(state: Monitor, fs: float, score) -> list[dict]:
         rows.append({"kind": "rhythm", "sample_pos": state.clock, "alarm": state.alarm.on, "af_run": state.alarm.run, **verdict})
         if turned:
             rows.append({"kind": "alert", "sample_pos": state.clock, "alarm": state.alarm.on, "status": "af"})
-    rr = np.diff(found) / fs
-    good = rr[(rr > RR_LIVE[0]) & (rr < RR_LIVE[1])]
-    if len(good):
-        abnormal = int(len(good) > 1 and float(np.std(good[-5:])) > 0.12)
+    good = [rr for rr in ((b - a) / fs for a, b in pairwise(found)) if RR_LIVE[0] < rr < RR_LIVE[1]]
+    if good:
+        _, spread = mean_and_std(np.array(good[-5:]))
+        abnormal = int(len(good) > 1 and spread > 0.12)
         state.labels = [*state.labels, abnormal][-ECTOPY_LAST:]
-        rows.append({"kind": "beat", "sample_pos": state.clock, "mean_rr": float(good[-1]), "hr": 60.0 / float(good[-1]), "hrv_sdnn": float(np.std(good[-5:])), "status": "Abnormal" if abnormal else "Normal"})
+        rows.append({"kind": "beat", "sample_pos": state.clock, "mean_rr": good[-1], "hr": 60.0 / good[-1], "hrv_sdnn": spread, "status": "Abnormal" if abnormal else "Normal"})
         before = state.ectopy
         state.ectopy = sum(state.labels) >= ECTOPY_ON if not before else sum(state.labels) > ECTOPY_OFF
         if state.ectopy != before:

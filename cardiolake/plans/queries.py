@@ -675,6 +675,8 @@ def annotations_lateral(spark, sf):
 
 
 LIVE_FS = 100.0
+#: Lines of the longest gap between beats: ten of the beat, then the base line. A shorter gap has the first of them.
+LONGEST_BEAT = "\n".join(str(512 + 90 * t if t < 5 else 512 + 90 * (10 - t) if t < 10 else 512 + t % 3) for t in range(120))
 
 
 def event_lines(spark, sf):
@@ -682,8 +684,8 @@ def event_lines(spark, sf):
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("device_id"), (F.row_number().over(order) - 1).cast("long").alias("seq"), "event_type", F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)).alias("k"), F.coalesce("value", F.lit(0.0)).alias("value"))
     gap = lambda i: F.when(F.col("k") % 3 == 0, 60 + F.pmod(F.floor(F.col("value") * (7 + i)), F.lit(60))).otherwise(80 + F.pmod(F.col("k") + i, F.lit(5))).cast("int")
-    beat = lambda i: F.transform(F.sequence(F.lit(0), gap(i) - 1), lambda t: F.when(t < 5, 512 + 90 * t).when(t < 10, 512 + 90 * (10 - t)).otherwise(512 + t % 3).cast("int"))
-    block = F.array_join(F.transform(F.concat(beat(0), beat(1), beat(2)), lambda v: v.cast("string")), "\n")
+    beat = lambda i: F.left(F.lit(LONGEST_BEAT), 4 * gap(i) - 1)
+    block = F.concat_ws("\n", beat(0), beat(1), beat(2))
     return e.select("device_id", "seq", F.when((F.col("event_type") == "error") & (F.col("k") % 16 == 0), "!").otherwise(block).alias("line"))
 
 
@@ -694,9 +696,9 @@ def stream_live_replay(spark, sf):
 
     path = _scratch(spark, "replay")
     event_lines(spark, sf).write.parquet(f"{path}/in")
-    rows = monitor_stream(read_lines(spark, f"{path}/in"), LIVE_FS)
+    rows = monitor_stream(read_lines(spark, f"{path}/in"), LIVE_FS, ("rhythm", "alert", "error"))
     rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out").where("kind <> 'beat'").select("device_id", "kind", "sample_pos", "status", "af_run", "alarm", F.round("af_score", 4).alias("af_score"))
+    return spark.read.parquet(f"{path}/out").select("device_id", "kind", "sample_pos", "status", "af_run", "alarm", F.round("af_score", 4).alias("af_score"))
 
 
 def _filter_sql(fs: float = 100.0) -> str:

@@ -70,6 +70,74 @@ def test_chunks_cost_a_product_each():
     assert len(bandpass_whole(x[0][:0], 100.0)) == 0 and (bandpass_whole(x[0][:9], 100.0) == x[0][:9]).all()
 
 
+def test_a_batch_of_a_device_reads_and_writes_its_state_once(lines):
+    """State travels between worker and store one call at a time, so a batch takes one read and one write, whatever is kept; only the asked kinds are made into rows."""
+    from cardiolake.streaming.monitor import DeviceMonitor
+
+    class Store:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls, self.value = self.calls + 1, value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return store
+
+    rows = lines.collect()
+    first = min(r["device_id"] for r in rows)
+    rows = sorted((r for r in rows if r["device_id"] == first), key=lambda r: r["seq"])
+    found = {}
+    for kinds in (None, ("rhythm", "alert", "error")):
+        for size in (len(rows), 7):
+            store = Store()
+            monitor = DeviceMonitor(LIVE_FS, kinds)
+            monitor.init(Handle())
+            batches = [rows[i : i + size] for i in range(0, len(rows), size)]
+            found[kinds, size] = [r for own in batches for r in monitor.handleInputRows((first,), iter(own[::-1]), None)]
+            assert store.calls == 2 * len(batches)
+        assert found[kinds, 7] == found[kinds, len(rows)]
+    assert found[kinds, 7] == [r for r in found[None, 7] if r["kind"] != "beat"] and len(found[None, 7]) > len(found[kinds, 7]) > 0
+
+
+def test_lines_that_fail_together_are_pushed_one_by_one():
+    beat = "\n".join(["512"] * 30 + ["900"] + ["512"] * 44)
+    lines = [(x, None) for x in [beat] * 30 + ["!", "x", "", "7\n", None] + [beat] * 90 + ["9" * 400, beat]]
+
+    def broken(features):
+        raise ValueError("no model")
+
+    for score in (lambda f: 0.95, broken):
+        one, other, rows = Monitor(), Monitor(), []
+        for line in lines:
+            rows += push_all(one, [line], 100.0, score)
+        assert push_all(other, lines, 100.0, score) == rows and one == other
+        assert {r["kind"] for r in rows} >= {"error", "beat"} and any(r["kind"] == "rhythm" for r in rows)
+
+
+def test_blocks_of_samples_are_read_at_once():
+    from cardiolake.functions.live import block_samples
+
+    for lines in (["512", "900", "007"], ["1", "22", "333"], ["1", "2"], ["123456789012345", "000000000000001"], ["1" * 30, "2"], ["12", "3456", "1"]):
+        assert block_samples("\n".join(lines)).tolist() == [float(int(x)) for x in lines]
+    for block in ("\n12", "12\n", "1\n\n2", "12\n!1", "\n", "1\n\u0662", "12\n1-2"):
+        assert block_samples(block) is None
+
+
+def test_event_lines_are_their_beats(lines):
+    """Ten samples of a beat, then the base line, as long as the gap; texts are cut from one, so no sample is an element of an array in the plan."""
+    for r in lines.where("line <> '!'").limit(200).collect():
+        x = list(map(int, r["line"].split("\n")))
+        starts = [i for i in range(len(x)) if x[i : i + 3] == [512, 602, 692]]
+        gaps = [b - a for a, b in zip(starts, [*starts[1:], len(x)], strict=True)]
+        assert len(gaps) == 3 and x == [512 + 90 * t if t < 5 else 512 + 90 * (10 - t) if t < 10 else 512 + t % 3 for g in gaps for t in range(g)]
+    assert "lambdafunction" not in event_lines(lines.sparkSession, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("cuts", [(1, 1), (7, 1), (50, 4)])
 def test_filter_of_a_stream_is_one_pass(spark, tmp_path, cuts):
     import numpy as np
