@@ -5,11 +5,12 @@ from __future__ import annotations
 import copy
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardiolake.llm.common import FOLD, blocks, per_text, raw_bytes, stored, strided_counts, text_id, with_facts, word_codes
@@ -480,8 +481,8 @@ def train_network(docs: DataFrame, vocabulary: Vocabulary, n_docs: int, text: st
 
     First weights come from about `sample` distinct texts (see first_texts). Then, in each round, every part of the
     texts (about PART tokens, dealt by a hash of text and id) trains these weights on all its tokens, and the next
-    weights are their mean by tokens. A part is trained by itself in the order of its hashes, so neither cores nor files
-    decide the result. Only weights travel; sums of about the square root of the number of parts reach the driver.
+    weights are their mean by tokens. A part is trained by itself, in a task of its own, in the order of its hashes, so
+    neither cores nor files decide the result. Only weights travel; sums of about the square root of the number of parts reach the driver.
     """
     network = GatedNetwork(vocabulary.head)
     texts = first_texts(docs, text, sample)
@@ -491,10 +492,10 @@ def train_network(docs: DataFrame, vocabulary: Vocabulary, n_docs: int, text: st
     if n_docs and rounds:
         spark = docs.sparkSession
         parts = -(-vocabulary.total // PART)
-        encoded = encode(docs, vocabulary, text, key).withColumn("part", F.pmod("hash", F.lit(parts)).cast("int"))
+        dealt = docs.select(F.col(text).alias("text"), F.xxhash64(text, key).alias("hash")).withColumn("part", F.pmod("hash", F.lit(parts)).cast("int")).join(F.broadcast(seats(spark, parts)), "part")
         table = f"lm_codes_{uuid.uuid4().hex}"
         # written once in buckets of the parts, which each round then reads without a shuffle
-        encoded.repartition(parts, "part").write.bucketBy(parts, "part").sortBy("part", "hash", "codes").saveAsTable(table)
+        encode(dealt.repartition(parts, "seat"), vocabulary).write.bucketBy(parts, "seat").saveAsTable(table)
         try:
             for k in range(rounds):
                 _train_round(spark.table(table), network, parts, 0.003 * (1 - k / rounds * 0.8), k)
@@ -504,10 +505,25 @@ def train_network(docs: DataFrame, vocabulary: Vocabulary, n_docs: int, text: st
     return network
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str, key: str) -> DataFrame:
-    """hash (of text and id) and codes: each token's row of the input table, in two bytes, end to end for each text."""
+def seats(spark: SparkSession, parts: int) -> DataFrame:
+    """part and seat: for each part a number whose hash names a bucket that no other part has.
+
+    Dealt by the hashes of their own numbers, over a third of the buckets stay empty and some hold five parts, which one
+    task then trains in a row.
+    """
+    wide = math.ceil(parts * (math.log(parts) + 3))
+    while True:
+        dealt = spark.range(wide).select(F.col("id").cast("int").alias("seat"))
+        found = sorted(r["seat"] for r in dealt.groupBy(F.pmod(F.hash("seat"), F.lit(parts))).agg(F.min("seat").alias("seat")).collect())  # a number for each part
+        if len(found) == parts:
+            return spark.createDataFrame(list(enumerate(found)), "part int, seat int")
+        wide *= 2
+
+
+def encode(dealt: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """part, seat, hash and codes of dealt's rows of text, part, seat and hash: each token's row of the input table, in two bytes, end to end for each text."""
     heads = {w: k for w, k in vocabulary.words.items() if k < vocabulary.head}
-    shared = docs.sparkSession.sparkContext.broadcast(replace(vocabulary, words=heads, counts=vocabulary.counts[: vocabulary.head]))
+    shared = dealt.sparkSession.sparkContext.broadcast(replace(vocabulary, words=heads, counts=vocabulary.counts[: vocabulary.head]))
 
     def run(batches):
         known = shared.value
@@ -515,19 +531,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str, key: str) -> Data
             number, tail, bounds, _, _ = tokens_of(batch.column(0), known)
             codes = GatedNetwork.inputs(number, tail, known.head).astype(np.uint16)
             lists = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(codes)])
-            yield pa.RecordBatch.from_arrays([batch.column(1), lists], names=["hash", "codes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=["part", "seat", "hash", "codes"])
 
-    return docs.select(F.col(text).alias("text"), F.xxhash64(text, key).alias("hash")).mapInArrow(run, "hash long, codes binary")
-
-
-def by_part(batches):
-    """part and codes of each stretch of rows of one part in the batches."""
-    for batch in batches:
-        part = batch.column(0).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                yield int(part[a]), batch.slice(a, b - a)
+    return dealt.select("text", "part", "seat", "hash").mapInArrow(run, "part int, seat int, hash long, codes binary")
 
 
 def _train_round(encoded: DataFrame, network: GatedNetwork, parts: int, rate: float, seed: int) -> None:
@@ -542,23 +548,17 @@ def _train_round(encoded: DataFrame, network: GatedNetwork, parts: int, rate: fl
     def weights(net, n):
         return n * np.concatenate([a.ravel() for a in net.p.values()]).astype(float)
 
-    def fitted(batches):
-        # a part's rows follow each other
-        part = net = adam = None
-        n = 0
-        for own, stretch in by_part(batches):
-            if own != part:
-                if n:
-                    yield packed(part, weights(net, n), n)
-                part, net, n = own, copy.deepcopy(shared.value), 0
-                adam = Adam(net.p)
-            for batch in blocks([stretch], "codes", 4_000_000):
-                data, offsets = raw_bytes(batch.column(1))
-                codes = np.frombuffer(data.tobytes(), np.uint16).astype(np.int64)
-                net.fit(codes, offsets // 2, 1, rate, seed, min(WIDE, max(STREAMS, len(codes) // (100 * STEPS))), adam)
-                n += len(codes)
-        if n:
-            yield packed(part, weights(net, n), n)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the rows of one part
+        net, n = copy.deepcopy(shared.value), 0
+        adam = Adam(net.p)
+        for batch in blocks(batches, "codes", 4_000_000):
+            part = batch.column("part")[0].as_py()
+            data, offsets = raw_bytes(batch.column("codes"))
+            codes = np.frombuffer(data.tobytes(), np.uint16).astype(np.int64)
+            net.fit(codes, offsets // 2, 1, rate, seed, min(WIDE, max(STREAMS, len(codes) // (100 * STEPS))), adam)
+            n += len(codes)
+        yield packed(part, weights(net, n), n)
 
     def summed(batches):
         first, total, n = None, 0.0, 0
@@ -571,7 +571,7 @@ def _train_round(encoded: DataFrame, network: GatedNetwork, parts: int, rate: fl
 
     schema, fan = "part int, total binary, n long", math.ceil(math.sqrt(parts))
     # sums are taken in the order of the parts, so that no rounding hangs on the tasks
-    meet = encoded.select("part", "codes").mapInArrow(fitted, schema).repartition(fan, F.floor(F.col("part") / fan)).sortWithinPartitions("part")
+    meet = encoded.sortWithinPartitions("seat", "hash", "codes").groupBy("seat").applyInArrow(fitted, schema).repartition(fan, F.floor(F.col("part") / fan)).sortWithinPartitions("part")
     sums = sorted(meet.mapInArrow(summed, schema).collect(), key=lambda r: r["part"])
     mean = sum(np.frombuffer(r["total"], float) for r in sums) / sum(r["n"] for r in sums)
     network.p = {k: a.reshape(shapes[k]).astype(np.float32) for k, a in zip(shapes, np.split(mean, cuts), strict=True)}
@@ -624,7 +624,10 @@ def score_documents(docs: DataFrame, learn_from: DataFrame, text: str = "text",
 
         return score
 
-    marked = docs.withColumn("__tid", text_id(F.coalesce(text, F.lit(""))))
+    # texts are dealt anew, as a file may have all of them in one row group; near lengths meet in a block, where texts advance together
+    marked = docs.withColumn("__tid", text_id(F.coalesce(text, F.lit("")))).withColumn("__hash", F.xxhash64(text, key))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    marked = marked.repartition(1 + size // (2 * BLOCK_BYTES), "__hash").sortWithinPartitions(F.octet_length(text), "__hash", "__tid")
     parts = per_text(marked, text, make, "n_tokens long, __known long, __logs double, __model double, __rare array<struct<word: binary, n: int>>", [*columns, "__tid"], BLOCK_BYTES)
     parts = stored(parts.withColumn("__row", F.monotonically_increasing_id()), "lm-parts")
     rare = parts.select("__row", F.explode("__rare").alias("r")).select("__row", "r.word", "r.n")

@@ -2,6 +2,7 @@
 
 import tracemalloc
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,40 @@ def test_weights_do_not_hang_on_partitions(spark, monkeypatch):
     assert all((found[0].p[k] == found[1].p[k]).all() for k in found[0].p)
 
 
+def test_every_part_has_a_task_of_its_own(spark, monkeypatch):
+    """Dealt by the hashes of their own numbers, parts met in a bucket, and a bucket's file, or several, in one task."""
+    for parts in (1, 2, 12, 58):
+        seats = recurrent_lm.seats(spark, parts).select("part", "seat", F.pmod(F.hash("seat"), F.lit(parts)).alias("bucket")).collect()
+        assert {r["part"] for r in seats} == {r["bucket"] for r in seats} == set(range(parts)) and len(seats) == parts
+    monkeypatch.setattr(recurrent_lm, "PART", 1_000)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k % 50}" for k in range(i, i + 40))) for i in range(300)], "doc_id long, text string")
+    vocabulary, _ = recurrent_lm.learn_vocabulary(recurrent_lm.count_words(docs, "text"), 300)
+    tasks = []
+
+    def count(encoded, network, parts, rate, seed):
+        from pyspark import TaskContext
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array([TaskContext.get().partitionId()] * batch.num_rows, pa.int32())], names=["part", "task"])
+
+        plan = encoded.groupBy("seat").applyInArrow(own, "part int, task int")
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+        tasks.append(({tuple(r) for r in plan.collect()}, parts))
+
+    monkeypatch.setattr(recurrent_lm, "_train_round", count)
+    recurrent_lm.train_network(docs, vocabulary, 300, "text", "doc_id", sample=0, rounds=1)
+    ((found, parts),) = tasks
+    assert parts == 13 and len(found) == len({part for part, _ in found}) == len({task for _, task in found}) == 13
+
+
+def test_scores_do_not_hang_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.zipf(1.5, 5 + i % 90) % 50)) for i in range(300)], "doc_id long, text string")
+    found = [recurrent_lm.score_documents(dealt, dealt).select("doc_id", "score").orderBy("doc_id").collect() for dealt in (docs.coalesce(1), docs.repartition(7))]
+    assert found[0] == found[1]
+
+
 def test_gradients_against_finite_differences():
     rng = np.random.default_rng(7)
     network = recurrent_lm.GatedNetwork(recurrent_lm.HEAD_CLASSES * recurrent_lm.HEAD_WIDTH)
